@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, secrets
+from . import bpe, fingerprint, langid, quality, secrets
 from ._spark import table
 from .ngram_join import ngram_jaccard_join
 
@@ -37,11 +37,17 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "anomaly")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_fingerprints": op4_fingerprints,
     "op6_secret_scan": op6_secret_scan,
+    "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
 ORACLE: dict[str, str] = {}
