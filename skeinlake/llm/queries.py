@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, quality, secrets
+from . import bpe, fingerprint, langid, quality, secrets, urls
 from ._spark import table
 from .ngram_join import ngram_jaccard_join
 
@@ -42,12 +42,51 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "anomaly")
 
 
+# The rules of the registered query.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+# The html of these pages names no canonical urls or redirects, so in SQL a
+# component is all spellings of one url; components over links are tested on small tables.
+OP2_SQL = r"""
+with p as (
+  select page_id, url, html,
+         translate(regexp_extract(coalesce(url, ''), '^(.|\n)*?://([^/?#]*)', 2), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(url, ''), '^(.|\n)*?://[^/?#]*([^?#]*)', 2) as path,
+         regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1) as query
+  from pages),
+named as (
+  select page_id, host, path,
+         list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) as kept
+  from p),
+keyed as (
+  select page_id, host, path,
+         case when host <> '' then host || regexp_replace(path, '/+$', '') || case when len(kept) > 0 then '?' || list_aggregate(kept, 'string_agg', '&') else '' end end as name
+  from named),
+rules(verdict, rhost, rpath) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit as (
+  select k.page_id, k.host, k.path, k.name, r.rhost || r.rpath as rule, r.verdict,
+         row_number() over (partition by k.page_id order by length(r.rhost || r.rpath) desc nulls last) as n
+  from keyed k left join rules r on (k.host = r.rhost or ends_with(k.host, '.' || r.rhost)) and starts_with(k.path, r.rpath)),
+voted as (select name, bool_or(verdict = 'allow') as allowed from fit where n = 1 and rule is not null and name is not null group by name)
+select f.page_id, f.host, f.path, f.rule,
+       coalesce(f.verdict, case when v.allowed then 'allow' when not v.allowed then 'block' end, 'allow') as verdict,
+       f.name as alias_of
+from fit f left join voted v on f.name = v.name where f.n = 1
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_fingerprints": op4_fingerprints,
     "op6_secret_scan": op6_secret_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op2_url_filter": op2_url_filter,
     "op10_language_id": op10_language_id,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_url_filter": OP2_SQL}
