@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, quality, secrets, urls
+from . import bpe, fingerprint, langid, packing, quality, secrets, urls
 from ._spark import table
 from .ngram_join import ngram_jaccard_join
 
@@ -42,6 +42,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "anomaly")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 # The rules of the registered query.
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op2_url_filter": op2_url_filter,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op10_language_id": op10_language_id,
 }
 ORACLE: dict[str, str] = {"op2_url_filter": OP2_SQL}
