@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, linededup, packing, quality, secrets, urls
+from . import bpe, fingerprint, langid, linededup, packing, quality, secrets, toxicity, urls
 from ._spark import table
 from .ngram_join import ngram_jaccard_join
 
@@ -41,6 +41,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade 1 is toxic, 2 toxic and of bad quality besides."""
+    docs = table(spark, sf_dir, "documents")
+    grades = F.when(F.col("toxic") == 0, 0).when((F.col("toxic") == 1) & (F.col("quality") == 0), 2).when(F.col("toxic") == 1, 1)
+    labels = table(spark, sf_dir, "labels").select("doc_id", grades.alias("grade"))
+    return toxicity.grade(docs, toxicity.fit(docs, labels))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "anomaly")
@@ -96,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op6_secret_scan": op6_secret_scan,
     "op8_line_dedup": op8_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op2_url_filter": op2_url_filter,
     "op7_best_fit_packing": op7_best_fit_packing,
