@@ -15,7 +15,9 @@ TYPES = ("decision", "deductive", "preference", "hub", "research", "project", "h
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as written, its times as instants of the session's time zone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
