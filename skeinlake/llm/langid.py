@@ -133,6 +133,16 @@ class Model:
             out[miss] = low[where]
         return out
 
+    def rejects(self, entropy: np.ndarray, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether a cross-entropy is over the limit for texts of n symbols in language ``best``."""
+        if self.mean is None:
+            return np.zeros(len(entropy), bool)
+        return self.strangeness(entropy, best, n) > self.limit
+
+    def strangeness(self, entropy: np.ndarray, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Standardised cross-entropy: short texts vary more, and long ones aren't held to less than the spread at 200 symbols."""
+        return (entropy - self.mean[best]) * np.sqrt(n) / self.spread[best] / (1 + np.sqrt(n / 200))
+
     def entropies(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """For ranges of rows i:j: cross-entropy by language, number of symbols, number of letters."""
         data, offsets = flat(column)
@@ -237,7 +247,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
             weight = own["n"] / own["n"].sum()
             model.mean[k] = float((weight * own["entropy"]).sum())
             model.spread[k] = max(float(np.sqrt((own["n"] * (own["entropy"] - model.mean[k]) ** 2).mean())), 1e-3)
-            z += ((own["entropy"] - model.mean[k]) * np.sqrt(own["n"]) / model.spread[k] / (1 + np.sqrt(own["n"] / 200))).tolist()
+            z += model.strangeness(own["entropy"].to_numpy(), np.full(len(own), k), own["n"].to_numpy()).tolist()
     model.limit = slack * max([4.0, *z])
     return model
 
@@ -255,10 +265,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                 best = entropy.argmin(axis=1)
                 least = entropy[np.arange(j - i), best]
                 score = 1 / np.exp(least[:, None] - entropy).sum(axis=1)
-                if m.mean is None:
-                    rejected = np.zeros(j - i, bool)
-                else:  # short texts vary more; long ones aren't held to less than the spread at 200 symbols
-                    rejected = (least - m.mean[best]) * np.sqrt(n) / m.spread[best] / (1 + np.sqrt(n / 200)) > m.limit
+                rejected = m.rejects(least, best, n)
                 none = letters == 0
                 score[none] = 0
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(best), pa.array(least), pa.array(score), pa.array(n), pa.array(letters), pa.array(rejected | none)], [key, "best", "entropy", "score", "n", "letters", "rejected"])
@@ -279,3 +286,18 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     names = F.array(*[F.lit(x) for x in model.languages])
     lang = F.when(F.col("letters") == 0, F.lit("und")).otherwise(F.get(names, F.col("best").cast("int")))
     return rows.select("doc_id", lang.alias("lang_pred"), "score", "rejected")
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, whose language is identified: neither rejected nor without letters."""
+    at, schema = docs.columns.index(text_col), docs.schema
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for i, j, entropy, n, letters in m.entropies(batch.column(at)):
+                kept = (letters > 0) & ~m.rejects(entropy.min(axis=1), entropy.argmin(axis=1), n)
+                yield batch.slice(i, j - i).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, schema)
