@@ -108,7 +108,7 @@ def edit_ratio(a: Column, b: Column) -> Column:
 
 def anchors(text: Column) -> Column:
     """Capitalised tokens of two characters or more that are no stopwords, lower-cased, once each."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-zA-Z0-9]+\b"), F.lit(0)), lambda x: F.lower(x))
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])[A-Z][a-zA-Z0-9]+(?![A-Za-z0-9_])"), F.lit(0)), lambda x: F.lower(x))
     return F.array_distinct(F.filter(found, lambda x: ~x.isin(*STOPWORDS)))
 
 

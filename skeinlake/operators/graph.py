@@ -37,3 +37,138 @@ def timeline(docs: DataFrame, focus: int, reach: int) -> DataFrame:
     after = near.where(F.col("k") > F.col("f")).orderBy("k").limit(reach)
     steps = lambda df, sign, order, first: df.select("id", (sign * (F.row_number().over(Window.orderBy(order)) - first)).cast("long").alias("steps"))
     return steps(before, -1, F.desc("k"), 1).unionByName(steps(after, 1, F.col("k"), 0))
+
+
+def k_nearest(vectors: DataFrame, k: int, least: float | None = None, blocks: int = 8) -> DataFrame:
+    """(src, dst, similarity, place): the k nearest others of each vector (id, embedding) by exact cosine, over ``least`` if given.
+
+    Vectors are dealt to blocks; each pair of blocks is one matrix product in
+    numpy, and each keeps k per source, so what is shuffled is k rows per
+    source and block, never all pairs.
+    """
+    import numpy as np
+    import pandas as pd
+
+    dealt = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    sides = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    left = dealt.select("id", "embedding", F.col("b").alias("i"), sides).withColumnRenamed("o", "j")
+    right = dealt.select("id", "embedding", F.col("b").alias("j"), sides).withColumnRenamed("o", "i")
+
+    def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"src": [], "dst": [], "similarity": []})
+        x, y = np.array(a.embedding.tolist(), np.float64), np.array(b.embedding.tolist(), np.float64)
+        norm = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+        sim = np.round(norm(x) @ norm(y).T, 9)
+        src, dst = a.id.to_numpy(), b.id.to_numpy()
+        sim[src[:, None] == dst[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(dst, sim.shape), -sim), axis=1)[:, :k]
+        out = pd.DataFrame({"src": np.repeat(src, order.shape[1]), "dst": dst[order].ravel(), "similarity": np.take_along_axis(sim, order, 1).ravel()})
+        return out[np.isfinite(out.similarity)]
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"src {kind}, dst {kind}, similarity double")
+    if least is not None:
+        pairs = pairs.where(F.col("similarity") > least)
+    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))
+    return pairs.withColumn("place", place.cast("long")).where(F.col("place") <= k)
+
+
+def entity_edges(mentions: DataFrame, idf: DataFrame, least: float = 3.0) -> DataFrame:
+    """(a, b, weight) of documents that share a rare entity.
+
+    Entities under ``least`` are dropped before the self join, so its groups
+    are bounded: an idf of 3 is at most a twentieth of all documents; and a
+    pair's weight counts only those, as common ones never raise the maximum.
+    """
+    rare = mentions.join(idf.where(F.col("idf") >= least).select("entity", "idf"), "entity")
+    x, y = rare.alias("x"), rare.alias("y")
+    shared = x.join(y, (F.col("x.entity") == F.col("y.entity")) & (F.col("x.doc_id") < F.col("y.doc_id")))
+    agg = shared.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.max("x.idf").alias("top"), F.count("*").alias("n"))
+    weight = F.least(F.lit(1.0), 0.3 + 0.12 * F.col("top") + F.least(F.lit(0.15), 0.05 * (F.col("n") - 1)))
+    return agg.select("a", "b", weight.alias("weight"))
+
+
+def causal_chain(edges: DataFrame, root: int, depth: int) -> DataFrame:
+    """(node, depth, weight) reached from ``root``: paths without repeats up to ``depth``; weight is that of the root's own edge, else 1."""
+    now = edges.sparkSession.createDataFrame([(root, [root])], "node long, path array<long>")
+    found, step = None, edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct()
+    for k in range(1, depth + 1):
+        # the path holds the ancestors; the node itself may be met again by a loop, as often as an edge says so
+        now = now.join(step, "node").where(~F.array_contains(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), F.col("to")) & (F.col("to") != F.col("node")))
+        now = now.select(F.col("to").alias("node"), F.array_append("path", F.col("to")).alias("path"))
+        level = now.select("node", F.lit(k).cast("long").alias("depth")).distinct()
+        found = level if found is None else found.unionByName(level)
+    direct = edges.where(F.col("src") == root).groupBy(F.col("dst").alias("node")).agg(F.max("weight").alias("w"))
+    return found.join(F.broadcast(direct), "node", "left").select("node", "depth", F.coalesce("w", F.lit(1.0)).alias("weight"))
+
+
+def top_edges(edges: DataFrame, most: int = 10, symmetric: bool = True) -> DataFrame:
+    """(node, to, weight): each node's ``most`` edges, outbound by weight first, then, of symmetric types, inbound."""
+    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), "weight", F.lit(0).alias("way"))
+    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("to"), "weight", F.lit(1).alias("way"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("way", F.desc("weight"), "to"))
+    both = out.unionByName(back) if symmetric else out
+    return both.withColumn("place", place).where(F.col("place") <= most).drop("place", "way")
+
+
+def forward_push(seeds: DataFrame, path: list[DataFrame], alpha: float = 0.15, threshold: float = 1e-4) -> DataFrame:
+    """(node, score) after pushing the seeds' mass along ``path``, one table of top edges per hop.
+
+    A node scores alpha of all mass that reaches it.  At each hop, nodes with
+    more than ``threshold`` deal the rest to their edges by weight; what is
+    left after the last hop is dropped, and so are scores up to ``threshold``.
+    """
+    mass = seeds.groupBy("node").agg(F.max("mass").alias("mass"))
+    kept = mass
+    for hop in path:
+        total = hop.groupBy("node").agg(F.sum("weight").alias("total"))
+        share = (1 - alpha) * F.col("mass") * F.col("weight") / F.col("total")
+        mass = mass.where(F.col("mass") > threshold).join(hop, "node").join(total, "node").where("total > 0")
+        mass = mass.groupBy(F.col("to").alias("node")).agg(F.sum(share).alias("mass"))
+        kept = kept.unionByName(mass)
+    return kept.groupBy("node").agg((alpha * F.sum("mass")).alias("score")).where(F.col("score") > threshold)
+
+
+def beam_search(seeds: DataFrame, edges: DataFrame, affinity: DataFrame, weights, depth: int = 2, beam: int = 5, budget: int = 30) -> DataFrame:
+    """(node, score, depth): the best ``beam`` new neighbours per level, scored .9 * parent + exp(.6 * type + .4 * affinity) * weight.
+
+    ``affinity`` (node, cos) is the query's similarity.  Semantic and entity
+    edges go both ways.  The budget is checked after a level is added.  A node
+    met more than once in a level counts once, by its best score.
+    """
+    back = edges.where(F.col("rel").isin("semantic", "entity")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", "weight")
+    both = edges.unionByName(back).distinct()
+    found = seeds.select("node", "score", F.lit(0).cast("long").alias("depth"))
+    front, size = found, seeds.count()
+    for k in range(1, depth + 1):
+        step = front.join(both, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "score", "rel", "weight")
+        step = step.join(found.select("node"), "node", "left_anti").join(affinity, "node", "left")
+        value = 0.9 * F.col("score") + F.exp(0.6 * weights(F.col("rel")) + 0.4 * F.coalesce("cos", F.lit(0.0))) * F.col("weight")
+        level = step.groupBy("node").agg(F.max(value).alias("score")).orderBy(F.desc(F.round("score", 9)), "node").limit(beam)
+        # a level is at most `beam` rows, so its lineage is cut by value
+        rows = level.collect()
+        front = edges.sparkSession.createDataFrame([(r["node"], r["score"], k) for r in rows], "node long, score double, depth long")
+        found, size = found.unionByName(front), size + len(rows)
+        if size >= budget or not rows:
+            break
+    return found
+
+
+def merge_traversal(old: DataFrame, new: DataFrame, both: float = 1.1, fresh: float = 0.8) -> DataFrame:
+    """Scores normalised by their maximum: max(old, both * new) where both have a node, fresh * new where only the new one has."""
+    norm = lambda df, name: df.join(F.broadcast(df.agg(F.max("score").alias("m")))).select("node", (F.col("score") / F.col("m")).alias(name))
+    joined = old.withColumnRenamed("score", "a").join(norm(new, "b"), "node", "full")
+    score = F.when(F.col("a").isNull(), fresh * F.col("b")).when(F.col("b").isNull(), F.col("a")).otherwise(F.greatest("a", both * F.col("b")))
+    return joined.select("node", score.alias("score"))
+
+
+def co_occurrence_walk(seeds: DataFrame, mentions: DataFrame, pairs: DataFrame, idf: DataFrame, partners: int = 30, docs_each: int = 10) -> DataFrame:
+    """(doc_id, score): documents of the entities that occur most with those of the seed documents."""
+    own = mentions.join(seeds, "doc_id", "left_semi").select("entity").distinct()
+    both = pairs.select(F.col("a").alias("entity"), F.col("b").alias("partner"), "n").unionByName(pairs.select(F.col("b").alias("entity"), F.col("a").alias("partner"), "n"))
+    near = both.join(own, "entity", "left_semi").groupBy("partner").agg(F.max("n").alias("n")).join(own.withColumnRenamed("entity", "partner"), "partner", "left_anti")
+    scored = near.join(idf.withColumnRenamed("entity", "partner"), "partner").select("partner", (F.least(F.lit(1.0), F.log1p("n") / 5) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("idf") / 3))).alias("score"))
+    top = scored.orderBy(F.desc(F.round("score", 9)), "partner").limit(partners)
+    hits = mentions.join(F.broadcast(top), F.col("entity") == F.col("partner")).withColumn("place", F.row_number().over(Window.partitionBy("partner").orderBy("doc_id")))
+    return hits.where(F.col("place") <= docs_each).join(seeds, "doc_id", "left_anti").groupBy("doc_id").agg(F.max("score").alias("score"))
