@@ -27,6 +27,6 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import curation, graph, ranking, retrieval, telemetry  # noqa: F401
+    from . import composed, curation, graph, ranking, retrieval, telemetry  # noqa: F401
 
 

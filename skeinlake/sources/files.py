@@ -1,0 +1,174 @@
+"""File sources and sinks: collections of text files, conversation exports, issue trackers, JSON export."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.chunking import front_matter
+from ..functions.text import glob_regex
+
+# Folders that are never scanned, and how dependencies of issues become edges.
+SKIPPED = ("node_modules", "dist", "build", "vendor")
+ISSUE_RELATIONS = {
+    **dict.fromkeys(("blocks", "conditional-blocks", "waits-for", "caused-by"), "causal"),
+    **dict.fromkeys(("discovered-from", "supersedes", "duplicates"), "supporting"),
+    **dict.fromkeys(("relates-to", "related", "parent-child"), "semantic"),
+}
+
+
+def collection(spark: SparkSession, path: str, glob: str = "**/*.md") -> DataFrame:
+    """(path, body, modified_at) of the files of a folder that match, without hidden and build folders; paths from the folder on."""
+    root = "/" + path.rstrip("/").split("://")[-1].lstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    rows = files.select(F.substring_index("path", root + "/", -1).alias("path"), F.decode("content", "utf-8").alias("body"), F.col("modificationTime").alias("modified_at"))
+    hidden = "(^|/)(\\.[^/]*|" + "|".join(SKIPPED) + ")/"
+    return rows.where(F.col("path").rlike(glob_regex(glob)) & ~F.col("path").rlike(hidden))
+
+
+def with_front_matter(docs: DataFrame) -> DataFrame:
+    """``docs`` with a map of their header's fields and the body without it; what is no header stays body."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            parsed = [front_matter(b or "") for b in rows.body]
+            yield rows.assign(meta=[m for m, _ in parsed], body=[b for _, b in parsed])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInPandas(run, kinds + ", meta map<string,string>")
+
+
+def messages(text: str) -> list[dict[str, str | None]]:
+    """role, content and time of each message of an exported conversation; empty if no format fits.
+
+    Known are JSON lines with sessions, JSON lines of messages, lists of
+    messages, trees of messages by id, chats of two speakers, and plain text
+    with ``User:`` and ``Assistant:`` or ``>`` lines.  Two messages at least, of
+    plain text four with both roles.
+    """
+    found: list[dict[str, str | None]] = []
+    lines = [x for x in text.split("\n") if x.strip()]
+    try:
+        rows = [json.loads(x) for x in lines]
+        if len(rows) > 1 and all(isinstance(r, dict) for r in rows):
+            if any(r.get("type") == "session_meta" for r in rows):
+                found = [_message(r.get("payload") or {}, r) for r in rows if (r.get("payload") or {}).get("role")]
+            else:
+                found = [_message(r.get("message") if isinstance(r.get("message"), dict) else r, r) for r in rows]
+    except ValueError:
+        pass
+    if not found:
+        try:
+            whole = json.loads(text)
+        except ValueError:
+            whole = None
+        if isinstance(whole, list) and whole and isinstance(whole[0], dict) and "mapping" in whole[0]:
+            found = [m for tree in whole for m in _tree(tree["mapping"])]
+        elif isinstance(whole, dict) and "mapping" in whole:
+            found = _tree(whole["mapping"])
+        elif isinstance(whole, dict):
+            rows = whole.get("messages") or whole.get("chat_messages") or []
+            found = [_message(r, r) for r in rows if isinstance(r, dict)]
+        elif isinstance(whole, list):
+            rows = [r for r in whole if isinstance(r, dict)]
+            names = sorted({r.get("user") for r in rows if r.get("type") == "message" and r.get("user")}, key=lambda n: next(k for k, r in enumerate(rows) if r.get("user") == n))
+            if len(names) == 2:
+                role = dict(zip(names, ("user", "assistant"), strict=True))
+                found = [{"role": role[r["user"]], "content": str(r.get("text", "")), "timestamp": str(r.get("ts") or "") or None} for r in rows if r.get("user") in role]
+            elif not names:
+                found = [_message(r, r) for r in rows]
+    found = [m for m in found if m["role"] in ("user", "assistant") and (m["content"] or "").strip()]
+    if len(found) >= 2:
+        return found
+    plain = _plain(lines)
+    return plain if len(plain) >= 4 and len({m["role"] for m in plain}) == 2 else []
+
+
+def _message(m: dict, row: dict) -> dict[str, str | None]:
+    content = m.get("content", m.get("text", ""))
+    if isinstance(content, list):
+        content = "\n".join(str(p.get("text", "")) if isinstance(p, dict) else str(p) for p in content)
+    role = {"human": "user", "ai": "assistant", "model": "assistant"}.get(r := str(m.get("role") or m.get("sender") or row.get("type") or "").lower(), r)
+    at = m.get("timestamp") or m.get("created_at") or row.get("timestamp")
+    return {"role": role, "content": str(content), "timestamp": str(at) if at else None}
+
+
+def _tree(nodes: dict) -> list[dict[str, str | None]]:
+    """Messages from the root down, along first children."""
+    now = next((k for k, n in nodes.items() if not n.get("parent")), None)
+    out, seen = [], set()
+    while now in nodes and now not in seen:
+        seen.add(now)
+        m = nodes[now].get("message")
+        if m:
+            parts = (m.get("content") or {}).get("parts") or []
+            at = m.get("create_time")
+            out.append({"role": (m.get("author") or {}).get("role"), "content": "\n".join(p for p in parts if isinstance(p, str)), "timestamp": str(at) if at else None})
+        children = nodes[now].get("children") or []
+        now = children[0] if children else None
+    return out
+
+
+def _plain(lines: list[str]) -> list[dict[str, str | None]]:
+    out: list[dict[str, str | None]] = []
+    for line in lines:
+        m = re.match(r"(user|human|assistant|ai)\s*:\s*(.*)", line, re.I)
+        if m or line.startswith("> "):
+            role = "user" if not m or m[1].lower() in ("user", "human") else "assistant"
+            out.append({"role": role, "content": m[2] if m else line[2:], "timestamp": None})
+        elif out and out[-1]["role"] == "user" and lines[0].startswith("> "):
+            out.append({"role": "assistant", "content": line, "timestamp": None})
+        elif out:
+            out[-1]["content"] += "\n" + line
+    return out
+
+
+def conversations(files: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, timestamp) of files (path, body); files of no known format give no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [(p, k, m["role"], m["content"], m["timestamp"]) for p, b in zip(rows.path, rows.body, strict=True) for k, m in enumerate(messages(b or ""))]
+            yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "text", "timestamp"])
+
+    return files.select("path", "body").mapInPandas(run, "conv_id string, turn long, role string, text string, timestamp string")
+
+
+def issues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Issues (id, title, body) and edges (src, dst, rel) of a tracker's JSON lines; loops are left out."""
+    schema = "id string, title string, description string, status string, dependencies array<struct<depends_on_id: string, type: string>>"
+    rows = spark.read.schema(schema).json(path)
+    edges = rows.select(F.col("id").alias("dst"), F.explode("dependencies").alias("d")).select(F.col("d.depends_on_id").alias("src"), "dst", relation_of(F.col("d.type")).alias("rel"))
+    return rows.select("id", "title", F.col("description").alias("body"), "status"), edges.where("src <> dst").distinct()
+
+
+def relation_of(kind: Column) -> Column:
+    out = F.lit("semantic")
+    for name, rel in ISSUE_RELATIONS.items():
+        out = F.when(kind == name, rel).otherwise(out)
+    return out
+
+
+def export_json(docs: DataFrame, path: str) -> None:
+    """One JSON object for each active document."""
+    docs.where("active").drop("active").write.mode("overwrite").json(path)
+
+
+def formatted(results: DataFrame, kind: str) -> DataFrame:
+    """(line) for each result: json, csv, files, md or xml."""
+    cells = [F.col(c).cast("string") for c in results.columns]
+    quoted = [F.when(c.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit(""))) for c in cells]
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    line = {
+        "json": lambda: F.to_json(F.struct(*results.columns)),
+        "csv": lambda: F.concat_ws(",", *quoted),
+        "files": lambda: F.col("path"),
+        "md": lambda: F.concat(F.lit("- "), F.concat_ws(" | ", *cells)),
+        "xml": lambda: F.concat(F.lit("<result>"), *[F.concat(F.lit(f"<{n}>"), escaped(c), F.lit(f"</{n}>")) for n, c in zip(results.columns, cells, strict=True)], F.lit("</result>")),
+    }[kind]()
+    return results.select(line.alias("line"))
