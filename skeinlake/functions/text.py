@@ -43,7 +43,7 @@ def parse_uri(c: Column, scheme: str = "vault") -> list[Column]:
 
 
 def glob_regex(glob: str) -> str:
-    """An anchored regular expression for a glob with ``*``, ``**``, ``?`` and ``{a,b}``."""
+    """An anchored regular expression for a glob with ``*``, ``**``, ``?`` and ``{a,b}``; a brace without its other is itself."""
     out, i, depth = "", 0, 0
     while i < len(glob):
         c = glob[i]
@@ -55,7 +55,7 @@ def glob_regex(glob: str) -> str:
             out += "[^/]*"
         elif c == "?":
             out += "[^/]"
-        elif c == "{":
+        elif c == "{" and glob.count("}", i) > depth:
             out, depth = out + "(?:", depth + 1
         elif c == "}" and depth:
             out, depth = out + ")", depth - 1
