@@ -19,6 +19,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from tokenizers import Tokenizer
 
 from ._spark import saved
 
-#: Different words that a worker remembers.
-REMEMBERED = 1 << 19
+#: Different words, and parts of words, that a worker remembers: about 200 bytes each.
+REMEMBERED, REMEMBERED_PARTS = 1 << 20, 3 << 18
 _MARK = "\x01"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -51,14 +52,18 @@ class WordTokenizer:
         joined = self._ids("ab ab") == self._ids("ab") * 2 and self._ids(" ab\n") == self._ids("ab")
         if not joined:
             raise ValueError("the tokenizer keeps white space, so words can't be encoded apart")
+        # whether case is dropped and marks after letters are split off, as letters and other signs never share a token
+        self.apart = all(self._ids(f"{x}{y}") == self._ids(x.lower()) + self._ids(y) for x in ("Abc", "\u00c9t\u00e9", "Zz") for y in (".", ",", "!?", ";", ":", "..."))
         self.memory: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of different words or parts of words."""
         out = {}
-        plain = [w for w in words if _MARK not in w] if self.mark is not None else []
+        plain = [w for w in parts if _MARK not in w] if self.mark is not None else []
         for k in range(0, len(plain), 4096):
             some = plain[k : k + 4096]
             ids = np.array(self._ids(f" {_MARK} ".join(some)), "<u4")
@@ -70,9 +75,27 @@ class WordTokenizer:
             for w, b in zip(some, [*ends.tolist(), len(ids)], strict=True):
                 out[w] = raw[4 * a : 4 * b]
                 a = b + 1
-        out.update({w: np.array(self._ids(w), "<u4").tobytes() for w in words if w not in out})
+        out.update({w: np.array(self._ids(w), "<u4").tobytes() for w in parts if w not in out})
         return out
 
+    def _learn_words(self, words: set[str]) -> None:
+        """Remember new words: letters in lower case and the marks after them are encoded apart, once for all forms."""
+        cores, whole, wanted = self.cores, [], {}
+        if len(cores) > REMEMBERED_PARTS:
+            cores.clear()
+        for w in words:
+            core = w.rstrip(".,!?;:")
+            low = core.lower()
+            if self.apart and core.isalpha() and len(low) == len(core) and low.isalpha() and "\u03a3" not in core and (core.isascii() or is_normalized("NFC", core)):
+                wanted[w] = low, w[len(core) :]
+            else:
+                whole.append(w)
+        new = {part for pair in wanted.values() for part in pair if part and part not in cores}
+        cores.update(self._learn(list(new)))
+        cores[""] = b""
+        self.memory.update({w: cores[low] + cores[tail] for w, (low, tail) in wanted.items()})
+        self.memory.update(self._learn(whole))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; null is empty."""
         cut = [(_SPACE.split(t) if _ODD_SPACE.search(t) else t.split()) if t else [] for t in texts]
@@ -81,7 +104,7 @@ class WordTokenizer:
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = {w for words in cut for w in words}
-        known.update(self._learn(list(new)))
+        self._learn_words(new)
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
