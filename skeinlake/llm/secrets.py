@@ -5,12 +5,14 @@ the bytes of a batch of texts: many lines side by side, a byte of each at a
 time, by table look-up.  No rule matches a line feed, so lines are
 independent.  Where it accepts, the line and the rule are known; the spans of
 that rule in that line are then taken, leftmost first and not overlapping,
-with the rule's own automaton.
+with the rule's own automaton.  A private key goes on over the lines that
+follow its header.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,7 +36,8 @@ class Rule:
     A match of ``pattern`` shorter than ``least``, counted after ``lead``, is
     passed over whole.  The combined automaton holds ``trigger``, which every
     match that is long enough contains: telling starts is all that the one
-    pass needs, and the states of open-ended tails would multiply.
+    pass needs, and the states of open-ended tails would multiply.  The match
+    of a rule that is ``armored`` is the header of a key, which is part of it.
     """
 
     kind: str
@@ -43,6 +46,7 @@ class Rule:
     least: int = 0
     ignore_case: bool = False
     lead: str = ""
+    armored: bool = False
 
 
 # The base rules, and public formats of common credentials.
@@ -53,7 +57,7 @@ BASE = (
     Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{16}", 16),
 )
 ADDED = (
-    Rule("private_key", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", r"-----BEGIN\x20"),
+    Rule("private_key", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", r"-----BEGIN\x20", armored=True),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", r"gh[pousr]_[A-Za-z0-9]", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", r"xox[abprs]-", 15),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"\.eyJ[A-Za-z0-9_-]", 36),
@@ -62,6 +66,25 @@ ADDED = (
     Rule("url_password", r"://[A-Za-z0-9._~%+-]+:[A-Za-z0-9._~%+-]+@", r"://[A-Za-z0-9._~%+-]"),
 )
 
+_MARK = re.compile(rb"-----(BEGIN|END)\x20(?:[A-Z]+\x20)*PRIVATE\x20KEY-----")
+_SIDE = rb"""(?:[^\S\n]|["'>#*|,])*+"""  # margins and quotes
+_GAP = rb"""(?:\s|["'>#*|,]|\\[nr])*+"""  # these, blank lines and escaped line ends
+# Name: value lines, then base64; a run of under 32 letters has to fill the next line; padding ends all
+_BODY = re.compile(
+    rb"(?:\s*+(?<=\n)[A-Za-z][A-Za-z0-9-]*+:[^\n]*+)*+"
+    rb"(?:" + _GAP + rb"[A-Za-z0-9+/]{32,}+"
+    rb"|" + _SIDE + rb"(?:\\r)?(?:\n|\\n)" + _SIDE + rb"[A-Za-z0-9+/]++(?=={1,2}(?![A-Za-z0-9+/=])|" + _SIDE + rb"(?:\n|\Z|\\[nr])|[\"']))+={0,2}"
+)
+
+
+def key_end(data: bytes, at: int, stop: int) -> int:
+    """Where the private key whose header ends at ``at`` ends: after the END before the next BEGIN, else after the last line of base64."""
+    mark = _MARK.search(data, at, stop)
+    if mark and mark[1] == b"END":
+        return mark.end()
+    body = _BODY.match(data, at, stop)
+    return body.end() if body else at
+
 
 class Scanner:
     """Finds the spans of ``rules`` in batches of texts."""
@@ -148,13 +171,19 @@ class Scanner:
                 continue
             heads = np.zeros(len(part) + 1, np.int64)
             np.cumsum((part & 0xC0) != 0x80, out=heads[1:])
+            raw = None
             for start, end, bits in hits:
                 row = int(np.searchsorted(at, start, "right")) - 1
                 base = heads[at[row]]
                 line = part[start:end].tobytes()
                 for k in range(len(self.rules)):
                     if bits >> k & 1:
-                        out[i + row] += [(int(heads[start + a] - base), int(heads[start + b] - base), k) for a, b in self.spans_of(k, line)]
+                        spans = self.spans_of(k, line)
+                        if self.rules[k].armored and spans:
+                            raw = part.tobytes() if raw is None else raw
+                            stop = int(at[row + 1]) - 1
+                            spans = [(a, key_end(raw, start + b, stop) - start) for a, b in spans]
+                        out[i + row] += [(int(heads[start + a] - base), int(heads[start + b] - base), k) for a, b in spans]
         for x in out:
             x.sort(key=lambda s: (s[0], s[2], s[1]))
         return out

@@ -215,6 +215,36 @@ def test_secrets(spark):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_whole_private_keys(spark):
+    rng = random.Random(16)
+    line = lambda n: "".join(rng.choice("ABCDEFghijkl0189+/") for _ in range(n))
+    lines = [line(64), line(64), line(64), line(22) + "=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    armor = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    key = "\n".join(lines)
+    # (text, what redact() leaves of it)
+    cases = [
+        (f"é a\n{begin}\n{key}\n{end}\nb", "é a\n<SECRET>\nb"),
+        (f"a\r\n{begin}\r\n" + "\r\n".join([*lines, end]) + "\r\nb", "a\r\n<SECRET>\r\nb"),
+        (f"> {begin}\n> " + "\n> ".join([*lines, end]), "> <SECRET>"),
+        (f"{begin}\n{armor}{key}\n{end}", "<SECRET>"),
+        (f"{begin}\n{armor}{key}\nand more", "<SECRET>\nand more"),
+        (f"{begin}\n{key}", "<SECRET>"),
+        (f'"{begin}' + "\\n".join(["", *lines, end]) + '", x', '"<SECRET>", x'),
+        (f'"{begin}' + "\\n".join(["", *lines]) + '", x', '"<SECRET>", x'),
+        (f"{begin} {' '.join(lines)} {end} b", "<SECRET> b"),
+        (f"{begin}\n{key}\n{begin}\n{key}\n{end}\nb", "<SECRET>\n<SECRET>\nb"),
+        (f"the line {begin} opens a key\nof RSA", "the line <SECRET> opens a key\nof RSA"),
+        (f"{begin}", "<SECRET>"),
+    ]
+    docs = table(spark, [t for t, _ in cases] + [key])
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert [clean[k] for k in range(len(cases))] == [left for _, left in cases]
+    assert clean[len(cases)] == key, "the next row's key isn't part of the last one's"
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "private_key"] for r in secrets.find_secrets(docs).collect()}
+    assert found[0] == [(4, len(cases[0][0]) - 2)]
+
+
 def test_automaton_agrees_with_regular_expressions():
     rng = random.Random(9)
     for pattern in ["a(b|c)*d", "[a-c]{2,3}x?", "(ab|a)(c|bcd)+", "a{2}b{1,}", "[^a]b"]:
