@@ -8,7 +8,7 @@ explicit allow in it allows, else one explicit block blocks, else the default ho
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,22 +56,83 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return out.otherwise(F.lit(None).cast("struct<rule: string, verdict: string>"))
 
 
+_NAMED = {"amp": "&", "AMP": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "sol": "/", "colon": ":", "period": ".", "quest": "?", "equals": "=", "num": "#", "percnt": "%", "lowbar": "_", "plus": "+", "comma": ",", "semi": ";"}
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once; written out, nested uses of it would multiply the plan."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _decoded(value: Column) -> Column:
+    """An attribute's value without character references: any by number, and the names of letters that urls are made of."""
+    names = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+
+    def one(piece: Column) -> Column:
+        name = names[F.regexp_extract(piece, "^&([A-Za-z]+);$", 1)]
+        digits = F.regexp_extract(piece, "^&#[xX]?([0-9a-fA-F]+);?$", 1)
+        code = F.when(piece.rlike("^&#[xX]"), digits).when(digits != "", F.conv(digits, 10, 16))
+        number = F.conv(code, 16, 10).cast("long")
+        letter = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        return F.when(piece.startswith("&#") & letter, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")).otherwise(F.coalesce(name, piece))
+
+    pieces = lambda v: F.regexp_extract_all(v, F.lit("[^&]+|&#[xX][0-9a-fA-F]{1,6};?|&#[0-9]{1,7};?|&[A-Za-z]+;|&"), F.lit(0))
+    return _let(value, lambda v: F.when(v.contains("&"), F.array_join(F.transform(pieces(v), one), "")).otherwise(v))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The decoded value of a tag's attribute, empty if there is none."""
+    found = rf"""(?is)(?<=[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|["']?([^"'\s>]+))"""
+    return F.trim(_decoded(F.concat(*[F.regexp_extract(tag, found, k) for k in (1, 2, 3)])))
+
+
 def targets_of(html: Column) -> Column:
-    """Urls that a page names as its canonical one or redirects to."""
+    """Urls that a page names as its canonical one or redirects to, as they are written there."""
     html = F.coalesce(html, F.lit(""))
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    link = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b")), lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    meta = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b")), lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    return F.concat(link, meta)
+    canonical = lambda t: F.array_contains(F.split(_ascii_lower(_attribute(t, "rel")), r"\s+"), "canonical")
+    link = F.transform(F.filter(tags, canonical), lambda t: _attribute(t, "href"))
+
+    def refresh(t: Column) -> Column:
+        url = F.regexp_extract(_attribute(t, "content"), r"""(?is)^[\s\d.]*(?:[;,]\s*(?:url\s*=\s*)?|url\s*=\s*)["']?([^"']*)""", 1)
+        return F.when(url != "", F.trim(url)).otherwise(_decoded(F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)))
+
+    meta = F.transform(F.filter(tags, lambda t: _ascii_lower(_attribute(t, "http-equiv")) == "refresh"), refresh)
+    return F.filter(F.concat(link, meta), lambda x: x != "")
+
+
+def base_of(url: Column, html: Column) -> Column:
+    """What a page's relative targets are resolved against: its first ``<base href>``, seen from its url, else its url."""
+    named = _attribute(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<base\b[^>]*\bhref\b[^>]*>", 0), "href")
+    return _let(named, lambda x: F.coalesce(F.when(x != "", resolved(url, x)), url))
+
+
+def _without_dots(path: Column) -> Column:
+    """``path``, which starts with a slash, without ``.`` and ``..``."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, x))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    tail = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(path)
 
 
 def resolved(url: Column, target: Column) -> Column:
-    """``target`` as an absolute url seen from ``url``: with a scheme, without one (``//``), or from the host's root (``/``). Else null."""
+    """``target`` as an absolute url seen from ``url``, by the rules of RFC 3986; null for other schemes and for the page itself."""
+    return _let(url, lambda u: _let(target, lambda t: _resolved(u, t)))
+
+
+def _resolved(url: Column, target: Column) -> Column:
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    root = F.concat(scheme, F.lit("://"), host_of(url))
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
     return (
-        F.when(target.contains("://"), target)
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (target == "") | target.startswith("#"), F.lit(None).cast("string"))
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), target))
+        .when(target.startswith("/"), F.concat(root, _let(path, _without_dots), rest))
+        .when(path == "", F.concat(root, path_of(url), rest))
+        .otherwise(F.concat(root, _let(F.concat(folder, path), _without_dots), rest))
     )
 
 
@@ -95,12 +156,12 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirec
     execution splits where many share it.
     """
     url = F.col("url")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), targets_of(F.col(html_col)).alias("targets"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), targets_of(F.col(html_col)).alias("targets"))
     rows = rows.withColumns({"host": host_of(url), "path": path_of(url), "name": identity_of(url)})
     rows = rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     named = rows.select("page_id", "host", "path", "name", "fit")
 
-    ends = rows.where(F.size("targets") > 0).select("url", F.explode("targets").alias("target")).select("url", resolved(url, F.col("target")).alias("to"))
+    ends = rows.where(F.size("targets") > 0).select("url", base_of(url, F.col("html")).alias("base"), F.explode("targets").alias("target")).select("url", resolved(F.col("base"), F.col("target")).alias("to"))
     if redirects is not None:
         ends = ends.unionByName(redirects.select(F.col("from_url").alias("url"), F.col("to_url").alias("to")))
     edges = ends.select(identity_of(url).alias("u"), identity_of(F.col("to")).alias("v")).where("u is not null and v is not null")

@@ -108,6 +108,50 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_links_of_all_forms(spark):
+    from pyspark.sql import functions as F
+
+    link = '<link rel="{}" href="{}">'.format
+    rows = [
+        # (url, html, what the page is an alias of)
+        ("http://a.net/x/y/1", link("canonical", "page2.html"), "a.net/x/y/page2.html"),
+        ("http://a.net/x/y/2", link("canonical", "../z"), "a.net/x/z"),
+        ("http://a.net/x/y/3", link("canonical", "../../../q/./r/.."), "a.net/q"),
+        ("http://a.net/x/y/4", link("canonical", "?id=3"), "a.net/x/y/4?id=3"),
+        ("http://a.net/x/y/5?p=1", link("canonical", "?u=http://b.net/"), "a.net/x/y/5?u=http://b.net/"),
+        ("http://a.net", link("canonical", "r?s=../t"), "a.net/r?s=../t"),
+        ("http://a.net/6", link("canonical", "http://h.net/p?a=1&amp;b=2"), "h.net/p?a=1&b=2"),
+        ("http://a.net/7", link("canonical", "&#104;ttp&#x3A;//h.net/&#xe9;&#x6F22;&nosuch;&"), "h.net/\u00e9\u6f22&nosuch;&"),
+        ("http://a.net/8", link("alternate canonical", "/s/8"), "a.net/s/8"),
+        ("http://a.net/9", "<LINK HREF=/s/9 REL='Nofollow\tCANONICAL'>", "a.net/s/9"),
+        ("http://a.net/10", '<meta content="0;URL=\'t/10?a=1&amp;b=2\'" http-equiv="Refresh">', "a.net/t/10?a=1&b=2"),
+        ("http://a.net/11", '<meta http-equiv="refresh" content="3; u11">', "a.net/u11"),
+        ("http://a.net/12", '<base href="/deep/er/"><link rel=canonical href=v12>', "a.net/deep/er/v12"),
+        # none of these is a link to another page
+        ("http://a.net/13", link("canonicals", "/s/13") + link("canonical", "#top") + link("canonical", "mailto:x@y.z") + link("canonical", ""), None),
+        ("http://a.net/14", '<meta http-equiv="refresh" content="30"><link rel="next" href="/canonical">', None),
+    ]
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
+    named = pages.select("page_id", F.explode(urls.targets_of(F.col("html"))).alias("t"), urls.base_of(F.col("url"), F.col("html")).alias("base"))
+    named = named.select("page_id", urls.identity_of(urls.resolved(F.col("base"), F.col("t"))).alias("name")).where("name is not null")
+    assert {r["page_id"]: r["name"] for r in named.collect()} == {k: x for k, (_, _, x) in enumerate(rows) if x}
+
+
+def test_blocks_reach_aliases_by_any_link(spark):
+    link = '<link rel="{}" href="{}">'.format
+    rows = [
+        (1, "http://a.net/x/1", link("canonical", "../bad/page?a=1&amp;b=2")),
+        (2, "http://b.net/bad2", link("alternate canonical", "http://a.net/bad/page?b=2&#38;a=1")),
+        (3, "http://a.net/x/1", link("canonical", "?id=3")),
+        (4, "http://a.net/x/1?id=3", ""),
+        (5, "http://a.net/x/5", link("canonical", "1?id=9")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r["page_id"]: (r["verdict"], r["alias_of"]) for r in urls.filter_urls(pages, (("block", "a.net", "/bad/"),)).collect()}
+    assert [out[k][0] for k in (1, 2, 3, 4, 5)] == ["block"] * 4 + ["allow"]
+    assert len({out[k][1] for k in (1, 2, 3, 4)}) == 1
+
+
 def test_components_on_long_paths(spark):
     from skeinlake.llm.components import components
 
