@@ -24,16 +24,24 @@ def recall_stats(events: DataFrame) -> DataFrame:
     return stats.withColumns({"diversity": F.round(diversity, 6), "spacing": F.round(spacing(F.col("days"), F.col("span")), 6)})
 
 
-def pair_counts(rows: DataFrame, group: str, item: str) -> DataFrame:
+def pair_counts(rows: DataFrame, group: str, item: str, stretch: int | None = None) -> DataFrame:
     """(a, b, n) of unordered pairs of different items that share a group; a repeated item counts once.
 
     Pairs are made inside a group's own sorted list of distinct items; groups
-    are injections, orders or documents, short by nature.
+    are injections, orders or documents, short by nature.  Where they aren't,
+    lists longer than ``stretch`` are dealt out by that many first items before
+    pairs are made, so that no task has all pairs of a long group.
     """
     lists = rows.select(group, item).distinct().groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    first = lists.select("items", F.posexplode("items").alias("k", "a"))
-    pairs = first.select("a", F.explode(F.slice("items", F.col("k") + 2, F.size("items"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    firsts = lambda most: F.posexplode(F.slice("items", 1, most) if most else F.col("items")).alias("k", "a")
+    pairs = lambda df, most=None: df.select("items", firsts(most)).select("a", F.explode(F.slice("items", F.col("k") + 2, F.size("items"))).alias("b"))
+    if stretch is None:
+        found = pairs(lists)
+    else:
+        long = lists.where(F.size("items") > stretch).select("items", F.explode(F.sequence(F.lit(0), F.size("items") - 1, F.lit(stretch))).alias("at"))
+        dealt = long.select(F.slice("items", F.col("at") + 1, F.size("items")).alias("items")).repartition(F.xxhash64("items"))
+        found = pairs(lists.where(F.size("items") <= stretch)).unionByName(pairs(dealt, stretch))
+    return found.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def top_partners(pairs: DataFrame, most: int = 5) -> DataFrame:

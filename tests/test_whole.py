@@ -1,6 +1,7 @@
 """Registered queries against brute force over whole tables, where their SQL holds a cut or is absent."""
 
 import math
+import re
 from collections import defaultdict
 
 import pyarrow.parquet as pq
@@ -65,3 +66,23 @@ def test_graph_queries_take_all_edges(spark):
     ids = {i for (i,) in rows("documents", "doc_id") if i < 400}
     best = sorted((-round(w, 6), a, b) for (a, b), w in weight.items() if a in ids and b in ids)[:10]
     close({(r["src"], r["dst"]): r["weight"] for r in registry.QUERIES["C09"](spark, DATA).collect()}, {(a, b): -w for w, a, b in best})
+
+
+def test_pairs_of_entities_take_all_documents(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    from skeinlake.operators import telemetry
+
+    found = defaultdict(set)
+    for doc, text in rows("documents", "doc_id", "text"):
+        found[doc] |= {x.lower() for x in re.findall(r"\b[A-Z][a-zA-Z0-9]{5,}\b", text or "", re.A)}
+    assert max(map(len, found.values())) > 12
+    want = Counter(pair for names in found.values() for pair in combinations(sorted(names), 2))
+    got = {(r["a"], r["b"]): r["n"] for r in registry.QUERIES["D04"](spark, DATA).collect()}
+    assert got == {pair: n for pair, n in want.items() if n >= 2}
+    # lists longer than a stretch give the same pairs
+    items = spark.createDataFrame([(g, i) for g in range(3) for i in range(0, 10 + 7 * g, g + 1)], "g long, i long")
+    pairs = lambda stretch: {(r["a"], r["b"]): r["n"] for r in telemetry.pair_counts(items, "g", "i", stretch).collect()}
+    want = Counter(p for g in range(3) for p in combinations(range(0, 10 + 7 * g, g + 1), 2))
+    assert pairs(4) == pairs(256) == want
