@@ -39,8 +39,8 @@ def timeline(docs: DataFrame, focus: int, reach: int) -> DataFrame:
     return steps(before, -1, F.desc("k"), 1).unionByName(steps(after, 1, F.col("k"), 0))
 
 
-def k_nearest(vectors: DataFrame, k: int, least: float | None = None, blocks: int = 8) -> DataFrame:
-    """(src, dst, similarity, place): the k nearest others of each vector (id, embedding) by exact cosine, over ``least`` if given.
+def k_nearest(vectors: DataFrame, k: int, least: float | None = None, blocks: int = 8, beyond: float | None = None) -> DataFrame:
+    """(src, dst, similarity, place): the k nearest others of each vector (id, embedding) by exact cosine, over ``least`` if given, of those farther than a distance (1 - similarity) of ``beyond`` if given.
 
     Vectors are dealt to blocks; each pair of blocks is one matrix product in
     numpy, and each keeps k per source, so what is shuffled is k rows per
@@ -62,6 +62,8 @@ def k_nearest(vectors: DataFrame, k: int, least: float | None = None, blocks: in
         sim = np.round(norm(x) @ norm(y).T, 9)
         src, dst = a.id.to_numpy(), b.id.to_numpy()
         sim[src[:, None] == dst[None, :]] = -np.inf
+        if beyond is not None:
+            sim[1 - sim <= beyond] = -np.inf
         order = np.lexsort((np.broadcast_to(dst, sim.shape), -sim), axis=1)[:, :k]
         out = pd.DataFrame({"src": np.repeat(src, order.shape[1]), "dst": dst[order].ravel(), "similarity": np.take_along_axis(sim, order, 1).ravel()})
         return out[np.isfinite(out.similarity)]

@@ -37,10 +37,7 @@ def vector_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("K08", f"with {_NEAR}, d as (select src, 1 - similarity as distance, row_number() over (partition by src order by similarity desc, dst) as n from near where 1 - similarity > 0.001) select src, round(avg(distance), 6) as surprisal from d where n <= 5 group by 1")
 def surprisal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = ops.k_nearest(_vectors(spark, sf_dir), 64).withColumn("distance", 1 - F.col("similarity")).where("distance > 0.001")
-    from pyspark.sql import Window
-
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("place"))).where("n <= 5")
+    near = ops.k_nearest(_vectors(spark, sf_dir), 5, beyond=0.001).withColumn("distance", 1 - F.col("similarity"))
     return near.groupBy("src").agg(F.round(F.avg("distance"), 6).alias("surprisal"))
 
 

@@ -86,3 +86,16 @@ def test_pairs_of_entities_take_all_documents(spark):
     pairs = lambda stretch: {(r["a"], r["b"]): r["n"] for r in telemetry.pair_counts(items, "g", "i", stretch).collect()}
     want = Counter(p for g in range(3) for p in combinations(range(0, 10 + 7 * g, g + 1), 2))
     assert pairs(4) == pairs(256) == want
+
+
+def test_surprisal_passes_over_any_number_of_near_copies(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 8))
+    x[:70] = x[0] + rng.normal(size=(70, 8)) * 1e-4  # 70 near copies
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    far = 1 - np.round(unit @ unit.T, 9)
+    want = {k: float(np.mean(sorted(d for i, d in enumerate(far[k]) if i != k and d > 0.001)[:5])) for k in range(90)}
+    close({r["src"]: r["surprisal"] for r in registry.QUERIES["K08"](spark, str(tmp_path)).collect()}, want)
