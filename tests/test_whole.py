@@ -3,6 +3,7 @@
 import math
 import re
 from collections import defaultdict
+from itertools import combinations
 
 import pyarrow.parquet as pq
 
@@ -70,7 +71,6 @@ def test_graph_queries_take_all_edges(spark):
 
 def test_pairs_of_entities_take_all_documents(spark):
     from collections import Counter
-    from itertools import combinations
 
     from skeinlake.operators import telemetry
 
@@ -99,3 +99,20 @@ def test_surprisal_passes_over_any_number_of_near_copies(spark, tmp_path):
     far = 1 - np.round(unit @ unit.T, 9)
     want = {k: float(np.mean(sorted(d for i, d in enumerate(far[k]) if i != k and d > 0.001)[:5])) for k in range(90)}
     close({r["src"]: r["surprisal"] for r in registry.QUERIES["K08"](spark, str(tmp_path)).collect()}, want)
+
+
+def test_entity_edges_from_the_references_threshold(spark):
+    docs = defaultdict(set)
+    n = 0
+    for doc, text in rows("documents", "doc_id", "text"):
+        n += 1
+        for x in re.findall(r"\b[A-Z][a-zA-Z0-9]{5,}\b", text or "", re.A):
+            docs[x.lower()].add(doc)
+    shared = defaultdict(list)
+    for found in docs.values():
+        idf = math.log((n + 1) / (len(found) + 1))
+        for pair in combinations(sorted(found), 2) if idf >= 3 else ():
+            shared[pair].append(idf)
+    want = {p: min(1.0, 0.3 + 0.12 * max(x) + min(0.15, 0.05 * (len(x) - 1))) for p, x in shared.items()}
+    assert want
+    close({(r["a"], r["b"]): r["weight"] for r in registry.QUERIES["J02"](spark, DATA).collect()}, want)
