@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,10 +12,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def saved(df: DataFrame) -> DataFrame:
     """``df`` as written to the cluster's shared checkpoint folder, without lineage.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where the session
-    names none, as in tests, a temporary one is made.
+    The folder is the one in ``spark.checkpoint.dir``.  Where the session names
+    none, a folder beside the warehouse is used, which a cluster shares too; a
+    machine's own temporary folder never is.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoint"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()
+
+
+def release(*tables: DataFrame, shuffles: bool = True) -> None:
+    """Delete the files of ``saved`` tables that nothing reads any more.
+
+    Shuffles that no table refers to are dropped as well, once the driver has
+    collected its garbage; ``shuffles`` asks for that now.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if shuffles and tables:
+        tables[0].sparkSession._jvm.System.gc()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import saved
+from ._spark import release, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,8 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
         both = star.unionByName(star.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(v > u).join(least, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where(v > u).join(least, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        star = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        done, star = star, saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        release(done)
     return star.select(u.alias("node"), v.alias("component")).unionByName(star.select(v.alias("node"), v.alias("component")).distinct())

@@ -77,6 +77,7 @@ def test_ngram_join_blocks_and_empty(spark, monkeypatch):
     whole = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(table(spark, texts), width=3, percent=80).collect()}
     monkeypatch.setattr(ngram_join, "SMALL_GROUP", 2)
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    monkeypatch.setattr(ngram_join, "KEY_ROWS", 512)
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(table(spark, texts), width=3, percent=80).collect()} == whole
     assert ngram_join.ngram_jaccard_join(table(spark, ["x"]).limit(0)).collect() == []
 
@@ -416,8 +417,9 @@ def test_language_models(spark):
     for context in (0, 1, 5):
         codes = (model.dtype(context) << model.dtype(model.bits)) | symbols
         assert np.allclose(np.exp(model.log(codes).astype(float)).sum(axis=0), 1, atol=1e-3)
-    with pytest.raises(ValueError):
-        langid.fit(docs.where("lang = 'none'"))
+    none = langid.fit(docs.where("lang = 'none'"))
+    assert none.languages == [] and {(r["lang_pred"], r["score"], r["rejected"]) for r in langid.identify(docs, none).collect()} == {("und", 0.0, True)}
+    assert langid.keep_identified(docs, none).count() == docs.count()
 
 
 def test_pipeline(spark, tmp_path):
