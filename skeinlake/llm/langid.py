@@ -28,13 +28,17 @@ ORDER = 4
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """For each code point its lower-case letter as 16 bits, 0 where it is no letter."""
+    """For each code point its lower-case letter as 16 bits, 0 where it is no letter.
+
+    Letters beyond the basic plane share the 8448 values there that are no letters: surrogates and private use.
+    """
     out = np.zeros(0x110000, np.uint16)
     for c in range(0x110000):
         s = chr(c)
         if s.isalpha():
             low = s.lower()
-            out[c] = (ord(low) if len(low) == 1 else c) & 0xFFFF or 1
+            own = ord(low) if len(low) == 1 else c
+            out[c] = own if own < 0x10000 else 0xD800 + own % 8448
     return out
 
 
@@ -146,7 +150,10 @@ class Model:
     def entropies(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """For ranges of rows i:j: cross-entropy by language, number of symbols, number of letters."""
         data, offsets = flat(column)
-        for i, j in chunks(offsets, 1 << 20):
+        for i, j in chunks(offsets, 1 << 18):
+            if not self.languages:
+                yield i, j, np.zeros((j - i, 1)), np.ones(j - i, np.int64), np.zeros(j - i, np.int64)
+                continue
             s, first, letters = _symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             codes, at = _windows(self.encode(s), first, self.bits, self.dtype)
             sums = np.zeros((len(codes) + 1, len(self.languages)))
@@ -155,14 +162,13 @@ class Model:
             yield i, j, -(sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1)[:, None], n, letters
 
 
-def _fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], most_letters: int) -> Model:
+def _fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """counts: for each language 64-bit codes of four 16-bit letters, and how often each occurs."""
     totals = np.zeros(65536, np.int64)
     for codes, n in counts.values():
         np.add.at(totals, (codes & np.uint64(0xFFFF)).astype(np.int64), n)
     totals[0] = 0
-    common = np.argsort(-totals, kind="stable")[:most_letters]
-    alphabet = np.sort(common[totals[common] > 0]).astype(np.uint16)
+    alphabet = np.flatnonzero(totals).astype(np.uint16)
     model = Model(sorted(counts), alphabet)
     model.bits = max(1, int(len(alphabet) + 1).bit_length())
     bits, dtype, width = model.bits, model.dtype, len(model.languages)
@@ -196,19 +202,21 @@ def _fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], most_letters: int) ->
     return model
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 4000, most_letters: int = 126, slack: float = 1.5) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 4000, slack: float = 1.5) -> Model:
     """Models of the languages of ``labelled``, and the limit of rejection.
 
     About ``sample_docs`` documents of each language, drawn by a hash of their
     id, are counted on the executors, whole; four fifths of them make the
     models.  The rest calibrate the rejection: the limit is ``slack`` times
-    the largest standardised cross-entropy among them.  Null texts or labels
-    teach nothing; without any labelled text there is no model (ValueError).
+    the largest standardised cross-entropy among them.  The alphabet is every
+    letter that the sample has.  Null texts or labels teach nothing; without
+    any labelled text the model has no language: it predicts none, and all
+    texts stay.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
-        raise ValueError("there are no labelled texts to learn from")
+        return Model([], np.zeros(0, np.uint16))
     draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     share = F.lit(0.0)
     for lang, n in sizes.items():
@@ -234,8 +242,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         own = langs == lang
         counts[lang] = codes[own], n[own]
     if not counts:
-        raise ValueError("there are no labelled texts to learn from")
-    model = _fit(counts, most_letters)
+        return Model([], np.zeros(0, np.uint16))
+    model = _fit(counts)
     tested = _scored(sample.where(held).select("lang", "text"), model).toPandas()  # three numbers for each document of the sample
     model.mean, model.spread = np.zeros(len(model.languages)), np.ones(len(model.languages))
     z = []
@@ -278,18 +286,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     lang_pred is the language with the lowest cross-entropy, the first by name
     of equal ones; ``und`` with score 0 and rejected where the text is null,
-    empty or without a letter.  score is the best language's share of the
+    empty or without a letter, or the model knows no language.  score is the best language's share of the
     per-symbol likelihoods.  A null id stays null; repeated rows are predicted
     alike; an empty table gives no rows; other columns are ignored.
     """
     rows = _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
-    names = F.array(*[F.lit(x) for x in model.languages])
+    names = F.array(*[F.lit(x) for x in model.languages or ["und"]])
     lang = F.when(F.col("letters") == 0, F.lit("und")).otherwise(F.get(names, F.col("best").cast("int")))
     return rows.select("doc_id", lang.alias("lang_pred"), "score", "rejected")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, whose language is identified: neither rejected nor without letters."""
+    """The rows of ``docs``, whole, whose language is identified: neither rejected nor without letters.
+
+    Null and empty texts have no letters and go; repeated rows and null ids
+    are kept or go like others; all rows stay if the model knows no language.
+    """
+    if not model.languages:
+        return docs
     at, schema = docs.columns.index(text_col), docs.schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

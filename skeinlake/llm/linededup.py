@@ -154,6 +154,34 @@ def _without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
     return "\n".join(kept), len(gone), words
 
 
+def _cut(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(row, lines, words): the rows of ``docs`` as structs, their texts cut, and what was taken out of each.
+
+    Rows are held as structs, so that no column of theirs can clash with others.
+    """
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    keyed = docs.select(key.alias("d"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = later_copies(keyed.where("text is not null").dropDuplicates(["d"]) if _repeats_ids(docs, id_col) else keyed.where("text is not null"), min_words)
+    joined = docs.select(key.alias("d"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(found, "d", "left").select("row", "runs")
+    at, kind = docs.columns.index(text_col), joined.schema["row"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, runs = batch.column(0), batch.column(1).to_pylist()
+            lines, words = [0] * len(runs), [0] * len(runs)
+            if any(runs):
+                fields = [rows.field(k) for k in range(rows.type.num_fields)]
+                texts = fields[at].to_pylist()
+                for k, some in enumerate(runs):
+                    if some:
+                        texts[k], lines[k], words[k] = _without(texts[k], [(r["a"], r["n"]) for r in some])
+                fields[at] = pa.array(texts, fields[at].type)
+                rows = pa.StructArray.from_arrays(fields, fields=list(rows.type))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(lines, pa.int64()), pa.array(words, pa.int64())], ["row", "lines", "words"])
+
+    return joined.mapInArrow(run, StructType([kind, StructField("lines", LongType()), StructField("words", LongType())]))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """``docs`` without later copies of repeated line runs, and two more columns: lines_removed and words_removed.
 
@@ -163,27 +191,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     than any other.  Rows that repeat both id and text are one document and
     get one result.  All rows stay: one whose lines all go has an empty text.
     Null texts stay null, texts without a repeated run stay as they are, an
-    empty table gives no rows.
+    empty table gives no rows.  Columns may have any names; those named as
+    the two new ones are replaced by them.
     """
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    keyed = docs.select(key.alias("d"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = later_copies(keyed.where("text is not null").dropDuplicates(["d"]) if _repeats_ids(docs, id_col) else keyed.where("text is not null"), min_words)
-    joined = docs.select(*docs.columns, key.alias("_d")).join(found.withColumnsRenamed({"d": "_d", "runs": "_runs"}), "_d", "left").drop("_d")
-    joined = joined.select(*docs.columns, "_runs")
-    at, runs_at, schema = docs.columns.index(text_col), len(docs.columns), docs.schema
+    new = ("lines_removed", "words_removed")
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in new]
+    return _cut(docs, id_col, text_col, min_words).select(*kept, *[F.col(c).alias(n) for c, n in zip(("lines", "words"), new, strict=True)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, runs = batch.column(at).to_pylist(), batch.column(runs_at).to_pylist()
-            lines, words = [0] * len(texts), [0] * len(texts)
-            for k, (text, some) in enumerate(zip(texts, runs, strict=True)):
-                if some:
-                    texts[k], lines[k], words[k] = _without(text, [(r["a"], r["n"]) for r in some])
-            columns = [*batch.columns[:runs_at]]
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(words, pa.int64())], [*batch.schema.names[:runs_at], "lines_removed", "words_removed"])
-
-    return joined.mapInArrow(run, StructType([*schema.fields, StructField("lines_removed", LongType()), StructField("words_removed", LongType())]))
+
+def drop_copies(docs: DataFrame, length_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
+    """``docs`` cut as by ``dedup_lines``, with their own columns only; those that lose all their words go.
+
+    ``length_col``, if given, becomes the length of a text that has lost lines.
+    """
+    text, lost = F.col("row").getField(text_col), F.col("lines") > 0
+    kept = _cut(docs, id_col, text_col, min_words).where(~lost | text.rlike("[^\\x20\\x09-\\x0D]"))
+    columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    if length_col:
+        at = docs.columns.index(length_col)
+        columns[at] = F.when(lost, F.length(text).cast(docs.schema[length_col].dataType)).otherwise(F.col("row").getField(length_col)).alias(length_col)
+    return kept.select(*columns)
 
 
 def _repeats_ids(docs: DataFrame, id_col: str) -> bool:

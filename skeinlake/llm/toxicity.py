@@ -23,8 +23,8 @@ from ._text import _LOWER, U64, chunks, flat, mix, span_hashes
 PREFIXES = (5, 6, 7, 8, 9)
 #: Least share of the toxic documents of the sample that a feature is in.
 COMMON = 0.004
-#: Least standardised log odds of a feature, and the most features.
-LEAST_Z, MOST_FEATURES = 3.0, 2048
+#: Least standardised log odds of a feature.
+LEAST_Z = 3.0
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -146,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = toxic.count()
     least = max(3, int(COMMON * some))
     common = toxic.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    candidates = np.sort(np.array([r[0] for r in common.orderBy(F.desc("n"), "feature").limit(1 << 16).select("feature").collect()], np.int64).view(U64))
+    # a toxic document has so many features and each of these is in a share of them, so their number has a bound
+    candidates = np.sort(np.array([r[0] for r in common.select("feature").collect()], np.int64).view(U64))
     shared = docs.sparkSession.sparkContext.broadcast(candidates)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,12 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     a, b, clean = counted(toxic), counted(taught.where("grade = 0")), total - some
     odds = np.log((a + 0.5) / (some - a + 0.5)) - np.log((b + 0.5) / (clean - b + 0.5))
     z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (some - a + 0.5) + 1 / (clean - b + 0.5))
-    best = np.argsort(-z, kind="stable")[:MOST_FEATURES]
-    best = np.sort(best[z[best] >= LEAST_Z])
+    best = np.flatnonzero(z >= LEAST_Z)
     if not len(best):
         return Model(np.zeros(0, U64), np.zeros(0), np.array([40.0]), 0.5)
     shared = docs.sparkSession.sparkContext.broadcast(candidates[best])
-    table = taught.mapInArrow(present, "grade long, features array<int>").toArrow()  # MOST_FEATURES numbers for each row of the sample at most
+    table = taught.mapInArrow(present, "grade long, features array<int>").toArrow()  # the features of each row of the sample
     grade = table["grade"].to_numpy()
     lists = table["features"].combine_chunks()
     features = np.asarray(lists.flatten())
@@ -201,7 +201,7 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     have no features; repeated rows are graded alike; a null id stays null;
     an empty table gives no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_FEATURES weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
