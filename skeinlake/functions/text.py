@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words that are no anchors although they begin with a capital.
+# Words that are no anchors although they begin with a capital, and what negates a statement.
 STOPWORDS = (
-    "the a an this that these those it we i he she they you me him her us them and but or not is was are were "
-    "be been being have has had do does did will would should could can may might must shall "
-    "in on at to for of with by from if then else when while where how why all any some no one two"
-).split()
-NEGATION = r"\b(not|no|never|none|cannot|can't|won't|don't|doesn't|isn't|aren't|wasn't|weren't)\b"
+    "the", "a", "an", "this", "that", "these", "those", "it", "we", "i", "he", "she", "they", "you", "me", "him", "her", "us", "them", "and", "but",
+    "or", "not", "is", "was", "are", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "should", "could",
+    "can", "may", "might", "must", "shall", "in", "on", "at", "to", "for", "of", "with", "by", "from", "if", "then", "else", "when", "while",
+    "where", "how", "why", "all", "any", "some", "no", "one", "two",
+)
+NEGATIONS = r"not|never|no|don['\x{2019}]t|didn['\x{2019}]t|won['\x{2019}]t|cannot|can['\x{2019}]t|wasn['\x{2019}]t|isn['\x{2019}]t|aren['\x{2019}]t|weren['\x{2019}]t|shouldn['\x{2019}]t|couldn['\x{2019}]t|wouldn['\x{2019}]t"
+NUMBERS = r"\d{1,5}(?:[.,/-]\d{1,5}){0,2}"
+
+
+def whole_words(pattern: str) -> str:
+    """A pattern between boundaries of ASCII words, whatever letters lie around."""
+    return f"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
 
 
 def content_hash(text: Column) -> Column:
@@ -87,18 +94,32 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
 
 
-def trigrams(text: Column) -> Column:
-    """Character trigrams of the normalised text; one gram if it is shorter."""
-    t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    n = F.length(t)
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < 3, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(t, i, F.lit(3))))
+def normal(text: Column) -> Column:
+    """Without case and with single spaces."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def gram_similarity(pairs: DataFrame, size: int = 3) -> DataFrame:
+    """(id, similarity) of pairs (id, x, y): the cosine of their counts of character n-grams after ``normal``.
+
+    1 for equal texts, 0 if one is empty; a text shorter than a gram is one.
+    Grams are counted by groups, so the work is in proportion to the texts.
+    """
+    rows = pairs.select("id", normal(F.col("x")).alias("x"), normal(F.col("y")).alias("y"))
+    cut = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    rows = rows.withColumns({"xs": cut("x"), "ys": cut("y")})
 
+    def grams(chars: str, a: int, b: int) -> Column:
+        n = F.size(chars)
+        first = F.slice(chars, 1, F.greatest(n - (size - 1), F.least(n, F.lit(1))))
+        return F.transform(first, lambda c, k: F.struct(F.concat(c, *[F.coalesce(F.get(chars, k + d), F.lit("")) for d in range(1, size)]).alias("g"), F.lit(a).alias("a"), F.lit(b).alias("b")))
 
-def gram_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the counts of two lists of grams: 1 for equal lists, 0 if one is empty."""
-    norm = lambda x: F.aggregate(F.array_distinct(x), F.lit(0.0), lambda s, g: s + F.pow(F.size(F.filter(x, lambda y: y == g)).cast("double"), F.lit(2)))
-    dot = F.aggregate(F.array_intersect(a, b), F.lit(0.0), lambda s, g: s + (F.size(F.filter(a, lambda y: y == g)) * F.size(F.filter(b, lambda y: y == g))).cast("double"))
-    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(dot / F.sqrt(norm(a) * norm(b)))
+    found = rows.select("id", F.explode(F.concat(grams("xs", 1, 0), grams("ys", 0, 1))).alias("t")).select("id", "t.*")
+    counted = found.groupBy("id", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = counted.groupBy("id").agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    cosine = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("dot") / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(0.0)
+    alike = F.when((F.col("x") == F.col("y")) & (F.col("x") != ""), 1.0).otherwise(F.coalesce(cosine, F.lit(0.0)))
+    return rows.join(sums, "id", "left").select("id", alike.alias("similarity"))
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
@@ -124,9 +145,9 @@ def merge_safe(a: Column, b: Column, score: Column, normal: float = 0.93, strict
 
 
 def contradiction(a: Column, b: Column) -> Column:
-    """Confidence that two statements contradict: one negated .6, disjoint numbers .5, else 0."""
-    negated = lambda x: x.rlike("(?i)" + NEGATION)
-    numbers = lambda x: F.regexp_extract_all(x, F.lit(r"\b\d+(?:\.\d+)?\b"), F.lit(0))
+    """Confidence that two statements contradict: one negated .6, disjoint numbers or dates .5, else 0."""
+    negated = lambda x: x.rlike("(?i)" + whole_words(NEGATIONS))
+    numbers = lambda x: F.transform(F.regexp_extract_all(x, F.lit(whole_words(NUMBERS)), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit("")))
     apart = (F.size(numbers(a)) > 0) & (F.size(numbers(b)) > 0) & ~F.arrays_overlap(numbers(a), numbers(b))
     return F.when(negated(a) != negated(b), 0.6).when(apart, 0.5).otherwise(0.0)
 

@@ -37,27 +37,59 @@ def fragmented(docs: DataFrame) -> DataFrame:
 
 
 def windowed_dedup(saves: DataFrame, keys: list[str], at: str = "created_at", seconds: int = 1800) -> DataFrame:
-    """One row per kept save, with the duplicates that followed it within ``seconds``.
+    """(keys, id, duplicate_count, authored_at): one row per kept save, with how many of the same key fell in its window.
 
-    The window is anchored on the kept row, so whether a row is kept depends on
-    the one kept before it.  Only gaps over the window surely start anew, so
-    rows are first cut into runs at such gaps, and the greedy pass runs on a
-    run, not on all rows of a key.
+    The window is anchored on the kept row, so whether a row is kept depends
+    on the one kept before it: a greedy pass over each key's rows in order of
+    time, then id.  Rows stream through it, so a key may have any number.
+    ``authored_at``, if ``saves`` has it, only moves forward; it is null where no
+    save of the window names one.
     """
-    order = Window.partitionBy(*keys).orderBy(at, "id")
-    t = F.unix_micros(at) / 1e6
-    gap = t - F.lag(t).over(order)
-    runs = saves.withColumn("_run", F.sum(F.when(gap.isNull() | (gap > seconds), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = runs.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(F.struct(t.alias("t"), "id"))).alias("rows"))
-    fold = F.aggregate(
-        "rows",
-        F.expr("cast(array() as array<struct<t: double, id: bigint, n: bigint>>)"),
-        lambda kept, x: F.when(
-            (F.size(kept) > 0) & (x["t"] - F.element_at(kept, -1)["t"] <= seconds),
-            F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(F.struct(F.element_at(kept, -1)["t"].alias("t"), F.element_at(kept, -1)["id"].alias("id"), (F.element_at(kept, -1)["n"] + 1).alias("n")))),
-        ).otherwise(F.concat(kept, F.array(F.struct(x["t"].alias("t"), x["id"].alias("id"), F.lit(1).cast("long").alias("n"))))),
-    )
-    return rows.select(*keys, F.explode(fold).alias("k")).select(*keys, F.col("k.id").alias("id"), F.col("k.n").alias("duplicate_count"))
+    t = F.unix_micros(at)
+    authored = F.unix_micros("authored_at") if "authored_at" in saves.columns else F.lit(None).cast("long")
+    rows = saves.select(*keys, "id", t.alias("_t"), authored.alias("_a")).repartition(*keys).sortWithinPartitions(*keys, "_t", "id")
+    names, n = [*keys, "id", "duplicate_count", "_a"], len(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list | None = None  # key, id, count, authored; and when it was kept
+        anchor = 0
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                key, (id_, now, by) = row[:n], row[n:]
+                by = None if pd.isna(by) else int(by)
+                if kept is not None and kept[0] == key and now - anchor <= seconds * 1_000_000:
+                    kept[2] += 1
+                    kept[3] = by if kept[3] is None else kept[3] if by is None else max(kept[3], by)
+                    continue
+                if kept is not None:
+                    out.append((*kept[0], *kept[1:]))
+                kept, anchor = [key, id_, 1, by], now
+            yield pd.DataFrame(out, columns=names).astype({"_a": "Int64"})
+        if kept is not None:
+            yield pd.DataFrame([(*kept[0], *kept[1:])], columns=names).astype({"_a": "Int64"})
+
+    kinds = dict(saves.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "id"]) + ", duplicate_count long, _a long"
+    return rows.mapInPandas(run, schema).select(*keys, "id", "duplicate_count", F.timestamp_micros("_a").alias("authored_at"))
+
+
+def similar_sets(sets: DataFrame, by: str, least: float, asked: Column | None = None) -> DataFrame:
+    """(a, b, similarity) of rows (id, by, words) of one group ``by`` whose sets of words have a Jaccard similarity of ``least`` or more.
+
+    Only the rarest words of a set are joined on, as many as a set of that
+    similarity can't all lack; so a word that a third of all rows share brings
+    nobody together.  a < b; with ``asked``, a condition on rows, a is any such row.
+    """
+    df = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    ranked = sets.select("id", F.explode("words").alias("word")).join(df, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
+    n = F.size("w")
+    most = (n - F.ceil(least * n - 1e-9) + 1).cast("int")
+    keyed = ranked.select("id", F.explode(F.slice("w", 1, most)).alias("w")).select("id", "w.word").join(sets, "id")
+    side = lambda df, name: df.select(by, "word", F.col("id").alias(name), F.col("words").alias(f"{name}w"))
+    pairs = side(keyed if asked is None else keyed.where(asked), "a").join(side(keyed, "b"), [by, "word"]).where("a < b" if asked is None else "a <> b").dropDuplicates(["a", "b"])
+    alike = F.size(F.array_intersect("aw", "bw")) / F.size(F.array_union("aw", "bw"))
+    return pairs.select("a", "b", alike.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def trend(created: Column, updated: Column, proofs: Column, now: Column) -> Column:

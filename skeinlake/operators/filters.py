@@ -19,7 +19,9 @@ def lookup_cascade(docs: DataFrame, stages: Sequence[Column]) -> DataFrame:
 
 def inherited_context(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """``docs`` with the contexts of all matching prefixes, the shortest first, joined by blank lines."""
-    said = docs.select("id", "path").join(F.broadcast(contexts.limit(10000)), F.col("path").startswith(F.col("prefix")))
+    lengths = contexts.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # one row, as long as the longest prefix at most
+    starts = F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n)))
+    said = docs.select("id", "path").join(F.broadcast(lengths)).select("id", starts.alias("prefix")).join(contexts, "prefix")
     said = said.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.length("prefix").alias("n"), "said"))).alias("all"))
     return said.select("id", F.array_join(F.col("all.said"), "\n\n").alias("context"))
 

@@ -39,49 +39,60 @@ def timeline(docs: DataFrame, focus: int, reach: int) -> DataFrame:
     return steps(before, -1, F.desc("k"), 1).unionByName(steps(after, 1, F.col("k"), 0))
 
 
-def k_nearest(vectors: DataFrame, k: int, least: float | None = None, blocks: int = 8, beyond: float | None = None) -> DataFrame:
+#: Vectors in a block: a task holds two blocks and, at a time, similarities of STRIP with one.
+BLOCK, STRIP = 2048, 256
+
+
+def k_nearest(vectors: DataFrame, k: int, least: float | None = None, beyond: float | None = None, block: int = BLOCK) -> DataFrame:
     """(src, dst, similarity, place): the k nearest others of each vector (id, embedding) by exact cosine, over ``least`` if given, of those farther than a distance (1 - similarity) of ``beyond`` if given.
 
-    Vectors are dealt to blocks; each pair of blocks is one matrix product in
-    numpy, and each keeps k per source, so what is shuffled is k rows per
-    source and block, never all pairs.
+    Vectors are counted and dealt to blocks of about ``block``; each pair of
+    blocks is a task of matrix products in numpy that keeps k per source, so a
+    task's memory doesn't grow with the table, and what is shuffled is k rows
+    per source and block, never all pairs.  The work grows with the square of
+    the rows, as exact search does.
     """
     import numpy as np
     import pandas as pd
 
+    blocks = max(2, -(-vectors.count() // block))
     dealt = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     sides = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    left = dealt.select("id", "embedding", F.col("b").alias("i"), sides).withColumnRenamed("o", "j")
-    right = dealt.select("id", "embedding", F.col("b").alias("j"), sides).withColumnRenamed("o", "i")
+    left = dealt.select(F.col("id").alias("id"), F.col("embedding").alias("embedding"), F.col("b").alias("i"), sides).withColumnRenamed("o", "j")
+    right = dealt.select(F.col("id").alias("other"), F.col("embedding").alias("near"), F.col("b").alias("j"), sides).withColumnRenamed("o", "i")
 
     def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "dst": [], "similarity": []})
-        x, y = np.array(a.embedding.tolist(), np.float64), np.array(b.embedding.tolist(), np.float64)
-        norm = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
-        sim = np.round(norm(x) @ norm(y).T, 9)
-        src, dst = a.id.to_numpy(), b.id.to_numpy()
-        sim[src[:, None] == dst[None, :]] = -np.inf
-        if beyond is not None:
-            sim[1 - sim <= beyond] = -np.inf
-        order = np.lexsort((np.broadcast_to(dst, sim.shape), -sim), axis=1)[:, :k]
-        out = pd.DataFrame({"src": np.repeat(src, order.shape[1]), "dst": dst[order].ravel(), "similarity": np.take_along_axis(sim, order, 1).ravel()})
-        return out[np.isfinite(out.similarity)]
+        found = [pd.DataFrame({"src": [], "dst": [], "similarity": []})]
+        if len(a) and len(b):
+            b = b.sort_values("other")  # so that a stable sort puts equals in order
+            norm = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+            y, dst = norm(np.array(b.near.tolist(), np.float64)).T, b.other.to_numpy()
+            for low in range(0, len(a), STRIP):
+                some = a.iloc[low : low + STRIP]
+                src = some.id.to_numpy()
+                sim = np.round(norm(np.array(some.embedding.tolist(), np.float64)) @ y, 9)
+                sim[src[:, None] == dst[None, :]] = -np.inf
+                if beyond is not None:
+                    sim[1 - sim <= beyond] = -np.inf
+                order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                out = pd.DataFrame({"src": np.repeat(src, order.shape[1]), "dst": dst[order].ravel(), "similarity": np.take_along_axis(sim, order, 1).ravel()})
+                found.append(out[out.similarity > (-np.inf if least is None else least)])
+        return pd.concat(found[1:] or found)
 
     kind = vectors.schema["id"].dataType.simpleString()
     pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"src {kind}, dst {kind}, similarity double")
-    if least is not None:
-        pairs = pairs.where(F.col("similarity") > least)
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))
     return pairs.withColumn("place", place.cast("long")).where(F.col("place") <= k)
 
 
 def entity_edges(mentions: DataFrame, idf: DataFrame, least: float = 3.0) -> DataFrame:
-    """(a, b, weight) of documents that share a rare entity.
+    """(a, b, weight) of documents that share an entity of an idf of ``least`` or more.
 
-    Entities under ``least`` are dropped before the self join, so its groups
-    are bounded: an idf of 3 is at most a twentieth of all documents; and a
-    pair's weight counts only those, as common ones never raise the maximum.
+    Common entities are dropped before the self join, and a pair's weight
+    counts only the others, as common ones never raise the maximum.  The pairs
+    of an entity are its edges, so their number grows with the square of the
+    documents that share it: at an idf of 3 a twentieth of all.  The join is
+    one that adaptive execution splits.
     """
     rare = mentions.join(idf.where(F.col("idf") >= least).select("entity", "idf"), "entity")
     x, y = rare.alias("x"), rare.alias("y")
@@ -165,12 +176,17 @@ def merge_traversal(old: DataFrame, new: DataFrame, both: float = 1.1, fresh: fl
     return joined.select("node", score.alias("score"))
 
 
-def co_occurrence_walk(seeds: DataFrame, mentions: DataFrame, pairs: DataFrame, idf: DataFrame, partners: int = 30, docs_each: int = 10) -> DataFrame:
-    """(doc_id, score): documents of the entities that occur most with those of the seed documents."""
+def co_occurrence_walk(seeds: DataFrame, mentions: DataFrame, idf: DataFrame, partners: int = 30, docs_each: int = 10) -> DataFrame:
+    """(doc_id, score): documents of the entities that occur most with those of the seed documents.
+
+    Only documents that mention an entity of the seeds are looked at, so pairs
+    are counted with those entities alone.
+    """
     own = mentions.join(seeds, "doc_id", "left_semi").select("entity").distinct()
-    both = pairs.select(F.col("a").alias("entity"), F.col("b").alias("partner"), "n").unionByName(pairs.select(F.col("b").alias("entity"), F.col("a").alias("partner"), "n"))
-    near = both.join(own, "entity", "left_semi").groupBy("partner").agg(F.max("n").alias("n")).join(own.withColumnRenamed("entity", "partner"), "partner", "left_anti")
-    scored = near.join(idf.withColumnRenamed("entity", "partner"), "partner").select("partner", (F.least(F.lit(1.0), F.log1p("n") / 5) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("idf") / 3))).alias("score"))
+    near = mentions.join(own, "entity", "left_semi").select("doc_id", F.col("entity").alias("own"))
+    with_ = near.join(mentions, "doc_id").where("own <> entity").groupBy("own", "entity").agg(F.count("*").alias("n"))
+    best = with_.groupBy("entity").agg(F.max("n").alias("n")).join(own, "entity", "left_anti")
+    scored = best.join(idf, "entity").select(F.col("entity").alias("partner"), (F.least(F.lit(1.0), F.log1p("n") / 5) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("idf") / 3))).alias("score"))
     top = scored.orderBy(F.desc(F.round("score", 9)), "partner").limit(partners)
     hits = mentions.join(F.broadcast(top), F.col("entity") == F.col("partner")).withColumn("place", F.row_number().over(Window.partitionBy("partner").orderBy("doc_id")))
     return hits.where(F.col("place") <= docs_each).join(seeds, "doc_id", "left_anti").groupBy("doc_id").agg(F.max("score").alias("score"))

@@ -19,7 +19,28 @@ def composite_rank(docs: DataFrame, now: Column, weights: str = "default", by: S
     factor = scoring.quality_factor(scoring.quality_score(F.col("body"), F.lit(1))) * scoring.length_factor(F.length("body"))
     score = base * factor + scoring.frequency_boost(F.col("revision_count"), F.col("duplicate_count")) + F.when(F.col("pinned"), 0.3).otherwise(0.0)
     scored = docs.withColumn("score", F.round(F.least(F.lit(1.0), score), 6))
-    return scored.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id")).cast("long"))
+    return numbered(scored, [F.ceil(-F.col("score") * 1000), F.when(F.col("score") == 1, stretch("id")).otherwise(0)], [F.desc("score"), F.asc("id")], by)
+
+
+def stretch(id_col: str) -> Column:
+    """Stretches of a million ids: they part rows that are equal but for the id."""
+    return F.shiftright(F.col(id_col).cast("long"), 20)
+
+
+def numbered(rows: DataFrame, buckets: Sequence[Column], order: Sequence[Column], by: Sequence[str] = (), name: str = "position") -> DataFrame:
+    """``rows`` with their place, from 1, in ``order`` in each group, without sorting a group in one task.
+
+    ``buckets`` are columns that ``order`` refines: all rows of a lesser bucket
+    come before those of a greater one.  Rows are sorted inside buckets; what
+    lies before a bucket is known from the table of bucket sizes, which is
+    broadcast, as its length is the buckets' number, not that of the rows.
+    """
+    dealt = rows.withColumn("_bucket", F.struct(*[b.alias(f"b{k}") for k, b in enumerate(buckets)]))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order)))
+    keys = [*by, "_bucket"]
+    return placed.join(F.broadcast(sizes), keys).select(*rows.columns, (F.col("_before") + F.col("_place")).cast("long").alias(name))
 
 
 def reciprocal_rank_fusion(lists: DataFrame, k: float = 60.0) -> DataFrame:
@@ -36,10 +57,10 @@ def reciprocal_rank_fusion(lists: DataFrame, k: float = 60.0) -> DataFrame:
 
 def rerank_blend(scored: DataFrame) -> DataFrame:
     """.1 fused score over the best + .9 rerank score; only the first if no rerank score is over 1e-4."""
-    all_ = Window.partitionBy()
-    top, any_ = F.max("rrf").over(all_), F.max(F.coalesce("rerank", F.lit(0.0))).over(all_) > 1e-4
-    norm = F.when(top > 0, F.col("rrf") / top).otherwise(0.0)
-    return scored.withColumn("blended", F.when(any_, 0.1 * norm + 0.9 * F.coalesce("rerank", F.lit(0.0))).otherwise(norm))
+    most = F.broadcast(scored.agg(F.max("rrf").alias("_top"), F.max(F.coalesce("rerank", F.lit(0.0))).alias("_best")))  # one row
+    norm = F.when(F.col("_top") > 0, F.col("rrf") / F.col("_top")).otherwise(0.0)
+    blended = F.when(F.col("_best") > 1e-4, 0.1 * norm + 0.9 * F.coalesce("rerank", F.lit(0.0))).otherwise(norm)
+    return scored.join(most).withColumn("blended", blended).drop("_top", "_best")
 
 
 def adaptive_threshold(scored: DataFrame, ratio: float, floor: float, activation: float) -> DataFrame:
@@ -82,5 +103,15 @@ def mmr_order(results: DataFrame, most_alike: float = 0.6) -> DataFrame:
     return results.select("query_id", "id", "score", "title", "body").groupBy("query_id").applyInPandas(order, f"query_id {kinds['query_id']}, id {kinds['id']}, position long")
 
 
+def spread(results: DataFrame, partners: DataFrame, hot: float = 0.8, sources: int = 3) -> DataFrame:
+    """``results`` (id, s) with score: those up to ``hot`` are lifted by min(.2, .1 * min(n, 2)) if one of the hottest was used with them n times.
+
+    ``partners`` (item, partner, n) are the most frequent partners of each item.
+    """
+    top = results.where(F.col("s") > hot).orderBy(F.desc("s"), "id").limit(sources).select(F.col("id").alias("item"))
+    lift = partners.join(F.broadcast(top), "item").groupBy(F.col("partner").alias("id")).agg(F.max(F.least(F.lit(0.2), 0.1 * F.least("n", F.lit(2)))).alias("lift"))
+    return results.join(F.broadcast(lift), "id", "left").withColumn("score", F.when((F.col("s") <= hot) & F.col("lift").isNotNull(), F.col("s") + F.col("lift")).otherwise(F.col("s"))).drop("lift")
+
+
 def ranked(rows: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:
     return rows.withColumn("rank0", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))

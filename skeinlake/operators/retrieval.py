@@ -3,55 +3,70 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions import stem
 
-# Published BM25 constants, and field weights (path, title, body).
+# Published BM25 constants, field weights (path with its collection, title, body), the least idf.
 K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"path": 10.0, "title": 1.0, "body": 1.0}
+LEAST_IDF = 1e-6
 
 
-def occurrences(docs: DataFrame, fields: Sequence[str] = ("path", "title", "body")) -> DataFrame:
-    """(id, field, len, term): one row for each place of a term in a field; nothing is shuffled."""
-    parts = [docs.select("id", F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("all")) for f in fields]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("id", "field", F.size("all").alias("len"), F.explode("all").alias("term"))
+def index_fields(docs: DataFrame) -> DataFrame:
+    """(id, path, title, body): the folded words of the indexed fields."""
+    path = F.concat_ws("/", "collection", "path")
+    return docs.select("id", *[stem.folded(F.coalesce(c, F.lit(""))).alias(f) for f, c in (("path", path), ("title", F.col("title")), ("body", F.col("body")))])
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(id, field, term, tf, len): the inverted index, one row per term of a field."""
-    return occurrences(docs).groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, score, bm25) of documents that hold all terms of a query, in whatever fields.
 
+    A term stands for all words whose stem begins with its stem.  Frequencies
+    are weighted by field and summed before they saturate, lengths are those
+    of whole rows; bm25 is negative, the better the less, and score is its
+    size as a share of one more.
 
-def bm25(docs: DataFrame, queries: DataFrame, prefix: bool = False) -> DataFrame:
-    """(query_id, id, score) of documents that hold all terms of a query, in whatever fields.
-
-    ``queries`` (query_id, term) is broadcast: prompts and their terms, never
-    the corpus.  Only places of query terms pass the map side;
-    lengths come from one aggregate per field.  With ``prefix`` a term stands
-    for all words that begin with it.
+    ``queries`` (query_id, term) are prompts, never the corpus: their terms
+    become part of the plan.  Texts are cut and counted row by row, only words
+    that can have such a stem are stemmed, and nothing but one row of totals
+    is shuffled.  Rows without words, or queries without terms, have no hits.
     """
+    asked = [(r[0], r[1]) for r in queries.select("query_id", F.explode(F.transform(stem.folded(F.col("term")), stem.stem))).collect()]
+    terms = sorted({t for _, t in asked})
+    if not terms:
+        return docs.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double, bm25 double")
+
+    def stems(words: Column) -> Column:
+        reach = [stem.reach(t) for t in terms]
+        near = lambda w: reduce(lambda x, y: x | y, [w.startswith(x) for x in dict.fromkeys(reach)])
+        return F.transform(F.filter(words, near), stem.stem)
+
     fields = list(FIELD_WEIGHTS)
-    sizes = [F.size(tokens(F.coalesce(F.col(f), F.lit("")))).alias(f"len_{f}") for f in fields]
-    stats = docs.select("id", *sizes).agg(F.count("*").alias("n_docs"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields])
-    terms = F.broadcast(queries.select("query_id", F.col("term").alias("q")).distinct())
-    match = F.col("term").startswith(F.col("q")) if prefix else F.col("term") == F.col("q")
-    hits = occurrences(docs).join(terms, match).groupBy("query_id", "q", "id", "field").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = hits.select("query_id", "q", "id").distinct().groupBy("query_id", "q").agg(F.count("*").alias("df"))
-    wide = hits.join(F.broadcast(stats)).join(F.broadcast(df), ["query_id", "q"])
-    weight, mean = F.lit(0.0), F.lit(1.0)
-    for f, w in FIELD_WEIGHTS.items():
-        weight, mean = F.when(F.col("field") == f, w).otherwise(weight), F.when(F.col("field") == f, F.col(f"avg_{f}")).otherwise(mean)
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest(mean, F.lit(1e-9))))
-    asked = F.broadcast(queries.select("query_id", "term").distinct().groupBy("query_id").agg(F.count("*").alias("asked")))
-    scored = wide.groupBy("query_id", "id").agg(F.sum(part).alias("bm25"), F.countDistinct("q").alias("found"))
-    return scored.join(asked, "query_id").where("found = asked").select("query_id", "id", (F.col("bm25") / (1 + F.col("bm25"))).alias("score"), "bm25")
+    words = index_fields(docs).select("id", sum((F.size(f) for f in fields), F.lit(0)).alias("len"), *[stems(F.col(f)).alias(f) for f in fields])
+    count = lambda t: sum((w * F.size(F.filter(f, lambda s: s.startswith(t))) for f, w in FIELD_WEIGHTS.items()), F.lit(0.0))
+    rows = words.select("id", "len", F.array(*[count(t) for t in terms]).alias("freq"))
+    sums = [F.count_if(F.col("freq")[k] > 0) for k in range(len(terms))]
+    totals = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"), F.array(*sums).alias("df"))
+    wide = rows.join(F.broadcast(totals))  # one row; a filter here would be pushed down and count all words twice
+
+    def part(k: int) -> Column:
+        f, df = F.col("freq")[k], F.col("df")[k]
+        idf = F.log((F.col("n_docs") - df + 0.5) / (df + 0.5))
+        return F.when(idf > 0, idf).otherwise(LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+
+    found = []
+    for q in sorted({q for q, _ in asked}):
+        own = [terms.index(t) for x, t in asked if x == q]
+        held = reduce(lambda x, y: x & y, [F.col("freq")[k] > 0 for k in own])
+        found.append(F.when(held, F.struct(F.lit(q).alias("query_id"), (-sum((part(k) for k in own), F.lit(0.0))).alias("bm25"))))
+    hits = wide.select("id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("hit"))
+    kind = queries.schema["query_id"].dataType
+    score = -F.col("hit.bm25") / (1 - F.col("hit.bm25"))
+    return hits.select(F.col("hit.query_id").cast(kind).alias("query_id"), "id", score.alias("score"), F.col("hit.bm25").alias("bm25"))
 
 
 def top_k(scored: DataFrame, k: int, by: Sequence[str] = ("query_id",)) -> DataFrame:

@@ -24,24 +24,16 @@ def recall_stats(events: DataFrame) -> DataFrame:
     return stats.withColumns({"diversity": F.round(diversity, 6), "spacing": F.round(spacing(F.col("days"), F.col("span")), 6)})
 
 
-def pair_counts(rows: DataFrame, group: str, item: str, stretch: int | None = None) -> DataFrame:
+def pair_counts(rows: DataFrame, group: str, item: str) -> DataFrame:
     """(a, b, n) of unordered pairs of different items that share a group; a repeated item counts once.
 
-    Pairs are made inside a group's own sorted list of distinct items; groups
-    are injections, orders or documents, short by nature.  Where they aren't,
-    lists longer than ``stretch`` are dealt out by that many first items before
-    pairs are made, so that no task has all pairs of a long group.
+    A join of the distinct rows with themselves on the group: no group is
+    gathered in one row, adaptive execution splits the long ones, and pairs
+    are counted before they are shuffled.
     """
-    lists = rows.select(group, item).distinct().groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    firsts = lambda most: F.posexplode(F.slice("items", 1, most) if most else F.col("items")).alias("k", "a")
-    pairs = lambda df, most=None: df.select("items", firsts(most)).select("a", F.explode(F.slice("items", F.col("k") + 2, F.size("items"))).alias("b"))
-    if stretch is None:
-        found = pairs(lists)
-    else:
-        long = lists.where(F.size("items") > stretch).select("items", F.explode(F.sequence(F.lit(0), F.size("items") - 1, F.lit(stretch))).alias("at"))
-        dealt = long.select(F.slice("items", F.col("at") + 1, F.size("items")).alias("items")).repartition(F.xxhash64("items"))
-        found = pairs(lists.where(F.size("items") <= stretch)).unionByName(pairs(dealt, stretch))
-    return found.groupBy("a", "b").agg(F.count("*").alias("n"))
+    items = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
+    x, y = items.alias("x"), items.alias("y")
+    return x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.i") < F.col("y.i"))).groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count("*").alias("n"))
 
 
 def top_partners(pairs: DataFrame, most: int = 5) -> DataFrame:
@@ -83,6 +75,8 @@ def suppressed(prompts: DataFrame, key: str, at: str, seconds: int = 600) -> Dat
 
 def nearest_rank(values: DataFrame, by: str, value: str, share: float = 0.95) -> DataFrame:
     """The value at place ceil(share * n) of each group's sorted values."""
-    w = Window.partitionBy(by)
-    place = values.withColumns({"k": F.row_number().over(w.orderBy(value, "event_id")), "n": F.count("*").over(w)})
-    return place.where(F.col("k") == F.ceil(F.col("n") * share)).select(by, F.col(value).alias("p"))
+    from .ranking import numbered
+
+    placed = numbered(values, [F.floor(value)], [F.asc(value), F.asc("event_id")], [by])
+    sizes = values.groupBy(by).agg(F.count("*").alias("n"))
+    return placed.join(sizes, by).where(F.col("position") == F.ceil(F.col("n") * share)).select(by, F.col(value).alias("p"))

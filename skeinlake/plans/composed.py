@@ -34,10 +34,10 @@ def clamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.least(F.greatest(F.floor("value"), F.lit(1)), F.lit(50)).cast("long").alias("clamped"))
 
 
-@query("C02", r._EXACT + " select s.query_id, s.id, docs.path, sha256(body) as hash from scored s join docs on docs.id = s.id")
+@query("C02", r._BM25 + " select s.query_id, s.id, docs.path, sha256(body) as hash from scored s join docs on docs.id = s.id")
 def hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
-    return ops.bm25(d, r._terms(spark)).join(d.select("id", "path", F.sha2("body", 256).alias("hash")), "id").select("query_id", "id", "path", "hash")
+    return r.keyword(spark, sf_dir).join(d.select("id", "path", F.sha2("body", 256).alias("hash")), "id").select("query_id", "id", "path", "hash")
 
 
 @query("C03", f"with {DOCS}, {r._KNN}, b as (select query_id, label, max(score) as score from knn group by 1, 2) select query_id, docs.id, path, round(score, 6) as score from b join docs on docs.id = label")
@@ -56,38 +56,42 @@ def issue_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("src"), F.col("n_name").alias("dst"), relation_of(F.col("kind")).alias("rel"))
 
 
-@query("E13", "select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as newest from orders where o_custkey in (7, 42, 99)")
+@query("E13", "select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as newest from orders")
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return read(spark, sf_dir, "orders").where("o_custkey in (7, 42, 99)").select("o_orderkey", F.row_number().over(w).cast("long").alias("newest"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("newest"))
 
 
 @query("F04", f"with {DOCS} select id, row_number() over (order by (id * 31) % 101 desc, pinned desc, access_count desc, path) as position from docs")
 def stable_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.orderBy(F.desc(F.col("id") * 31 % 101), F.desc("pinned"), F.desc("access_count"), "path")
-    return documents(spark, sf_dir).select("id", F.row_number().over(w).cast("long").alias("position"))
+    score = F.col("id") * 31 % 101
+    order = [F.desc(score), F.desc("pinned"), F.desc("access_count"), F.asc("path")]
+    return rank.numbered(documents(spark, sf_dir), [-score, ~F.col("pinned"), -F.col("access_count")], order).select("id", "position")
 
 
-@query("F07", "with recursive w(n, total) as (select 1::bigint, 1::bigint union all select n + 1, total + n + 1 from w where n < 20) select n, total from w")
+@query("F07", "with recursive w(node, depth) as (select r_regionkey::bigint, 0::bigint from region union all select n_nationkey::bigint, depth + 1 from w join nation on n_regionkey = node where depth < 4) select node, depth, count(*) as paths from w group by 1, 2")
 def recursive_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("with recursive w(n, total) as (select 1L, 1L union all select n + 1L, total + n + 1L from w where n < 20) select n, total from w")
+    """Nations as nodes below the node of their region's number; what several paths reach is kept as often."""
+    read(spark, sf_dir, "nation").createOrReplaceTempView("skein_nation")
+    read(spark, sf_dir, "region").createOrReplaceTempView("skein_region")
+    walk = "with recursive w(node, depth) as (select cast(r_regionkey as bigint), 0L from skein_region union all select cast(n_nationkey as bigint), depth + 1L from w join skein_nation on n_regionkey = node where depth < 4) select node, depth from w"
+    return spark.sql(walk).groupBy("node", "depth").agg(F.count("*").alias("paths"))
 
 
 @query("H11", "with items as (select distinct l_orderkey as g, l_partkey as p from lineitem), pairs as (select x.p as a, y.p as b, count(*) as n from items x join items y on x.g = y.g and x.p < y.p group by all), u as (select a as item, b as partner, n from pairs union all select b, a, n from pairs), t as (select *, row_number() over (partition by item order by n desc, partner) as place from u), s as (select p_partkey as id, p_size / 100.0::double as s, row_number() over (order by p_retailprice desc, p_partkey) as k, count(*) over () as total from part), q as (select id from s where k <= greatest(1, floor(total * 0.25))), b as (select item, sum(least(n / 10.0::double, 0.15)) as boost from t where place <= 5 and partner in (select id from q) group by 1) select s.id, round(case when s.id in (select id from q) then s else s * (1 + coalesce(boost, 0)) end, 6) as score from s left join b on b.item = s.id")
 def co_activation_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results outside the first quarter gain by how often they were used with those in it."""
     parts = read(spark, sf_dir, "part")
-    w = Window.orderBy(F.desc("p_retailprice"), "p_partkey")
-    s = parts.select(F.col("p_partkey").alias("id"), (F.col("p_size") / 100).alias("s"), F.row_number().over(w).alias("k"), F.count("*").over(Window.partitionBy()).alias("total"))
-    s = s.withColumn("top", F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("total") * 0.25)))
+    s = rank.numbered(parts, [-F.floor("p_retailprice")], [F.desc("p_retailprice"), F.asc("p_partkey")], name="k").join(F.broadcast(parts.agg(F.count("*").alias("total"))))
+    s = s.select(F.col("p_partkey").alias("id"), (F.col("p_size") / 100).alias("s"), (F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("total") * 0.25))).alias("top"))
     near = telemetry.top_partners(telemetry.pair_counts(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey"))
     boost = near.join(s.where("top").select(F.col("id").alias("partner")), "partner", "left_semi").groupBy(F.col("item").alias("id")).agg(F.sum(F.least(F.col("n") / 10, F.lit(0.15))).alias("boost"))
     return s.join(boost, "id", "left").select("id", F.round(F.when(F.col("top"), F.col("s")).otherwise(F.col("s") * (1 + F.coalesce("boost", F.lit(0.0)))), 6).alias("score"))
 
 
-@query("I10", f"with {DOCS} select id, 'full' as type, length(body)::bigint as n from docs where id < 50 union all select id, 'fact', length(f)::bigint from (select id, unnest(string_split(body, chr(10))) as f from docs where id < 50) where length(f) >= 50")
+@query("I10", f"with {DOCS} select id, 'full' as type, length(body)::bigint as n from docs union all select id, 'fact', length(f)::bigint from (select id, unnest(string_split(body, chr(10))) as f from docs) where length(f) >= 50")
 def observation_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).where("id < 50")
+    d = documents(spark, sf_dir)
     facts = d.select("id", F.explode(F.split("body", "\n", -1)).alias("f")).where(F.length("f") >= 50).select("id", F.lit("fact").alias("type"), F.length("f").cast("long").alias("n"))
     return d.select("id", F.lit("full").alias("type"), F.length("body").cast("long").alias("n")).unionByName(facts)
 
@@ -119,11 +123,10 @@ def facts_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("K09", f"with {DOCS}, w as (select id, collection, confidence, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 3)) as w from docs) select distinct a.id from w a join w b on a.collection = b.collection and a.id <> b.id where a.confidence < 0.4 and len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(list_concat(a.w, b.w))), 1)::double >= 0.4")
 def duplicate_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = documents(spark, sf_dir).select("id", "collection", "confidence", text.long_words(F.col("title")).alias("w"))
-    x = w.where("confidence < 0.4").select("id", "collection", F.col("w").alias("xw"), F.explode("w").alias("word"))
-    y = w.select(F.col("id").alias("other"), "collection", F.col("w").alias("yw"), F.explode("w").alias("word"))
-    near = x.join(y, ["collection", "word"]).where("id <> other").dropDuplicates(["id", "other"])
-    return near.where(text.jaccard(F.col("xw"), F.col("yw")) >= 0.4).select("id").distinct()
+    from ..operators.curation import similar_sets
+
+    w = documents(spark, sf_dir).select("id", "collection", text.long_words(F.col("title")).alias("words"), (F.col("confidence") < 0.4).alias("weak"))
+    return similar_sets(w, "collection", 0.4, asked=F.col("weak")).select(F.col("a").alias("id")).distinct()
 
 
 @query("K13", "with l as (select event_id, user_id, ts, row_number() over (partition by user_id, time_bucket(interval 1 hour, ts) order by ts, event_id) as n from events) select event_id from l where n = 1")
@@ -190,11 +193,11 @@ def late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.latest_evidence(read(spark, sf_dir, "events")).select("user_id", F.date_format("authored_at", "yyyy-MM-dd HH:mm:ss").alias("authored_at"))
 
 
-@query("G14", r._EXACT + ", top5 as (select id from scored where query_id = 1 order by round(score, 9) desc, id limit 5) select distinct d.id from docs d join top5 t on d.collection = (select collection from docs where docs.id = t.id) and d.id <> t.id where d.content_type = 'hub'")
+@query("G14", r._BM25 + ", top5 as (select id from scored where query_id = 1 order by round(score, 9) desc, id limit 5) select distinct d.id from docs d join top5 t on d.collection = (select collection from docs where docs.id = t.id) and d.id <> t.id where d.content_type = 'hub'")
 def entity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of the five best keyword hits; here documents of type hub in their collections."""
     d = documents(spark, sf_dir)
-    top = ops.bm25(d, r._terms(spark).where("query_id = 1")).orderBy(F.desc(F.round("score", 9)), "id").limit(5).join(d.select("id", "collection"), "id")
+    top = r.keyword(spark, sf_dir, 1).orderBy(F.desc("score"), "id").limit(5).join(d.select("id", "collection"), "id")
     hits = d.where("content_type = 'hub'").select("id", "collection").join(F.broadcast(top.select(F.col("id").alias("seed"), "collection")), "collection")
     return hits.where("id <> seed").select("id").distinct()
 
@@ -203,6 +206,6 @@ def entity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses of a query with priorities; their lists fused with weight 6 - priority."""
     clauses = spark.createDataFrame([(1, 1), (2, 3), (4, 2)], "query_id long, priority int")
-    hits = ops.top_k(ops.bm25(documents(spark, sf_dir), r._terms(spark)).withColumn("score", F.round("score", 9)), 20).join(F.broadcast(clauses), "query_id")
+    hits = ops.top_k(r.keyword(spark, sf_dir), 20).join(F.broadcast(clauses), "query_id")
     lists = hits.select(F.col("query_id").alias("list_id"), F.col("id").alias("doc_id"), (F.col("place") - 1).alias("rank0"), (6.0 - F.col("priority")).alias("weight"))
     return rank.reciprocal_rank_fusion(lists).withColumn("score", F.round("score", 6))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import scoring, stem
 from ..operators import ranking as rank
 from ..operators import retrieval as ops
+from ..operators import telemetry
 from ..sources.vault import DOCS, NOW, documents, read
 from .ranking import PROMPTS, prompts
 from .registry import query
@@ -29,23 +30,29 @@ INTENTS = {
 _QUERIES = ((1, "the"), (1, "tion"), (2, "der"), (2, "sch"), (3, "que"), (4, "and"), (4, "there"), (4, "of"))
 _TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 _BM25 = (
-    f"with {DOCS}, q(query_id, term) as (values "
-    + ", ".join(f"({a}::bigint, '{b}')" for a, b in _QUERIES)
-    + f"), f as (select id, 'path' as field, 10.0::double as w, {_TOK.format('path')} as t from docs union all select id, 'title', 1.0, {_TOK.format('title')} from docs union all select id, 'body', 1.0, {_TOK.format('body')} from docs), "
-    "avgs as (select field, avg(len(t)) as mean from f group by 1), p as (select id, field, w, len(t) as n, unnest(t) as term from f), "
-    "tf as (select query_id, q.term, id, p.field, w, n, count(*) as tf from p join q on p.term {op} group by all), "
-    "df as (select query_id, term, count(distinct id) as df from tf group by 1, 2), nd as (select count(*) as nd from docs), "
-    "s as (select tf.query_id, id, count(distinct tf.term) as found, sum(ln(1 + (nd - df + 0.5::double) / (df + 0.5::double)) * w * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * n / greatest(mean, 1e-9)))) as bm25 "
-    "from tf join df on tf.query_id = df.query_id and tf.term = df.term join avgs on tf.field = avgs.field, nd group by 1, 2), "
-    "a as (select query_id, count(*) as asked from q group by 1), scored as (select s.query_id, id, bm25, bm25 / (1 + bm25) as score from s join a on s.query_id = a.query_id and found = asked)"
+    f"with {DOCS}, q(n, query_id, term) as (values "
+    + ", ".join(f"({n}, {a}::bigint, '{b}')" for n, (a, b) in enumerate(_QUERIES))
+    + f"), qs as (select n, query_id, {stem.stem_sql('term')} as q from q), ix as (select id, {stem.folded_sql(" collection || '/' || path")} as path, {stem.folded_sql('title')} as title, {stem.folded_sql('body')} as body from docs where active), "
+    "occ as (select id, 10.0::double as w, unnest(path) as word from ix union all select id, 1.0, unnest(title) from ix union all select id, 1.0, unnest(body) from ix), "
+    "lens as (select id, len(path) + len(title) + len(body) as n from ix), nd as (select count(*) as nd, avg(n) as mean from lens), "
+    f"voc as (select distinct word from occ), st as (select word, {stem.stem_sql('word')} as s from voc), hit as (select word, n, query_id from st join qs on s ^@ q), "
+    "tf as (select query_id, hit.n, id, sum(w) as tf from occ join hit on occ.word = hit.word group by 1, 2, 3), df as (select n, count(*) as df from tf group by 1), "
+    "idf as (select n, case when nd - df > df then ln((nd - df + 0.5::double) / (df + 0.5::double)) else 1e-6 end as idf, mean from df, nd), "
+    "s as (select query_id, tf.id, count(*) as found, -sum(idf * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * lens.n / mean))) as bm25 from tf join idf on tf.n = idf.n join lens on lens.id = tf.id group by 1, 2), "
+    "a as (select query_id, count(*) as asked from q group by 1), scored as (select s.query_id, id, bm25, -bm25 / (1 - bm25) as score from s join a on s.query_id = a.query_id and found = asked)"
 )
-_EXACT, _PREFIX = _BM25.replace("{op}", "= q.term"), _BM25.replace("{op}", "^@ q.term")
 
 
 def _terms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_QUERIES, "query_id long, term string")
 
 
+def keyword(spark: SparkSession, sf_dir: str, which: int | None = None) -> DataFrame:
+    """Hits of the registered queries, or of one, among active documents; scores to nine places."""
+    asked = _terms(spark) if which is None else _terms(spark).where(F.col("query_id") == which)
+    return ops.bm25(documents(spark, sf_dir).where("active"), asked).withColumn("score", F.round("score", 9))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
@@ -65,36 +72,33 @@ def tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("id", tokens(F.col("title")).alias("tokens"))
 
 
-@query("G02", _PREFIX + " select query_id, id from scored")
+@query("G02", _BM25 + " select query_id, id from scored")
 def match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.bm25(documents(spark, sf_dir), _terms(spark), prefix=True).select("query_id", "id")
+    return keyword(spark, sf_dir).select("query_id", "id")
 
 
-@query("G03", _EXACT + " select query_id, id, round(bm25, 6) as bm25 from scored")
+@query("G03", _BM25 + " select query_id, id, round(bm25, 6) as bm25 from scored")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.bm25(documents(spark, sf_dir), _terms(spark)).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
+    return keyword(spark, sf_dir).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
 
 
-@query("G04", _EXACT + " select query_id, id, round(score, 6) as score from scored")
+@query("G04", _BM25 + " select query_id, id, round(score, 6) as score from scored")
 def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.bm25(documents(spark, sf_dir), _terms(spark)).select("query_id", "id", F.round("score", 6).alias("score"))
+    return keyword(spark, sf_dir).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 _KEYWORD = ", live as (select s.query_id, s.id, round(s.score, 9) as score from scored s join docs on docs.id = s.id and active and collection <> 'src7'), best as (select *, row_number() over (partition by query_id order by score desc, id) as place from live)"
 
 
-@query("G05", _EXACT + _KEYWORD + " select query_id, id, round(score, 6) as score, place from best where place <= 20")
+@query("G05", _BM25 + _KEYWORD + " select query_id, id, round(score, 6) as score, place from best where place <= 20")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
-    live = d.where("active and collection <> 'src7'").select("id")
-    scored = ops.bm25(d, _terms(spark)).join(live, "id", "left_semi").withColumn("score", F.round("score", 9))
-    return ops.top_k(scored, 20).select("query_id", "id", F.round("score", 6).alias("score"), "place")
+    live = documents(spark, sf_dir).where("collection <> 'src7'").select("id")
+    return ops.top_k(keyword(spark, sf_dir).join(live, "id", "left_semi"), 20).select("query_id", "id", F.round("score", 6).alias("score"), "place")
 
 
-@query("F01", _EXACT + " select id, round(score, 6) as score from scored where query_id = 1 order by round(score, 9) desc, id limit 10")
+@query("F01", _BM25 + " select id, round(score, 6) as score from scored where query_id = 1 order by round(score, 9) desc, id limit 10")
 def top_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ops.bm25(documents(spark, sf_dir), _terms(spark).where("query_id = 1")).withColumn("score", F.round("score", 9))
-    return scored.orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 6).alias("score"))
+    return keyword(spark, sf_dir, 1).orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 6).alias("score"))
 
 
 @query("G06", f"with {_KNN} select query_id, id, round(score, 6) as score from knn")
@@ -148,7 +152,14 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = e.where("event_type = 'click'").groupBy(F.col("user_id").alias("doc_id")).agg(F.max("value").alias("s"))
     all_ = e.groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").cast("double").alias("s"))
     parts = [df.withColumns({"list_id": F.lit(k), "weight": F.lit(w)}) for k, (df, w) in enumerate(((views, 1.0), (clicks, 2.0), (all_, 0.0)), 1)]
-    return rank.ranked(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["list_id"], F.desc("s"), F.col("doc_id"))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    placed = rank.numbered(rows, [F.ceil(-F.col("s"))], [F.desc("s"), F.asc("doc_id")], ["list_id"], "place")
+    return placed.select("list_id", "doc_id", "weight", "s", (F.col("place") - 1).alias("rank0"))
+
+
+def _by_score(scored: DataFrame) -> DataFrame:
+    """Places of fused results by score, which is under .5, and id."""
+    return rank.numbered(scored, [F.ceil(F.round("score", 9) * -10000)], [F.desc(F.round("score", 9)), F.asc("doc_id")], name="n")
 
 
 @query("E04", f"with {_LISTS} select list_id, doc_id, rank0 from lists")
@@ -190,14 +201,14 @@ def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("G18", f"with {_LISTS}, {_RRF}, p as (select doc_id, score, row_number() over (order by round(score, 9) desc, doc_id) as n, (doc_id % 10) / 10.0::double as rerank from rrf), w as (select *, case when n <= 3 then 0.75 when n <= 10 then 0.60 else 0.40 end::double as w from p) select doc_id, round(w * score + (1 - w) * rerank, 6) as by_score, round(w / n + (1 - w) * rerank, 6) as by_place from w")
 def position_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = rank.reciprocal_rank_fusion(_lists(spark, sf_dir)).withColumn("n", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id")))
+    s = _by_score(rank.reciprocal_rank_fusion(_lists(spark, sf_dir)))
     w, rerank = F.when(F.col("n") <= 3, 0.75).when(F.col("n") <= 10, 0.60).otherwise(0.40), (F.col("doc_id") % 10) / 10
     return s.select("doc_id", F.round(w * F.col("score") + (1 - w) * rerank, 6).alias("by_score"), F.round(w / F.col("n") + (1 - w) * rerank, 6).alias("by_place"))
 
 
 @query("G20", f"with {_LISTS}, {_RRF}, p as (select doc_id, score, row_number() over (order by round(score, 9) desc, doc_id) as n from rrf) select doc_id, round(case when n <= 15 then 0.6 * score + 0.4 * (doc_id % 10) / 10.0::double else score end, 6) as score from p")
 def hook_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = rank.reciprocal_rank_fusion(_lists(spark, sf_dir)).withColumn("n", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id")))
+    s = _by_score(rank.reciprocal_rank_fusion(_lists(spark, sf_dir)))
     return s.select("doc_id", F.round(F.when(F.col("n") <= 15, 0.6 * F.col("score") + 0.4 * (F.col("doc_id") % 10) / 10).otherwise(F.col("score")), 6).alias("score"))
 
 
@@ -251,11 +262,11 @@ def find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.top_k(scored.drop("place"), 5).withColumn("score", F.round("score", 6))
 
 
-@query("G26", _EXACT + _KEYWORD + ", r as (select b.query_id, b.id, row_number() over (partition by b.query_id order by b.score desc, pinned desc, path) as position from best b join docs on docs.id = b.id where place <= 20) select * from r")
+@query("G26", _BM25 + _KEYWORD + ", r as (select b.query_id, b.id, row_number() over (partition by b.query_id order by b.score desc, pinned desc, path) as position from best b join docs on docs.id = b.id where place <= 20) select * from r")
 def raw_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw score first, then pinned, then path."""
     d = documents(spark, sf_dir)
-    scored = ops.bm25(d, _terms(spark)).join(d.where("active and collection <> 'src7'").select("id", "pinned", "path"), "id").withColumn("score", F.round("score", 9))
+    scored = keyword(spark, sf_dir).join(d.where("collection <> 'src7'").select("id", "pinned", "path"), "id")
     best = ops.top_k(scored, 20)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("pinned"), "path")
     return best.select("query_id", "id", F.row_number().over(w).cast("long").alias("position"))
@@ -283,13 +294,13 @@ def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("F05", f"with {DOCS} select id, row_number() over (order by case when content_type in ('handoff', 'decision', 'progress') then 0 else 1 end, ((id * 31) % 101) desc, id) as position from docs")
 def priority_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(F.col("content_type").isin("handoff", "decision", "progress"), 0).otherwise(1)
-    w = Window.orderBy(first, F.desc(F.col("id") * 31 % 101), "id")
-    return documents(spark, sf_dir).select("id", F.row_number().over(w).cast("long").alias("position"))
+    score = F.col("id") * 31 % 101
+    return rank.numbered(documents(spark, sf_dir), [first, -score, rank.stretch("id")], [first.asc(), F.desc(score), F.asc("id")]).select("id", "position")
 
 
-@query("F06", "select l_partkey as src, l_suppkey as dst from lineitem where l_partkey < 50 union select l_suppkey, l_partkey from lineitem where l_partkey < 50")
+@query("F06", "select l_partkey as src, l_suppkey as dst from lineitem union select l_suppkey, l_partkey from lineitem")
 def both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "lineitem").where("l_partkey < 50").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    e = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
     return e.union(e.select("dst", "src")).distinct()
 
 
@@ -329,7 +340,7 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HYBRID = (
-    _EXACT
+    _BM25
     + ", fts as (select s.id, row_number() over (order by round(s.score, 9) desc, s.id) - 1 as rank0 from scored s join docs on docs.id = s.id and active where s.query_id = 1), "
     + f"vec as (select e.vec_id as id, row_number() over (order by round({_COS}, 9) desc, e.vec_id) - 1 as rank0 from embeddings e, embeddings p where p.vec_id = 141 and e.vec_id in (select id from docs where active)), {_TEMPORAL}, "
     "lists as (select id, rank0, 1.0::double as weight from fts where rank0 < 20 union all select id, rank0, 2.0 from vec where rank0 < 20 union all select id, rank0, 1.0 from temporal where rank0 < 30), "
@@ -343,7 +354,7 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword, vector and temporal lists fused by reciprocal rank, cut to 30 and blended with a rerank score."""
     d = documents(spark, sf_dir)
     live = d.where("active")
-    fts = ops.bm25(d, _terms(spark).where("query_id = 1")).join(live.select("id"), "id", "left_semi").withColumn("s", F.round("score", 9)).orderBy(F.desc("s"), "id").limit(20)
+    fts = keyword(spark, sf_dir, 1).withColumnRenamed("score", "s").orderBy(F.desc("s"), "id").limit(20)
     probe = _probes(spark, sf_dir).where("query_id = 141")
     vec = _vectors(spark, sf_dir).join(live.select("id"), "id", "left_semi").join(F.broadcast(probe)).withColumn("s", F.round(ops.cosine(F.col("embedding"), F.col("vector")), 9)).orderBy(F.desc("s"), "id").limit(20)
     at = F.coalesce("authored_at", "modified_at")
@@ -382,19 +393,18 @@ def topic_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(any_).select("id", F.round(F.when(F.col("any"), F.col("s") * F.when(F.col("hit"), 1.4).otherwise(0.75)).otherwise(F.col("s")), 6).alias("score"))
 
 
-@query("G31", f"with {DOCS}, s as (select id, ((id * 31) % 101) / 100.0::double as s from docs), hot as (select id from s where s > 0.8 order by s desc, id limit 3), p as (select (id * 7 + 1) % 1000 as partner, 1 + id % 3 as n from hot), l as (select partner, max(least(0.2, 0.1 * least(n, 2))) as lift from p group by 1) select s.id, round(case when s <= 0.8 and lift is not null then s + lift else s end, 6) as score from s left join l on partner = s.id")
+@query("G31", "with items as (select distinct l_orderkey as g, l_partkey as p from lineitem), pairs as (select x.p as a, y.p as b, count(*) as n from items x join items y on x.g = y.g and x.p < y.p group by all), u as (select a as item, b as partner, n from pairs union all select b, a, n from pairs), t as (select *, row_number() over (partition by item order by n desc, partner) as place from u), s as (select p_partkey as id, p_size / 50.0::double as s from part), hot as (select id from s where s > 0.8 order by s desc, id limit 3), l as (select partner as id, max(least(0.2, 0.1 * least(n, 2))) as lift from t join hot on item = hot.id where place <= 5 group by 1) select s.id, round(case when s <= 0.8 and lift is not null then s + lift else s end, 6) as score from s left join l on l.id = s.id")
 def spreading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = documents(spark, sf_dir).select("id", ((F.col("id") * 31 % 101) / 100).alias("s"))
-    hot = s.where("s > 0.8").orderBy(F.desc("s"), "id").limit(3)
-    lift = hot.select(((F.col("id") * 7 + 1) % 1000).alias("id"), F.least(F.lit(0.2), 0.1 * F.least(1 + F.col("id") % 3, F.lit(2))).alias("lift")).groupBy("id").agg(F.max("lift").alias("lift"))
-    return s.join(F.broadcast(lift), "id", "left").select("id", F.round(F.when((F.col("s") <= 0.8) & F.col("lift").isNotNull(), F.col("s") + F.col("lift")).otherwise(F.col("s")), 6).alias("score"))
+    """The three hottest results lift the lesser ones that were most used with them."""
+    s = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50).alias("s"))
+    return rank.spread(s, telemetry.top_partners(telemetry.pair_counts(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey"))).select("id", F.round("score", 6).alias("score"))
 
 
 @query("G32", f"with {DOCS}, s as (select id, content_type = 'problem' as proc, row_number() over (order by (id * 31) % 101 desc, id) as n from docs where active), f as (select min(n) filter (where proc and n > 4) as first, bool_or(proc and n <= 3) as has from s) select id, case when has or first is null then n when n = first then 4 when n >= 4 and n < first then n + 1 else n end as position from s, f")
 def procedural(spark: SparkSession, sf_dir: str) -> DataFrame:
     """If the first three hold no procedural document, the first one beyond the fourth moves to place four."""
-    w = Window.orderBy(F.desc(F.col("id") * 31 % 101), "id")
-    s = documents(spark, sf_dir).where("active").select("id", (F.col("content_type") == "problem").alias("proc"), F.row_number().over(w).cast("long").alias("n"))
+    score = F.col("id") * 31 % 101
+    s = rank.numbered(documents(spark, sf_dir).where("active"), [-score, rank.stretch("id")], [F.desc(score), F.asc("id")], name="n").select("id", (F.col("content_type") == "problem").alias("proc"), "n")
     f = F.broadcast(s.agg(F.min(F.when(F.col("proc") & (F.col("n") > 4), F.col("n"))).alias("first"), F.bool_or(F.col("proc") & (F.col("n") <= 3)).alias("has")))
     moved = F.when(F.col("has") | F.col("first").isNull(), F.col("n")).when(F.col("n") == F.col("first"), 4).when((F.col("n") >= 4) & (F.col("n") < F.col("first")), F.col("n") + 1).otherwise(F.col("n"))
     return s.join(f).select("id", moved.cast("long").alias("position"))

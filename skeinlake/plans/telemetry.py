@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import telemetry as ops
+from ..operators.ranking import numbered, stretch
 from ..sources.vault import DOCS, RECALLS, TRIPLES, documents, read, recalls, triples
 from .registry import query
 
@@ -46,12 +47,12 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", found.alias("e")).select("doc_id", F.lower("e").alias("entity")).distinct()
 
 
-@query("D04", f"with {_MENTIONS}, few as (select doc_id from mentions group by 1 having count(*) <= 12), m as (select * from mentions where doc_id in (select doc_id from few)) select x.entity as a, y.entity as b, count(*) as n from m x join m y on x.doc_id = y.doc_id and x.entity < y.entity group by 1, 2 having count(*) >= 2")
+@query("D04", f"with {_MENTIONS}, k as (select entity from mentions group by 1 having count(*) >= 2), m as (select * from mentions where entity in (select entity from k)) select x.entity as a, y.entity as b, count(*) as n from m x join m y on x.doc_id = y.doc_id and x.entity < y.entity group by 1, 2 having count(*) >= 2")
 def co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all documents; an entity of a single document is in no pair of two, so it is left out before pairs are made."""
     m = mentions(spark, sf_dir)
     again = m.groupBy("entity").agg(F.count("*").alias("df")).where("df >= 2").select("entity")
-    return ops.pair_counts(m.join(again, "entity", "left_semi"), "doc_id", "entity", stretch=256).where("n >= 2")
+    return ops.pair_counts(m.join(again, "entity", "left_semi"), "doc_id", "entity").where("n >= 2")
 
 
 @query("D05", f"with {_MENTIONS} select entity, count(*) as mention_count from mentions group by 1 having count(*) >= 2")
@@ -78,11 +79,13 @@ def lifecycle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("D08", "select count_if(vec_id % 7 = 0) as failed, count_if(vec_id % 5 = 0 and vec_id % 7 <> 0) as pending, count_if(vec_id % 5 <> 0 and vec_id % 7 <> 0) as synced from embeddings")
+@query("D08", f"with {DOCS}, e as (select vec_id, len(embedding) as n from embeddings), m as (select n from e group by 1 order by count(*) desc, n limit 1) select count_if(e.vec_id is not null and e.n <> m.n) as failed, count_if(e.vec_id is null) as pending, count_if(e.n = m.n) as synced from docs left join e on e.vec_id = docs.id, m where docs.active")
 def embed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings")
-    failed, waiting = e.vec_id % 7 == 0, e.vec_id % 5 == 0
-    return e.agg(F.count_if(failed).alias("failed"), F.count_if(waiting & ~failed).alias("pending"), F.count_if(~waiting & ~failed).alias("synced"))
+    """Active documents whose vector has the usual dimension, another one, or isn't there."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.size("embedding").alias("n"))
+    usual = e.groupBy("n").agg(F.count("*").alias("rows")).agg(F.min_by("n", F.struct(-F.col("rows"), "n")).alias("usual"))  # one row
+    d = documents(spark, sf_dir).where("active").select("id").join(e, "id", "left").join(F.broadcast(usual))
+    return d.agg(F.count_if(F.col("n") != F.col("usual")).alias("failed"), F.count_if(F.col("n").isNull()).alias("pending"), F.count_if(F.col("n") == F.col("usual")).alias("synced"))
 
 
 @query("D09", f"with {DOCS} select collection, content_type, count(*) as documents, strftime(max(modified_at), '%Y-%m-%d') as updated from docs where active group by 1, 2")
@@ -119,10 +122,10 @@ def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.orderBy(F.desc("n"), F.desc(F.length("phrase")), "phrase").limit(20)
 
 
-@query("D14", f"with {RECALLS}, {_STATS} select doc_id, diversity >= 0.4 and spacing >= 0.5 and recalls >= 3 as pin, recalls >= 5 and negatives > 0.15 * recalls as snooze from stats")
+@query("D14", f"with {RECALLS}, {_STATS} select doc_id, diversity >= 0.4 and spacing >= 0.5 and recalls >= 3 as pin, recalls >= 5 and negatives > 0.8 * recalls as snooze from stats")
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ops.recall_stats(recalls(spark, sf_dir))
-    return s.select("doc_id", ((s.diversity >= 0.4) & (s.spacing >= 0.5) & (s.recalls >= 3)).alias("pin"), ((s.recalls >= 5) & (s.negatives > 0.15 * s.recalls)).alias("snooze"))
+    return s.select("doc_id", ((s.diversity >= 0.4) & (s.spacing >= 0.5) & (s.recalls >= 3)).alias("pin"), ((s.recalls >= 5) & (s.negatives > 0.8 * s.recalls)).alias("snooze"))
 
 
 @query("D15", "with s as (select o_custkey as topic, l_partkey as src from orders join lineitem on o_orderkey = l_orderkey) select topic, count(distinct src) as proof_count from s group by 1")
@@ -198,14 +201,14 @@ def live_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.join(live.withColumnRenamed("id", "src"), "src", "left_semi").join(live.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-@query("C14", f"with {DOCS}, s as (select conv_id as session_id, timestamp '2023-06-01' + to_days(cast(conv_id * 3 % 240 as int)) as started, case when conv_id % 4 <> 0 then timestamp '2023-06-01' + to_days(cast(conv_id * 3 % 240 + 2 as int)) end as ended from (select distinct conv_id from conversations)) select id, session_id from docs join s on started <= modified_at and (ended is null or ended >= modified_at) where id < 300")
+@query("C14", f"with {DOCS}, s as (select conv_id as session_id, timestamp '2023-06-01' + to_days(cast(conv_id * 3 % 240 as int)) as started, case when conv_id % 4 <> 0 then timestamp '2023-06-01' + to_days(cast(conv_id * 3 % 240 + 2 as int)) end as ended from (select distinct conv_id from conversations)) select id, session_id from docs join s on started <= modified_at and (ended is null or ended >= modified_at)")
 def session_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.joins import containing_interval
 
     s = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")).distinct()
     s = s.withColumn("started", F.expr("timestamp'2023-06-01 00:00:00' + make_interval(0, 0, 0, cast(session_id * 3 % 240 as int))"))
     s = s.withColumn("ended", F.expr("case when session_id % 4 <> 0 then started + make_interval(0, 0, 0, 2) end"))
-    return containing_interval(documents(spark, sf_dir).where("id < 300"), "modified_at", s, "started", "ended").select("id", "session_id")
+    return containing_interval(documents(spark, sf_dir), "modified_at", s, "started", "ended").select("id", "session_id")
 
 
 @query("C15", f"with {TRIPLES} select triple_id, subject_id, object from triples where (valid_from is null or valid_from <= date '1997-06-01') and (valid_to is null or valid_to >= date '1997-06-01')")
@@ -215,9 +218,9 @@ def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid_at(triples(spark, sf_dir), F.lit("1997-06-01").cast("date")).select("triple_id", "subject_id", "object")
 
 
-@query("C16", f"with {TRIPLES} select triple_id, coalesce(c_name, 'c' || subject_id) as subject, predicate, coalesce(r_name, object) as object from triples left join customer on c_custkey = subject_id and c_custkey % 3 <> 0 left join region on r_name = object where triple_id < 2000")
+@query("C16", f"with {TRIPLES} select triple_id, coalesce(c_name, 'c' || subject_id) as subject, predicate, coalesce(r_name, object) as object from triples left join customer on c_custkey = subject_id and c_custkey % 3 <> 0 left join region on r_name = object")
 def named_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = triples(spark, sf_dir).where("triple_id < 2000")
+    t = triples(spark, sf_dir)
     c, r = read(spark, sf_dir, "customer").where("c_custkey % 3 <> 0"), read(spark, sf_dir, "region")
     out = t.join(c, t.subject_id == c.c_custkey, "left").join(r, t.object == r.r_name, "left")
     return out.select("triple_id", F.coalesce("c_name", F.concat(F.lit("c"), F.col("subject_id").cast("string"))).alias("subject"), "predicate", F.coalesce("r_name", "object").alias("object"))
@@ -251,12 +254,13 @@ def by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.where(m.entity.isin("thandle", "theand", "thntion") | m.entity.startswith("there"))
 
 
-@query("C23", f"with {_MENTIONS}, v as (select entity, count(*) as n from mentions where length(entity) between 8 and 10 group by 1), k as (select entity from v where n >= 3), r as (select v.entity, k.entity as canonical, 1 - levenshtein(v.entity, k.entity) / greatest(length(v.entity), length(k.entity))::double as ratio from v join k on left(v.entity, 4) = left(k.entity, 4) and v.entity <> k.entity where v.n < 3), b as (select *, row_number() over (partition by entity order by ratio desc, canonical) as place from r where ratio >= 0.75) select entity, canonical, round(ratio, 6) as ratio from b where place = 1")
+@query("C23", f"with {_MENTIONS}, v as (select entity, count(*) as n from mentions group by 1), k as (select entity from v where n >= 3), r as (select v.entity, k.entity as canonical, 1 - levenshtein(v.entity, k.entity) / greatest(length(v.entity), length(k.entity))::double as ratio from v join k on length(k.entity) between 0.75 * length(v.entity) and length(v.entity) / 0.75 and v.entity <> k.entity where v.n < 3), b as (select *, row_number() over (partition by entity order by ratio desc, canonical) as place from r where ratio >= 0.75 - 1e-12) select entity, canonical, round(ratio, 6) as ratio from b where place = 1")
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of one or two documents to the most alike one of three or more."""
     from ..operators.joins import fuzzy_match
 
-    v = mentions(spark, sf_dir).where("length(entity) between 8 and 10").groupBy("entity").agg(F.count("*").alias("n"))
-    return fuzzy_match(v.where("n < 3").select("entity"), v.where("n >= 3").select(F.col("entity").alias("canonical")), 0.75, 4)
+    v = mentions(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("n"))
+    return fuzzy_match(v.where("n < 3").select("entity"), v.where("n >= 3").select(F.col("entity").alias("canonical")), 0.75)
 
 
 @query("E01", f"with {DOCS}, r as (select id as src, lead(id) over (order by created_at, id) as dst from docs where active) select src, dst from r where dst is not null")
@@ -273,10 +277,18 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return around(documents(spark, sf_dir), 42, 5)
 
 
-@query("E03", "with r as (select label, vec_id, list_sum(embedding)::double as s, row_number() over (partition by label order by embedding[1] desc, vec_id) as n from embeddings) select label, vec_id from r where n = 1")
+_DISTANCE = "1 - list_dot_product(e.embedding::double[], p.embedding::double[]) / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(p.embedding::double[], p.embedding::double[])))"
+
+
+@query("E03", f"with r as (select e.label, e.vec_id, row_number() over (partition by e.label order by round({_DISTANCE}, 9), e.vec_id) as n from embeddings e, embeddings p where p.vec_id = 141) select label, vec_id from r where n = 1")
 def best_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("label").orderBy(F.desc(F.element_at("embedding", 1)), "vec_id")
-    return read(spark, sf_dir, "embeddings").withColumn("n", F.row_number().over(w)).where("n = 1").select("label", "vec_id")
+    """Of each document (label) the fragment nearest to the query's vector."""
+    from ..operators.retrieval import cosine
+
+    e = read(spark, sf_dir, "embeddings")
+    probe = F.broadcast(e.where("vec_id = 141").select(F.col("embedding").alias("asked")))  # one row
+    far = F.round(1 - cosine(F.col("embedding"), F.col("asked")), 9)
+    return e.join(probe).groupBy("label").agg(F.min_by("vec_id", F.struct(far, "vec_id")).alias("vec_id"))
 
 
 @query("E05", f"with {DOCS}, s as (select collection, id, row_number() over (partition by collection order by modified_at desc, id) as k, count(*) over (partition by collection) as n from docs) select collection, id from s where k <= greatest(1, floor(n * 0.25))")
@@ -331,20 +343,23 @@ def focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", (F.when(d.pinned, 1000).otherwise(0) + F.greatest(F.lit(0), 100 - 5 * days) + 2 * d.access_count).cast("double").alias("score"))
 
 
-@query("E12", "with e as (select event_id, user_id, event_type, ts from events), j as (select a.event_id, b.event_type, b.ts, b.event_id as prior, row_number() over (partition by a.event_id order by b.ts desc, b.event_id desc) as n from e a join e b on a.user_id = b.user_id and b.ts < a.ts and b.ts >= a.ts - interval 6 hour and b.event_type <> a.event_type) select event_id, string_agg(event_type, ' ' order by n) as prior from j where n <= 2 group by 1")
+@query("E12", """with e as (select event_id, user_id, event_type || ' ' || props as said, ts from events),
+j as (select a.event_id, a.said as asked, b.said, row_number() over (partition by a.event_id order by b.ts desc, b.event_id desc) as n from e a join e b on a.user_id = b.user_id and b.ts < a.ts and b.ts >= a.ts - interval 10 minute and b.said <> a.said)
+select event_id, left(asked || chr(10) || chr(10) || string_agg(said, chr(10) || chr(10) order by n), 2000) as asked from j where n <= 2 group by event_id, asked""")
 def multi_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two newest different prompts of the session in the window before, newest first."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-6 * 3600 * 1000000, -1)
-    e = read(spark, sf_dir, "events").withColumn("all", F.collect_list(F.struct("ts", "event_id", "event_type")).over(w))
-    prior = F.slice(F.reverse(F.sort_array(F.filter("all", lambda x: x["event_type"] != F.col("event_type")))), 1, 2)
-    return e.where(F.size(prior) > 0).select("event_id", F.array_join(prior["event_type"], " ").alias("prior"))
+    """A prompt with the two newest other prompts of its session in the ten minutes before, newest first, up to 2000 characters."""
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-600 * 1000000, -1)
+    e = read(spark, sf_dir, "events").withColumn("said", F.concat_ws(" ", "event_type", "props"))
+    e = e.withColumn("all", F.collect_list(F.struct("ts", "event_id", "said")).over(w))  # a session's prompts of ten minutes
+    prior = F.slice(F.reverse(F.sort_array(F.filter("all", lambda x: (x["said"] != F.col("said")) & (x["said"] != "")))), 1, 2)
+    return e.where(F.size(prior) > 0).select("event_id", F.substring(F.concat_ws("\n\n", "said", prior["said"]), 1, 2000).alias("asked"))
 
 
 @query("E14", f"with {DOCS}, s as (select id, (contains(lower(body), 'tion'))::int + (contains(lower(body), 'there'))::int + (contains(lower(body), 'anthe'))::int as n from docs where content_type = 'decision') select id, n::bigint as terms, row_number() over (order by n desc, id) as position from s")
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = sum((F.lower("body").contains(t).cast("long") for t in ("tion", "there", "anthe")), F.lit(0).cast("long"))
     s = documents(spark, sf_dir).where("content_type = 'decision'").select("id", n.alias("terms"))
-    return s.withColumn("position", F.row_number().over(Window.orderBy(F.desc("terms"), "id")).cast("long"))
+    return numbered(s, [-F.col("terms"), stretch("id")], [F.desc("terms"), F.asc("id")])
 
 
 @query("A07", f"with {_SEGMENTS}, p as (select conv_id, segment, string_agg(case when role = 'user' then text end, chr(10) || chr(10) order by turn) as question, coalesce(string_agg(case when role = 'assistant' then text end, chr(10) || chr(10) order by turn), '') as answer from seg where segment > 0 group by 1, 2) select *, left(split_part(question, chr(10), 1), 80) as title from p where length(question) + length(answer) >= 30")

@@ -32,9 +32,8 @@ class Vault:
 
     def search(self, query: str, limit: int = 10, collections: Sequence[str] = ()) -> DataFrame:
         """Keyword search: all words of ``query``, as prefixes."""
-        words = [(1, w) for w in dict.fromkeys(query.lower().split())]
-        terms = self.spark.createDataFrame(words, "query_id long, term string")
-        scored = retrieval.bm25(self.documents, terms, prefix=True).join(self._visible(collections).select("id", "path"), "id")
+        terms = self.spark.createDataFrame([(1, query)], "query_id long, term string")
+        scored = retrieval.bm25(self._visible(), terms).join(self._visible(collections).select("id", "path"), "id")
         return scored.orderBy(F.desc(F.round("score", 9)), "id").limit(limit).select("id", "path", "score")
 
     def vsearch(self, vector: Sequence[float], limit: int = 10) -> DataFrame:

@@ -55,7 +55,8 @@ def test_gates(spark):
 
 def test_text(spark):
     assert one(spark, text.edit_ratio(F.lit("kitten"), F.lit("sitting"))) == pytest.approx(1 - 3 / 7)
-    assert one(spark, text.gram_cosine(text.trigrams(F.lit("abcabc")), text.trigrams(F.lit("abc")))) == pytest.approx(2 / math.sqrt(6))
+    pairs = spark.createDataFrame([(1, "abcabc", "abc"), (2, "A  b", "a B"), (3, "", "x"), (4, "ab", "abc")], "id int, x string, y string")
+    assert {r["id"]: r["similarity"] for r in text.gram_similarity(pairs).collect()} == pytest.approx({1: 2 / math.sqrt(6), 2: 1, 3: 0, 4: 0})
     assert one(spark, text.anchors(F.lit("The Parser met Anna and the Parser"))) == ["parser", "anna"]
     arr = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
     assert one(spark, text.anchors_diverge(arr("a"), arr("b"))) and not one(spark, text.anchors_diverge(arr("a"), arr("a", "b")))
