@@ -92,6 +92,13 @@ def similar_sets(sets: DataFrame, by: str, least: float, asked: Column | None =
     return pairs.select("a", "b", alike.alias("similarity")).where(F.col("similarity") >= least)
 
 
+def diary_of(entries: DataFrame, agents: tuple[str, ...] = (), most: int = 10) -> DataFrame:
+    """The newest ``most`` entries (agent, entry, written_at) of each agent, or of those named, with their place."""
+    rows = entries.where(F.col("agent").isin(*agents)) if agents else entries
+    place = F.row_number().over(Window.partitionBy("agent").orderBy(F.desc("written_at"), F.desc("entry")))
+    return rows.withColumn("place", place.cast("long")).where(F.col("place") <= most)
+
+
 def trend(created: Column, updated: Column, proofs: Column, now: Column) -> Column:
     """NEW in the first 7 days; STALE after 60, WEAKENING after 30 without change; STRENGTHENING with 4 proofs in 14 days; else STABLE."""
     from ..functions.scoring import days_between
