@@ -1,7 +1,7 @@
 """The tokens of a keyword index: folded words, stemmed by Porter's algorithm.
 
-The algorithm's rules are one table, from which a column expression and the
-same in SQL are made, so stemming stays in generated code.
+The algorithm's rules are one table, from which SQL expressions are made, so no
+word leaves the engine to be stemmed.
 """
 
 from __future__ import annotations
@@ -43,30 +43,8 @@ MARKED = "".join(chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize
 BARE = "".join(unicodedata.normalize("NFD", c)[0] for c in MARKED)
 
 
-class _Spark:
-    """Expressions as columns."""
-
-    ends = staticmethod(lambda x, s: x.endswith(s))
-    cut = staticmethod(lambda x, n: x.substr(F.lit(1), F.length(x) - n))
-    like = staticmethod(lambda x, p: x.rlike(p))
-    join = staticmethod(lambda x, s: F.concat(x, F.lit(s)))
-    both = staticmethod(lambda a, b: a & b)
-    either = staticmethod(lambda a, b: a | b)
-
-    @staticmethod
-    def case(cases, otherwise):
-        out = F
-        for when, then in cases:
-            out = out.when(when, then)
-        return out.otherwise(otherwise)
-
-    @staticmethod
-    def let(x, f):
-        return F.transform(F.array(x), f)[0]
-
-
 class _Sql:
-    """Expressions as text; a name bound by ``let`` stands for its value."""
+    """Expressions as SQL text; a name bound by ``let`` stands for its value."""
 
     depth = 0
 
@@ -88,6 +66,19 @@ class _Sql:
         return f"list_transform([{x}], lambda {name}: {f(name)})[1]"
 
 
+class _Spark(_Sql):
+    """The same in Spark's SQL."""
+
+    ends = staticmethod(lambda x, s: f"endswith({x}, '{s}')")
+    like = staticmethod(lambda x, p: f"rlike({x}, '{p}')")
+
+    @classmethod
+    def let(cls, x, f):
+        cls.depth += 1
+        name = f"v{cls.depth}"
+        return f"transform(array({x}), {name} -> {f(name)})[0]"
+
+
 def _suffixes(e, x, rules):
     cases = []
     for suffix, new, holds in sorted(rules, key=lambda r: -len(r[0])):
@@ -144,14 +135,19 @@ def _stemmed(e, word):
     return out
 
 
-def stem(word: Column) -> Column:
+def stem_sql(word: str, e: type[_Sql] = _Sql) -> str:
     """The stem of a folded word; words shorter or longer than are stemmed are their own."""
-    return F.when(F.length(word).between(LEAST, MOST), _stemmed(_Spark, word)).otherwise(word)
+    return f"case when length({word}) between {LEAST} and {MOST} then {_stemmed(e, word)} else {word} end"
+
+
+def stems(words: str) -> Column:
+    """The stems of a column of arrays of folded words."""
+    return F.expr(f"transform({words}, w -> {stem_sql('w', _Spark)})")
 
 
-def stem_sql(word: str) -> str:
-    """``stem`` in SQL."""
-    return f"case when length({word}) between {LEAST} and {MOST} then {_stemmed(_Sql, word)} else {word} end"
+def weighted_stems(words: str) -> Column:
+    """The same for a column of arrays of structs (w, x): structs (s, x)."""
+    return F.expr(f"transform({words}, w -> named_struct('s', {stem_sql('w.w', _Spark)}, 'x', w.x))")
 
 
 def folded(text: Column) -> Column:

@@ -54,13 +54,20 @@ def expanded(prompts: DataFrame, expand: Expand | None = None) -> DataFrame:
     return prompts.join(once, "prompt").select("prompt_id", "place", "type", "text")
 
 
-def reranked(pairs: DataFrame, score: Score, most_chars: int = 400, batch: int = 4) -> DataFrame:
+def reranked(pairs: DataFrame, score: Score, most_chars: int = 400, batch: int = 4, bounded: bool = False) -> DataFrame:
     """``pairs`` (query_id, query, id, text) with rerank: the model's score of query and text.
 
     Equal texts of a query are scored once, cut to ``most_chars``, ``batch`` at
     a time; a text without a finite score has 0, also if the model fails.
+    ``bounded`` says that a query's rows are the cut of a retrieval: they are
+    scored in one task, and ``pairs`` is computed once.
     """
 
+    def own(rows: pd.DataFrame) -> pd.DataFrame:
+        known = rows[["query", "text"]].dropna().drop_duplicates()
+        found = pd.concat([*run(iter([known]))]).set_index("text")["rerank"] if len(known) else {}
+        return rows.assign(rerank=[float(found[t]) if t is not None and t in found else 0.0 for t in rows.text])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
@@ -76,6 +83,9 @@ def reranked(pairs: DataFrame, score: Score, most_chars: int = 400, batch: int =
                     out += [(query, t, float(s) if s is not None and abs(float(s)) < float("inf") else 0.0) for t, s in zip(part, got, strict=False)]
             yield pd.DataFrame(out, columns=["query", "text", "rerank"])
 
+    if bounded:
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+        return pairs.groupBy("query_id").applyInPandas(own, kinds + ", rerank double")
     once = pairs.select("query", "text").where("text is not null").distinct().mapInPandas(run, "query string, text string, rerank double")
     return pairs.join(once, ["query", "text"], "left").withColumn("rerank", F.coalesce("rerank", F.lit(0.0)))
 

@@ -11,14 +11,20 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 
 
-def composite_rank(docs: DataFrame, now: Column, weights: str = "default", by: Sequence[str] = ()) -> DataFrame:
-    """``docs`` (search and the document's columns) with score, and position by score, then id, in each group."""
+def composite_rank(docs: DataFrame, now: Column, weights: str = "default", by: Sequence[str] = (), bounded: bool = False) -> DataFrame:
+    """``docs`` (search and the document's columns) with score, and position by score, then id, in each group.
+
+    ``bounded`` says that each group is the cut of a retrieval, which one task sorts.
+    """
     recent = scoring.recency(F.col("content_type"), F.col("modified_at"), now, F.col("access_count"), F.col("last_accessed_at"))
     sure = scoring.confidence(F.col("content_type"), F.col("modified_at"), now, F.col("access_count"), F.col("last_accessed_at"))
     base = scoring.composite(F.col("search"), recent, scoring.stored_confidence(sure, F.col("confidence")), weights)
     factor = scoring.quality_factor(scoring.quality_score(F.col("body"), F.lit(1))) * scoring.length_factor(F.length("body"))
     score = base * factor + scoring.frequency_boost(F.col("revision_count"), F.col("duplicate_count")) + F.when(F.col("pinned"), 0.3).otherwise(0.0)
     scored = docs.withColumn("score", F.round(F.least(F.lit(1.0), score), 6))
+    if bounded:
+        place = F.row_number().over(Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("score"), "id"))
+        return scored.withColumn("position", place.cast("long"))
     return numbered(scored, [F.ceil(-F.col("score") * 1000), F.when(F.col("score") == 1, stretch("id")).otherwise(0)], [F.desc("score"), F.asc("id")], by)
 
 
@@ -55,12 +61,19 @@ def reciprocal_rank_fusion(lists: DataFrame, k: float = 60.0) -> DataFrame:
     return used.groupBy("doc_id").agg(F.sum(weight / (k + F.col("rank0") + 1) + bonus).alias("score"))
 
 
-def rerank_blend(scored: DataFrame) -> DataFrame:
-    """.1 fused score over the best + .9 rerank score; only the first if no rerank score is over 1e-4."""
-    most = F.broadcast(scored.agg(F.max("rrf").alias("_top"), F.max(F.coalesce("rerank", F.lit(0.0))).alias("_best")))  # one row
+def rerank_blend(scored: DataFrame, bounded: bool = False) -> DataFrame:
+    """.1 fused score over the best + .9 rerank score; only the first if no rerank score is over 1e-4.
+
+    ``bounded`` says that the rows are the cut of a retrieval, which fit a task.
+    """
+    if bounded:
+        all_ = Window.partitionBy(F.lit(1))
+        scored = scored.withColumns({"_top": F.max("rrf").over(all_), "_best": F.max(F.coalesce("rerank", F.lit(0.0))).over(all_)})
+    else:
+        scored = scored.join(F.broadcast(scored.agg(F.max("rrf").alias("_top"), F.max(F.coalesce("rerank", F.lit(0.0))).alias("_best"))))  # one row
     norm = F.when(F.col("_top") > 0, F.col("rrf") / F.col("_top")).otherwise(0.0)
     blended = F.when(F.col("_best") > 1e-4, 0.1 * norm + 0.9 * F.coalesce("rerank", F.lit(0.0))).otherwise(norm)
-    return scored.join(most).withColumn("blended", blended).drop("_top", "_best")
+    return scored.withColumn("blended", blended).drop("_top", "_best")
 
 
 def adaptive_threshold(scored: DataFrame, ratio: float, floor: float, activation: float) -> DataFrame:

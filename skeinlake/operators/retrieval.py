@@ -22,6 +22,10 @@ def index_fields(docs: DataFrame) -> DataFrame:
     return docs.select("id", *[stem.folded(F.coalesce(c, F.lit(""))).alias(f) for f, c in (("path", path), ("title", F.col("title")), ("body", F.col("body")))])
 
 
+def _weighted(words: Column, weight: float) -> Column:
+    return F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(weight).alias("x")))
+
+
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score, bm25) of documents that hold all terms of a query, in whatever fields.
 
@@ -35,20 +39,20 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     that can have such a stem are stemmed, and nothing but one row of totals
     is shuffled.  Rows without words, or queries without terms, have no hits.
     """
-    asked = [(r[0], r[1]) for r in queries.select("query_id", F.explode(F.transform(stem.folded(F.col("term")), stem.stem))).collect()]
+    folded = queries.select("query_id", stem.folded(F.col("term")).alias("words"))
+    asked = [(r[0], r[1]) for r in folded.select("query_id", F.explode(stem.stems("words"))).collect()]
     terms = sorted({t for _, t in asked})
     if not terms:
         return docs.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double, bm25 double")
 
-    def stems(words: Column) -> Column:
-        reach = [stem.reach(t) for t in terms]
-        near = lambda w: reduce(lambda x, y: x | y, [w.startswith(x) for x in dict.fromkeys(reach)])
-        return F.transform(F.filter(words, near), stem.stem)
-
+    beginnings = list(dict.fromkeys(stem.reach(t) for t in terms))
+    near = lambda w: reduce(lambda x, y: x | y, [w.startswith(x) for x in beginnings])
     fields = list(FIELD_WEIGHTS)
-    words = index_fields(docs).select("id", sum((F.size(f) for f in fields), F.lit(0)).alias("len"), *[stems(F.col(f)).alias(f) for f in fields])
-    count = lambda t: sum((w * F.size(F.filter(f, lambda s: s.startswith(t))) for f, w in FIELD_WEIGHTS.items()), F.lit(0.0))
-    rows = words.select("id", "len", F.array(*[count(t) for t in terms]).alias("freq"))
+    size = sum((F.size(f) for f in fields), F.lit(0)).alias("len")
+    words = F.concat(*[_weighted(F.filter(f, near), x) for f, x in FIELD_WEIGHTS.items()])
+    found = index_fields(docs).select("id", size, words.alias("near")).select("id", "len", stem.weighted_stems("near").alias("near"))
+    count = lambda t: F.aggregate(F.filter("near", lambda p: p["s"].startswith(t)), F.lit(0.0), lambda a, p: a + p["x"])
+    rows = found.select("id", "len", F.array(*[count(t) for t in terms]).alias("freq"))
     sums = [F.count_if(F.col("freq")[k] > 0) for k in range(len(terms))]
     totals = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"), F.array(*sums).alias("df"))
     wide = rows.join(F.broadcast(totals))  # one row; a filter here would be pushed down and count all words twice
@@ -58,12 +62,12 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
         idf = F.log((F.col("n_docs") - df + 0.5) / (df + 0.5))
         return F.when(idf > 0, idf).otherwise(LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean")))
 
-    found = []
+    hit = []
     for q in sorted({q for q, _ in asked}):
         own = [terms.index(t) for x, t in asked if x == q]
         held = reduce(lambda x, y: x & y, [F.col("freq")[k] > 0 for k in own])
-        found.append(F.when(held, F.struct(F.lit(q).alias("query_id"), (-sum((part(k) for k in own), F.lit(0.0))).alias("bm25"))))
-    hits = wide.select("id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("hit"))
+        hit.append(F.when(held, F.struct(F.lit(q).alias("query_id"), (-sum((part(k) for k in own), F.lit(0.0))).alias("bm25"))))
+    hits = wide.select("id", F.explode(F.filter(F.array(*hit), lambda x: x.isNotNull())).alias("hit"))
     kind = queries.schema["query_id"].dataType
     score = -F.col("hit.bm25") / (1 - F.col("hit.bm25"))
     return hits.select(F.col("hit.query_id").cast(kind).alias("query_id"), "id", score.alias("score"), F.col("hit.bm25").alias("bm25"))

@@ -191,21 +191,3 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("M04", "select user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as authored_at from events group by 1")
 def late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.latest_evidence(read(spark, sf_dir, "events")).select("user_id", F.date_format("authored_at", "yyyy-MM-dd HH:mm:ss").alias("authored_at"))
-
-
-@query("G14", r._BM25 + ", top5 as (select id from scored where query_id = 1 order by round(score, 9) desc, id limit 5) select distinct d.id from docs d join top5 t on d.collection = (select collection from docs where docs.id = t.id) and d.id <> t.id where d.content_type = 'hub'")
-def entity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours of the five best keyword hits; here documents of type hub in their collections."""
-    d = documents(spark, sf_dir)
-    top = r.keyword(spark, sf_dir, 1).orderBy(F.desc("score"), "id").limit(5).join(d.select("id", "collection"), "id")
-    hits = d.where("content_type = 'hub'").select("id", "collection").join(F.broadcast(top.select(F.col("id").alias("seed"), "collection")), "collection")
-    return hits.where("id <> seed").select("id").distinct()
-
-
-@query("G24")
-def query_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clauses of a query with priorities; their lists fused with weight 6 - priority."""
-    clauses = spark.createDataFrame([(1, 1), (2, 3), (4, 2)], "query_id long, priority int")
-    hits = ops.top_k(r.keyword(spark, sf_dir), 20).join(F.broadcast(clauses), "query_id")
-    lists = hits.select(F.col("query_id").alias("list_id"), F.col("id").alias("doc_id"), (F.col("place") - 1).alias("rank0"), (6.0 - F.col("priority")).alias("weight"))
-    return rank.reciprocal_rank_fusion(lists).withColumn("score", F.round("score", 6))

@@ -10,7 +10,6 @@ from ..sources.vault import DOCS, NOW, documents, read
 from .registry import query
 
 
-
 def _now():
     return F.to_timestamp(F.lit(NOW))
 
@@ -138,7 +137,13 @@ def recency_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("prompt_id", scoring.any_of(p.prompt, scoring.RECENCY_INTENT).alias("recent"))
 
 
-_FULL = f"least(1.0, (({_SEARCH})*0.5 + ({_RECENT})*0.25 + ({_STORED})*0.25) * (0.7 + 0.6 * {_QUALITY}) * {_LENGTH} + {_BOOST} + case when pinned then 0.3 else 0 end)"
+def full(search: str, weights: str = "default") -> str:
+    """The full composite of a search score in SQL."""
+    a, b, c = scoring.WEIGHTS[weights]
+    return f"least(1.0, (({search})*{a} + ({_RECENT})*{b} + ({_STORED})*{c}) * (0.7 + 0.6 * {_QUALITY}) * {_LENGTH} + {_BOOST} + case when pinned then 0.3 else 0 end)"
+
+
+_FULL = full(_SEARCH)
 
 
 @query("H13", f"with {DOCS}, s as (select id, path, pinned, round({_FULL}, 6) as score, {_SEARCH} as raw from docs where active) select id, score, row_number() over (order by score desc, id) as position from s")

@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import composed, curation, graph, mining, ranking, retrieval, telemetry  # noqa: F401
+    from . import composed, curation, graph, mining, ranking, retrieval, search, telemetry  # noqa: F401

@@ -339,44 +339,6 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.unionByName(v.join(some.select("id"), "id", "left_anti").select(v.columns).orderBy(order, "id").limit(12)).select("id", "first")
 
 
-_HYBRID = (
-    _BM25
-    + ", fts as (select s.id, row_number() over (order by round(s.score, 9) desc, s.id) - 1 as rank0 from scored s join docs on docs.id = s.id and active where s.query_id = 1), "
-    + f"vec as (select e.vec_id as id, row_number() over (order by round({_COS}, 9) desc, e.vec_id) - 1 as rank0 from embeddings e, embeddings p where p.vec_id = 141 and e.vec_id in (select id from docs where active)), {_TEMPORAL}, "
-    "lists as (select id, rank0, 1.0::double as weight from fts where rank0 < 20 union all select id, rank0, 2.0 from vec where rank0 < 20 union all select id, rank0, 1.0 from temporal where rank0 < 30), "
-    "fused as (select id, sum(weight / (60 + rank0 + 1) + case when rank0 = 0 then 0.05 when rank0 <= 2 then 0.02 else 0 end) as rrf from lists group by 1), "
-    "cand as (select * from fused order by round(rrf, 9) desc, id limit 30), m as (select max(rrf) as top from cand) "
-    "select id, round(rrf, 6) as rrf, round(0.1 * rrf / top + 0.9 * (id % 10) / 10.0::double, 6) as search from cand, m"
-)
-
-
-def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword, vector and temporal lists fused by reciprocal rank, cut to 30 and blended with a rerank score."""
-    d = documents(spark, sf_dir)
-    live = d.where("active")
-    fts = keyword(spark, sf_dir, 1).withColumnRenamed("score", "s").orderBy(F.desc("s"), "id").limit(20)
-    probe = _probes(spark, sf_dir).where("query_id = 141")
-    vec = _vectors(spark, sf_dir).join(live.select("id"), "id", "left_semi").join(F.broadcast(probe)).withColumn("s", F.round(ops.cosine(F.col("embedding"), F.col("vector")), 9)).orderBy(F.desc("s"), "id").limit(20)
-    at = F.coalesce("authored_at", "modified_at")
-    recent = live.withColumn("at", at).where("at between timestamp'2023-10-01 00:00:00' and timestamp'2023-12-31 00:00:00'").orderBy(F.desc("at"), "id").limit(30)
-    lists = [rank.ranked(df.select("id", F.col(s).alias("s")), [], F.desc("s"), F.col("id")).select(F.col("id").alias("doc_id"), "rank0", F.lit(w).alias("weight")) for df, s, w in ((fts, "s", 1.0), (vec, "s", 2.0), (recent, "at", 1.0))]
-    fused = rank.reciprocal_rank_fusion(lists[0].unionByName(lists[1]).unionByName(lists[2])).select(F.col("doc_id").alias("id"), F.col("score").alias("rrf"))
-    cut = fused.orderBy(F.desc(F.round("rrf", 9)), "id").limit(30)
-    return rank.rerank_blend(cut.withColumn("rerank", (F.col("id") % 10) / 10)).withColumnRenamed("blended", "search")
-
-
-@query("G15", _HYBRID)
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid(spark, sf_dir).select("id", F.round("rrf", 6).alias("rrf"), F.round("search", 6).alias("search"))
-
-
-@query("H14")
-def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
-    found = hybrid(spark, sf_dir).select("id", F.col("search").alias("score")).join(d.select("id", "title", "body"), "id")
-    return rank.mmr_order(found.withColumn("query_id", F.lit(1)))
-
-
 @query("G27", f"with {DOCS}, s as (select id, ((id * 31) % 101) / 100.0::double as k, ((id * 57) % 101) / 100.0::double as v from docs) select id, greatest(k, v) as score from s")
 def rest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).select("id")

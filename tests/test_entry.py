@@ -1,7 +1,13 @@
 """The contract of the entry module, with and without the corpus subpackage."""
 
 import importlib
+import os
+import shutil
+import subprocess
 import sys
+from pathlib import Path
+
+import pytest
 
 DATA = "/root/testdata/sf0.001"
 
@@ -13,14 +19,28 @@ def test_queries_have_sql_or_a_reason(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_imports_without_the_corpus_subpackage(monkeypatch):
-    import importlib.util
-
-    find = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("skeinlake.llm", "corpus_pipeline") else find(name, *a))
-    entry = importlib.import_module("__spark_entry__")
-    assert "G15" in entry.queries() and not any(q.startswith("op") or q == "pipeline" for q in entry.queries())
-    assert "skeinlake.plans.registry" in sys.modules
+def _names(folder) -> list[str]:
+    code = "import __spark_entry__ as e; print('NAMES', *e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=folder, env=os.environ | {"PYTHONPATH": str(folder)}, capture_output=True, text=True, timeout=120, check=True).stdout
+    return next(x.split()[1:] for x in said.splitlines() if x.startswith("NAMES"))
+
+
+@pytest.mark.parametrize("left", ["nothing", "caches", "pipeline", "broken"])
+def test_imports_without_the_corpus_subpackage(tmp_path, left):
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "skeinlake", tmp_path / "skeinlake", ignore=shutil.ignore_patterns("__pycache__", "llm"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(root / name, tmp_path / name)
+    if left != "pipeline":
+        (tmp_path / "corpus_pipeline.py").unlink()
+    if left == "caches":
+        (tmp_path / "skeinlake/llm/__pycache__").mkdir(parents=True)
+    if left == "broken":
+        (tmp_path / "skeinlake/llm").mkdir()
+        (tmp_path / "skeinlake/llm/__init__.py").write_text("import no_such_module")
+        (tmp_path / "corpus_pipeline.py").write_text("import skeinlake.llm")
+    names = _names(tmp_path)
+    assert "G15" in names and not any(q.startswith("op") or q == "pipeline" for q in names)
 
 
 def test_a_sample_of_queries_agrees_with_sql(spark):

@@ -81,11 +81,95 @@ def test_pairs_of_entities_take_all_documents(spark):
     want = Counter(pair for names in found.values() for pair in combinations(sorted(names), 2))
     got = {(r["a"], r["b"]): r["n"] for r in registry.QUERIES["D04"](spark, DATA).collect()}
     assert got == {pair: n for pair, n in want.items() if n >= 2}
-    # lists longer than a stretch give the same pairs
-    items = spark.createDataFrame([(g, i) for g in range(3) for i in range(0, 10 + 7 * g, g + 1)], "g long, i long")
-    pairs = lambda stretch: {(r["a"], r["b"]): r["n"] for r in telemetry.pair_counts(items, "g", "i", stretch).collect()}
+    items = spark.createDataFrame([(g, i) for g in range(3) for i in range(0, 10 + 7 * g, g + 1)] * 2, "g long, i long")
     want = Counter(p for g in range(3) for p in combinations(range(0, 10 + 7 * g, g + 1), 2))
-    assert pairs(4) == pairs(256) == want
+    assert {(r["a"], r["b"]): r["n"] for r in telemetry.pair_counts(items, "g", "i").collect()} == want
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_titles_are_compared_whole(spark):
+    title = {i: (t or "").split("\n")[0] for i, t in rows("documents", "doc_id", "text")}
+    got = {r["id"]: r["ratio"] for r in registry.QUERIES["I13"](spark, DATA).collect()}
+    assert got.keys() == {i for i in title if i + 1 in title}
+    some = [i for i in got if len(title[i]) + len(title[i + 1]) < 400][:60]
+    close({i: got[i] for i in some}, {i: 1 - distance(title[i], title[i + 1]) / max(len(title[i]), len(title[i + 1]), 1) if title[i] or title[i + 1] else 1.0 for i in some})
+
+
+def test_fuzzy_match_finds_every_pair_over_the_ratio(spark):
+    import random
+
+    from skeinlake.operators.joins import fuzzy_match
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    known = sorted({word(rng.randrange(1, 12)) for _ in range(60)})
+    names = sorted({word(rng.randrange(1, 12)) for _ in range(120)})
+    for least in (0.65, 0.75):
+        want = {}
+        for a in names:
+            found = [(-(1 - distance(a, b) / max(len(a), len(b))), b) for b in known if a != b]
+            best = min((r, b) for r, b in found)
+            if -best[0] >= least - 1e-12:
+                want[a] = (best[1], round(-best[0], 6))
+        df = lambda rows, c: spark.createDataFrame([(x,) for x in rows], f"{c} string")
+        got = {r["entity"]: (r["canonical"], r["ratio"]) for r in fuzzy_match(df(names, "entity"), df(known, "canonical"), least).collect()}
+        assert got == want
+
+
+def test_windowed_dedup_is_anchored_on_the_kept_row(spark):
+    from datetime import datetime, timedelta
+
+    from skeinlake.operators.curation import windowed_dedup
+
+    at = datetime(2024, 1, 1)
+    saves = [("a", k, at + timedelta(minutes=m), at if k == 2 else None) for k, m in enumerate((0, 20, 30, 31, 61, 62))] + [("b", 9, at, None)]
+    df = spark.createDataFrame(saves, "key string, id long, created_at timestamp, authored_at timestamp")
+    got = {(r["key"], r["id"]): (r["duplicate_count"], r["authored_at"]) for r in windowed_dedup(df, ["key"]).collect()}
+    assert got == {("a", 0): (3, at), ("a", 3): (2, None), ("a", 5): (1, None), ("b", 9): (1, None)}
+
+
+def test_places_are_those_of_a_whole_sort(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from skeinlake.operators.ranking import numbered, stretch
+
+    rng = random.Random(4)
+    data = [(k % 3, rng.randrange(40) / 10, k * 300000) for k in range(200)]
+    df = spark.createDataFrame(data, "g int, score double, id long")
+    got = {r["id"]: r["position"] for r in numbered(df, [F.ceil(-F.col("score")), F.lit(0)], [F.desc("score"), F.asc("id")], ["g"]).collect()}
+    want = {}
+    for g in range(3):
+        want |= {i: k for k, (_, i) in enumerate(sorted((-s, i) for x, s, i in data if x == g), 1)}
+    assert got == want
+    by_id = numbered(df.withColumn("score", F.lit(1.0)), [stretch("id")], [F.asc("id")])
+    assert {r["id"]: r["position"] for r in by_id.collect()} == {i: k for k, (_, _, i) in enumerate(data, 1)}
+
+
+def test_alike_sets_are_all_found(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from skeinlake.operators.curation import similar_sets
+
+    rng = random.Random(6)
+    sets = {k: sorted({f"w{int(12 * rng.random() ** 2)}" for _ in range(rng.randrange(1, 9))}) for k in range(80)}
+    df = spark.createDataFrame([(k, k % 2, w) for k, w in sets.items()], "id long, g int, words array<string>")
+    for least in (0.4, 0.5, 1.0):
+        want = {(a, b) for a in sets for b in sets if a < b and a % 2 == b % 2 and len({*sets[a]} & {*sets[b]}) >= least * len({*sets[a]} | {*sets[b]})}
+        assert {(r["a"], r["b"]) for r in similar_sets(df, "g", least).collect()} == want
+        asked = {(r["a"], r["b"]) for r in similar_sets(df, "g", least, asked=F.col("id") < 10).collect()}
+        assert asked == {(a, b) for x in want for a, b in (x, x[::-1]) if a < 10}
 
 
 def test_surprisal_passes_over_any_number_of_near_copies(spark, tmp_path):
