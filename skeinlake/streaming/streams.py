@@ -63,9 +63,32 @@ def sessions(events: DataFrame, gap: str = "10 minutes", late: str = "1 hour") -
     return out.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def distinct_saves(events: DataFrame, within: str = "30 minutes") -> DataFrame:
-    """The first of equal (user, type) rows in a window of event time."""
-    return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+def anchored_saves(events: DataFrame, seconds: int = 1800) -> DataFrame:
+    """(event_id, kept_id, n): of each save of a user and type the kept one it counts for, and how many that has by then.
+
+    A save counts for the kept one if it comes within ``seconds`` of it, else
+    it is kept itself, with n = 1.  The state of a key is its kept save, dropped
+    once the watermark has passed its window.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        anchor, kept, n = state.get if state.exists else (None, None, 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = []
+        for t, i in zip(rows.ts.astype("datetime64[us]").astype("int64").tolist(), rows.event_id.tolist(), strict=True):
+            if anchor is None or t - anchor > seconds * 1_000_000:
+                anchor, kept, n = t, i, 0
+            n += 1
+            out.append((i, kept, n))
+        state.update((anchor, kept, n))
+        state.setTimeoutTimestamp(max(anchor // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["event_id", "kept_id", "n"])
+
+    keyed = events.withWatermark("ts", f"{seconds} seconds").select("event_id", "ts", "user_id", "event_type")
+    return keyed.groupBy("user_id", "event_type").applyInPandasWithState(step, "event_id long, kept_id long, n long", "anchor long, kept long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -236,3 +236,20 @@ def test_files(spark, tmp_path):
     assert [files.formatted(rows, k).first()["line"] for k in ("csv", "files", "xml")] == ['"a,""b""",<x>', 'a,"b"', "<result><path>a,\"b\"</path><note>&lt;x&gt;</note></result>"]
     (tmp_path / "issues.jsonl").write_text(json.dumps({"id": "1", "title": "t", "dependencies": [{"depends_on_id": "2", "type": "blocks"}, {"depends_on_id": "1", "type": "related"}]}))
     assert [tuple(r) for r in files.issues(spark, str(tmp_path / "issues.jsonl"))[1].collect()] == [("2", "1", "causal")]
+
+
+def test_configuration(spark, tmp_path):
+    from skeinlake.sources import config
+
+    raw = {"collections": {"notes": {"path": "/n", "context": {"/": "all notes", "work/": "at work"}}, "a/b": {"path": "/x", "pattern": "*.txt"}, "odd": 3}, "global_context": "mine", "lifecycle": {"archive_after_days": "x", "purge_after_days": 30, "exempt_collections": ["notes"], "dry_run": False}}
+    (tmp_path / "c.json").write_text(json.dumps(raw))
+    c = config.load(str(tmp_path / "c.json"))
+    assert c.invalid_names() == ["a/b"] and c.lifecycle == config.Lifecycle(90, {}, 30, ("notes",), False)
+    assert [tuple(r) for r in c.collections_table(spark).collect()] == [("notes", "/n", "**/*.md"), ("a/b", "/x", "*.txt")]
+    assert [tuple(r) for r in c.contexts_table(spark).collect()] == [("notes", "", "all notes"), ("notes", "work", "at work"), (None, "", "mine")]
+    assert config.load(str(tmp_path / "none.json")) == config.Config()
+    (tmp_path / "bad.json").write_text("{")
+    with pytest.raises(ValueError):
+        config.load(str(tmp_path / "bad.json"))
+    env = {"A": "0.7", "B": "7", "C": "x", "D": "nan"}
+    assert [config.setting(n, 0.5, 0, 1, env) for n in "ABCDE"] == [0.7, 0.5, 0.5, 0.5, 0.5]

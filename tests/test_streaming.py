@@ -54,3 +54,15 @@ def test_suppression(spark, folder, tmp_path):
     batch = telemetry.suppressed(whole.withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type")), "key", "ts", 1500)
     assert sorted(got.collect()) == sorted(batch.select("event_id", "suppressed").collect())
     assert 0 < got.where("suppressed").count() < 600
+
+
+def test_saves_are_anchored_on_the_kept_one(spark, folder, tmp_path):
+    from skeinlake.operators.curation import windowed_dedup
+
+    whole = spark.read.schema(SCHEMA).parquet(folder)
+    one = str(tmp_path / "one")
+    whole.coalesce(1).write.parquet(one)
+    got = streams.run_once(streams.anchored_saves(streams.file_stream(spark, one, SCHEMA), 1500), "anchored", str(tmp_path / "c"))
+    counts = {r["kept_id"]: r["n"] for r in got.groupBy("kept_id").agg(F.max("n").alias("n")).collect()}
+    batch = windowed_dedup(whole.select(F.col("event_id").alias("id"), "user_id", "event_type", F.col("ts").alias("created_at")), ["user_id", "event_type"], seconds=1500)
+    assert counts == {r["id"]: r["duplicate_count"] for r in batch.collect()} and max(counts.values()) > 1
