@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._text import U64, Words, chunks, flat, mix, shingles
@@ -99,6 +99,13 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, fingerprint string")
 
 
+def _spread(spark: SparkSession, parts: int) -> list[int]:
+    """A number for each of ``parts`` tasks that hash partitioning sends there."""
+    tasks = spark.range(parts * 32).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("task"))
+    found = {r["task"]: r["id"] for r in tasks.groupBy("task").agg(F.min("id").alias("id")).collect()}
+    return [found.get(k, k) for k in range(parts)]
+
+
 def splice_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = 256, bits: int = 4, width: int = 5, parts: int | None = None) -> DataFrame:
     """Fingerprints of each text and of an edited one, and how alike they are.
 
@@ -130,7 +137,9 @@ def splice_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = F.broadcast(spark.createDataFrame(first_of, f"block int, before int, doc_id {kind}"))
     extra = dealt.join(wanted.withColumnRenamed("block", "own").withColumnRenamed("doc_id", "head"), (F.col("block") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head")))
     extra = extra.groupBy("before", "doc_id").agg(F.max("text").alias("text")).select("doc_id", "text", F.col("before").alias("block"), F.lit(1).alias("extra"))
-    together = dealt.withColumn("extra", F.lit(0)).unionByName(extra).repartition(max(1, parts), "block")
+    # a number for each range whose hash is that of a task of its own: ranges hold about as many documents each
+    number = F.element_at(F.array(*[F.lit(x).cast("long") for x in _spread(spark, parts)]), F.col("block") % parts + 1).alias("task")
+    together = dealt.withColumn("extra", F.lit(0)).unionByName(extra).select("*", number).repartition(max(1, parts), "task")
     together = together.sortWithinPartitions("block", "extra", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
 
     def edit(texts: list[str], after: list[str]) -> list[str]:
