@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows in an Arrow batch: they are whole documents, and both ends hold a batch at a time.
+BATCH_ROWS = 1000
+
+
+def by_documents(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to hand Python at most BATCH_ROWS rows at a time."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,7 +33,9 @@ def saved(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+    out = df.checkpoint()
+    spark._jvm.System.gc()  # what was shuffled for it is unreferenced now, and is dropped once the driver sees that
+    return out
 
 
 def release(*tables: DataFrame, shuffles: bool = True) -> None:

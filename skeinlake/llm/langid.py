@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import by_documents
 from ._text import chunks, flat
 
 ORDER = 4
@@ -213,7 +214,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     any labelled text the model has no language: it predicts none, and all
     texts stay.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = by_documents(labelled).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
         return Model([], np.zeros(0, np.uint16))
@@ -278,7 +279,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                 score[none] = 0
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(best), pa.array(least), pa.array(score), pa.array(n), pa.array(letters), pa.array(rejected | none)], [key, "best", "entropy", "score", "n", "letters", "rejected"])
 
-    return docs.mapInArrow(run, f"{key} {kind}, best long, entropy double, score double, n long, letters long, rejected boolean")
+    return by_documents(docs).mapInArrow(run, f"{key} {kind}, best long, entropy double, score double, n long, letters long, rejected boolean")
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,4 +315,4 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
                 kept = (letters > 0) & ~m.rejects(entropy.min(axis=1), entropy.argmin(axis=1), n)
                 yield batch.slice(i, j - i).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, schema)
+    return by_documents(docs).mapInArrow(run, schema)

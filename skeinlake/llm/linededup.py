@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._spark import saved
+from ._spark import by_documents, saved
 from ._text import Words, chunks, flat, span_hashes
 
 
@@ -159,6 +159,7 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
 
     Rows are held as structs, so that no column of theirs can clash with others.
     """
+    docs = by_documents(docs)
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     keyed = docs.select(key.alias("d"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = later_copies(keyed.where("text is not null").dropDuplicates(["d"]) if _repeats_ids(docs, id_col) else keyed.where("text is not null"), min_words)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._spark import saved
+from ._spark import by_documents, saved
 
 #: Different words, and parts of words, that a worker remembers: about 200 bytes each.
 REMEMBERED, REMEMBERED_PARTS = 1 << 20, 3 << 18
@@ -315,7 +315,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     table; offsets between partitions come from counts by (length, partition),
     so a length that a third of all pieces have needs no task of its own.
     """
-    cut = saved(pieces(docs, path, id_col, text_col, size, end_id, keep_ids))
+    cut = saved(pieces(by_documents(docs), path, id_col, text_col, size, end_id, keep_ids))
     counted = saved(cut.groupBy(F.spark_partition_id().alias("part"), "length").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     plan = docs.sparkSession.sparkContext.broadcast(best_plan(histogram, size).table())
