@@ -160,5 +160,5 @@ def folded_sql(text: str) -> str:
 
 
 def reach(term: str) -> str:
-    """A beginning that every word has whose stem begins with ``term``: stemming adds three letters at most, after the second or an i."""
-    return term[: max(1 if term[1:2] == "i" else 2, len(term) - 3)]
+    """A beginning that every word has whose stem begins with ``term``: stemming adds three letters at most, after the second, and makes a last y an i."""
+    return term[: max(1 if term[1:] == "i" else 2, len(term) - 3)]

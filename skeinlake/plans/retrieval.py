@@ -82,7 +82,7 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword(spark, sf_dir).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
 
 
-@query("G04", _BM25 + " select query_id, id, round(score, 6) as score from scored")
+@query("G04", _BM25 + " select query_id, id, round(round(score, 9), 6) as score from scored")
 def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword(spark, sf_dir).select("query_id", "id", F.round("score", 6).alias("score"))
 
@@ -96,7 +96,7 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.top_k(keyword(spark, sf_dir).join(live, "id", "left_semi"), 20).select("query_id", "id", F.round("score", 6).alias("score"), "place")
 
 
-@query("F01", _BM25 + " select id, round(score, 6) as score from scored where query_id = 1 order by round(score, 9) desc, id limit 10")
+@query("F01", _BM25 + " select id, round(round(score, 9), 6) as score from scored where query_id = 1 order by round(score, 9) desc, id limit 10")
 def top_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword(spark, sf_dir, 1).orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 6).alias("score"))
 
