@@ -145,9 +145,9 @@ def stems(words: str) -> Column:
     return F.expr(f"transform({words}, w -> {stem_sql('w', _Spark)})")
 
 
-def weighted_stems(words: str) -> Column:
-    """The same for a column of arrays of structs (w, x): structs (s, x)."""
-    return F.expr(f"transform({words}, w -> named_struct('s', {stem_sql('w.w', _Spark)}, 'x', w.x))")
+def paired_stems(words: str) -> Column:
+    """The same with the words: an array of structs (w, s)."""
+    return F.expr(f"transform({words}, w -> named_struct('w', w, 's', {stem_sql('w', _Spark)}))")
 
 
 def folded(text: Column) -> Column:

@@ -22,10 +22,6 @@ def index_fields(docs: DataFrame) -> DataFrame:
     return docs.select("id", *[stem.folded(F.coalesce(c, F.lit(""))).alias(f) for f, c in (("path", path), ("title", F.col("title")), ("body", F.col("body")))])
 
 
-def _weighted(words: Column, weight: float) -> Column:
-    return F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(weight).alias("x")))
-
-
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score, bm25) of documents that hold all terms of a query, in whatever fields.
 
@@ -49,9 +45,15 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     near = lambda w: reduce(lambda x, y: x | y, [w.startswith(x) for x in beginnings])
     fields = list(FIELD_WEIGHTS)
     size = sum((F.size(f) for f in fields), F.lit(0)).alias("len")
-    words = F.concat(*[_weighted(F.filter(f, near), x) for f, x in FIELD_WEIGHTS.items()])
-    found = index_fields(docs).select("id", size, words.alias("near")).select("id", "len", stem.weighted_stems("near").alias("near"))
-    count = lambda t: F.aggregate(F.filter("near", lambda p: p["s"].startswith(t)), F.lit(0.0), lambda a, p: a + p["x"])
+    # each different word that may match is stemmed once a row
+    cut = index_fields(docs).select("id", size, *fields, F.array_distinct(F.filter(F.concat(*fields), near)).alias("near"))
+    found = cut.select("id", "len", *fields, stem.paired_stems("near").alias("near"))
+
+    def count(t: str) -> Column:
+        own = F.transform(F.filter("near", lambda p: p["s"].startswith(t)), lambda p: p["w"])
+        places = lambda m: sum((x * F.size(F.filter(f, lambda w: F.array_contains(m, w))) for f, x in FIELD_WEIGHTS.items()), F.lit(0.0))
+        return F.transform(F.array(own), lambda m: F.when(F.size(m) > 0, places(m)).otherwise(0.0))[0]
+
     rows = found.select("id", "len", F.array(*[count(t) for t in terms]).alias("freq"))
     sums = [F.count_if(F.col("freq")[k] > 0) for k in range(len(terms))]
     totals = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"), F.array(*sums).alias("df"))
