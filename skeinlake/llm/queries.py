@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, linededup, packing, quality, secrets, toxicity, urls
+from . import bpe, dual_tree, fingerprint, langid, linededup, packing, quality, secrets, toxicity, urls
 from ._spark import table
 from .ngram_join import ngram_jaccard_join
 
@@ -98,6 +98,38 @@ from fit f left join voted v on f.name = v.name where f.n = 1
 """
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed="1")
+
+
+def _op11_sql(rounds: int = 3) -> str:
+    """Lloyd's rounds over all pairs of vectors and centroids."""
+    near = """near{r} as (
+  select n, min(d * 16 + cluster) % 16 as cluster, min(d) as distance
+  from (select k.n, c.cluster, cast(list_sum(list_transform(list_zip(k.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) as d from kept k, c{r} c)
+  group by n)"""
+    moved = """part{r} as (
+  select a.cluster, u.d, cast(sum(k.x[u.d]) as bigint) as s, count(*) as m
+  from near{r} a join kept k using (n), (select unnest(range(1, 65)) as d) u group by all),
+mean{r} as (select cluster, list((s - ((s % m) + m) % m) // m order by d) as x from part{r} group by cluster),
+c{t} as (select c.cluster, coalesce(m.x, c.x) as x from c{r} c left join mean{r} m using (cluster))"""
+    steps = [
+        """kept as (
+  select vec_id, row_number() over () as n, list_transform(embedding, lambda c: cast(floor(64 * cast(c as double)) as bigint)) as x
+  from embeddings where len(embedding) = 64 and list_bool_and(list_transform(embedding, lambda c: coalesce(isfinite(c), false))))""",
+        """c0 as (
+  select row_number() over (order by sha256('1:' || vec_id), x) - 1 as cluster, x from kept
+  where vec_id is not null qualify cluster < 16)""",
+    ]
+    for r in range(rounds):
+        steps += [near.format(r=r), moved.format(r=r, t=r + 1)]
+    return f"""with {", ".join([*steps, near.format(r=rounds)])}
+select k.vec_id, cast(a.cluster as integer) as cluster, a.distance,
+       cast(sum(a.distance) over (partition by a.cluster) as bigint) as cluster_inertia, cast(sum(a.distance) over () as bigint) as inertia,
+       sha256(array_to_string(c.x, ',')) as centroid_sha256
+from near{rounds} a join kept k using (n) join c{rounds} c using (cluster)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_byte_bpe": op3_byte_bpe,
@@ -109,5 +141,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_language_id": op10_language_id,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
-ORACLE: dict[str, str] = {"op2_url_filter": OP2_SQL}
+ORACLE: dict[str, str] = {"op2_url_filter": OP2_SQL, "op11_centroid_clustering": _op11_sql()}
