@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,18 +23,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` as written to the cluster's shared checkpoint folder, without lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder for checkpoints, which all machines share: ``spark.checkpoint.dir``.
 
-    The folder is the one in ``spark.checkpoint.dir``.  Where the session names
-    none, a folder beside the warehouse is used, which a cluster shares too; a
-    machine's own temporary folder never is.
+    Where the session names none, as in tests, it is a folder in the warehouse;
+    a session on a cluster has to name one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder; it isn't made yet."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, without lineage."""
+    folder = new_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` as written to the shared folder, without lineage."""
+    spark = df.sparkSession
+    shared_folder(spark)
     out = df.checkpoint()
     spark._jvm.System.gc()  # what was shuffled for it is unreferenced now, and is dropped once the driver sees that
     return out

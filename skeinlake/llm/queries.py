@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dual_tree, fingerprint, langid, linededup, packing, quality, secrets, toxicity, urls
+from . import bpe, dual_tree, extract, fingerprint, langid, linededup, packing, quality, secrets, toxicity, urls
 from ._spark import table
 from .ngram_join import ngram_jaccard_join
 
@@ -130,6 +130,29 @@ select k.vec_id, cast(a.cluster as integer) as cluster, a.distance,
 from near{rounds} a join kept k using (n) join c{rounds} c using (cluster)"""
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+# The supplied pages have one article each, whose blocks are headings and
+# paragraphs; other pages are tested on small tables.
+OP13_SQL = r"""
+with a as (
+  select page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '<br>', ' ', 'g'), '</?(p|h1)>', chr(1), 'g') as body
+  from pages),
+b as (select page_id, url, regexp_replace(body, '<[^>]*>', '', 'g') as body from a),
+d as (
+  select page_id, url,
+         replace(replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&') as body
+  from b),
+t as (
+  select page_id, url,
+         list_filter(list_transform(string_split(body, chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as blocks
+  from d)
+select page_id, url, coalesce(array_to_string(blocks, chr(10)), '') as text, coalesce(length(array_to_string(blocks, chr(10))), 0) as n_chars from t
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_byte_bpe": op3_byte_bpe,
@@ -142,5 +165,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_language_id": op10_language_id,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_html_extraction": op13_html_extraction,
 }
-ORACLE: dict[str, str] = {"op2_url_filter": OP2_SQL, "op11_centroid_clustering": _op11_sql()}
+ORACLE: dict[str, str] = {"op2_url_filter": OP2_SQL, "op11_centroid_clustering": _op11_sql(), "op13_html_extraction": OP13_SQL}
