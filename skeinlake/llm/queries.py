@@ -143,7 +143,7 @@ with a as (
 b as (select page_id, url, regexp_replace(body, '<[^>]*>', '', 'g') as body from a),
 d as (
   select page_id, url,
-         replace(replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&') as body
+         regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#(x27|39);', chr(39), 'g'), '&amp;?', '&', 'g') as body
   from b),
 t as (
   select page_id, url,
