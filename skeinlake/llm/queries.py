@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dual_tree, extract, fingerprint, langid, linededup, packing, quality, secrets, toxicity, urls
+from . import bpe, dual_tree, extract, fingerprint, langid, linededup, packing, quality, secrets, toxicity, turns, urls
 from ._spark import table
 from .ngram_join import ngram_jaccard_join
 
@@ -130,6 +130,19 @@ select k.vec_id, cast(a.cluster as integer) as cluster, a.distance,
 from near{rounds} a join kept k using (n) join c{rounds} c using (cluster)"""
 
 
+def op12_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches by the hash of ``conv_id:turn``; two of seven rows come a second time, as the user's, three batches on."""
+    rows = table(spark, sf_dir, "conversations").where("turn is not null").select("conv_id", "turn", "role", "text")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit(":"), F.col("turn").cast("string"))
+    h = F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("bigint")
+    copy = lambda batch, role: F.struct((batch % 8).cast("int").alias("batch"), role.alias("role"))
+    copies = F.when(h % 7 < 2, F.array(copy(h, F.col("role")), copy(h + 3, F.lit("user")))).otherwise(F.array(copy(h, F.col("role"))))
+    arrivals = rows.withColumn("copy", F.explode(copies)).select("conv_id", "turn", "copy.role", "text", "copy.batch")
+    events = turns.reassemble(arrivals, batches=8, patience=3)
+    said = F.when(F.col("event") == "close", F.col("pending")).otherwise(F.concat("role", F.lit("|"), "text"))
+    return events.select("event", F.sha2(said, 256).alias("sha256"), "conv_id", "turn", "batch", "n_missing", "n_breaks")
+
+
 def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -165,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_language_id": op10_language_id,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_turn_reassembly": op12_turn_reassembly,
     "op13_html_extraction": op13_html_extraction,
 }
 ORACLE: dict[str, str] = {"op2_url_filter": OP2_SQL, "op11_centroid_clustering": _op11_sql(), "op13_html_extraction": OP13_SQL}
