@@ -81,7 +81,7 @@ class Bucket:
         fresh = rows.iloc[new - known]
         given = {"last": -1, "touched": -1, "closed": False}
         for name, kind in _SLOTS.items():
-            more = fresh[name].eq(True) if name == "tail" else given[name] if name in given else fresh[name]
+            more = given[name] if name in given else fresh[name]
             s[name] = np.concatenate([s[name], np.broadcast_to(np.asarray(more).astype(kind), len(new))])
         return slot[at[back]][known:]
 
@@ -249,9 +249,13 @@ def reassemble(arrivals: DataFrame, batches: int = 8, patience: int = 3, segment
     once = rows.groupBy("step", *key, "turn").agg(least).select("step", *key, "turn", F.col("least.role").alias("role"), F.expr("substring(least.payload, length(least.role) + 2)").alias("text"))
     part = F.when(F.col("wide"), F.expr(f"(cast(turn as decimal(20,0)) - first) div {segment}")).otherwise(F.lit(0).cast("bigint"))
     dealt = once.join(spans.drop("n"), key).withColumn("seg", part).withColumn("bucket", _bucket(buckets, *key, "seg"))
-    feed = [c.split()[0] for c in FEED.split(", ")]
-    shaped = lambda df, kind: spark.createDataFrame([], FEED).unionByName(df.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
-    shaped(dealt, "turn").select(*feed, "step").write.option("compression", "zstd").partitionBy("step").parquet(f"{folder}/arrivals")
+
+    def shaped(df: DataFrame, kind: str) -> DataFrame:
+        """Rows of the feed; whole numbers aren't null there, as pandas would make fractions of them."""
+        rest = {c: F.lit("" if t == "string" else 0).cast(t).alias(c) for c, t in (x.split() for x in FEED.split(", "))}
+        return df.select(*[F.lit(kind).alias(c) if c == "kind" else c if c in df.columns else v for c, v in rest.items()], *[c for c in df.columns if c == "step"])
+
+    shaped(dealt, "turn").write.option("compression", "zstd").partitionBy("step").parquet(f"{folder}/arrivals")
     more = None
     if wide:
         spark.read.schema(FEED).parquet(f"{folder}/arrivals").where("wide").select(*key, "seg", "wide", "first", "bucket").distinct().write.parquet(f"{folder}/segments")
@@ -262,7 +266,7 @@ def reassemble(arrivals: DataFrame, batches: int = 8, patience: int = 3, segment
     for step in range(batches + 1):
         place = f"{folder}/feed/step={step}"
         files.move(f"{folder}/arrivals/step={step}", place)
-        (ticks if more is None else ticks.unionByName(more)).select(*feed).write.mode("append").parquet(place)
+        (ticks if more is None else ticks.unionByName(more)).write.mode("append").parquet(place)
         stream = by_documents(spark.readStream.schema(f"{FEED}, step int").parquet(f"{folder}/feed"))
         events = stream.groupBy("bucket").applyInPandasWithState(_advance(batches, patience, segment), EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
         query = events.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").partitionBy("step", "event").outputMode("append").trigger(availableNow=True).start(f"{folder}/events")
