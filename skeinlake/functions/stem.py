@@ -6,8 +6,11 @@ word leaves the engine to be stemmed.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache, partial
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ STEPS: dict[str, tuple[tuple[str, str, str], ...]] = {
     "3": tuple((a, b, SOME) for a, b in (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))),
     "4": tuple((a, "", MANY) for a in ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")) + (("ion", "", MANY_ST),),
 }
+#: The same, the longest suffixes first.
+LONGEST = {step: tuple(sorted(rules, key=lambda r: -len(r[0]))) for step, rules in STEPS.items()}
 #: The lengths of words that are stemmed.
 LEAST, MOST = 3, 64
 #: Letters with one mark, and the letters without it.
@@ -44,7 +49,7 @@ BARE = "".join(unicodedata.normalize("NFD", c)[0] for c in MARKED)
 
 
 class _Sql:
-    """Expressions as SQL text; a name bound by ``let`` stands for its value."""
+    """Expressions as SQL text; a name bound by ``let`` stands for its value, and what a case gives is made when asked for."""
 
     depth = 0
 
@@ -57,7 +62,7 @@ class _Sql:
 
     @staticmethod
     def case(cases, otherwise):
-        return "case " + " ".join(f"when {when} then {then}" for when, then in cases) + f" else {otherwise} end"
+        return "case " + " ".join(f"when {when} then {then()}" for when, then in cases) + f" else {otherwise} end"
 
     @classmethod
     def let(cls, x, f):
@@ -79,25 +84,38 @@ class _Spark(_Sql):
         return f"transform(array({x}), {name} -> {f(name)})[0]"
 
 
+class _Plain:
+    """The same on values."""
+
+    ends = staticmethod(str.endswith)
+    cut = staticmethod(lambda x, n: x[: max(len(x) - n, 0)])
+    like = staticmethod(lambda x, p: re.search(p, x) is not None)
+    join = staticmethod(lambda x, s: x + s)
+    both = staticmethod(lambda a, b: a and b)
+    either = staticmethod(lambda a, b: a or b)
+    case = staticmethod(lambda cases, otherwise: next((then() for when, then in cases if when), otherwise))
+    let = staticmethod(lambda x, f: f(x))
+
+
 def _suffixes(e, x, rules):
-    cases = []
-    for suffix, new, holds in sorted(rules, key=lambda r: -len(r[0])):
+    def replaced(suffix, new, holds):
         left = e.cut(x, len(suffix))
-        cases.append((e.ends(x, suffix), e.case([(e.like(left, holds), e.join(left, new))], x) if holds else x))
-    return e.case(cases, x)
+        return e.case([(e.like(left, holds), lambda: e.join(left, new))], x) if holds else x
+
+    return e.case(((e.ends(x, r[0]), partial(replaced, *r)) for r in rules), x)
 
 
 def _past(e, x):
     """Step 1b: eed, ed and ing."""
 
     def mended(s):
-        lost = e.case([(e.either(e.either(e.ends(s, "at"), e.ends(s, "bl")), e.ends(s, "iz")), e.join(s, "e")), (e.like(s, _TWICE), e.cut(s, 1)), (e.like(s, SHORT), e.join(s, "e"))], s)
+        lost = e.case([(e.either(e.either(e.ends(s, "at"), e.ends(s, "bl")), e.ends(s, "iz")), lambda: e.join(s, "e")), (e.like(s, _TWICE), lambda: e.cut(s, 1)), (e.like(s, SHORT), lambda: e.join(s, "e"))], s)
         return lost
 
     def without(n):
-        return e.case([(e.like(e.cut(x, n), VOWEL), e.let(e.cut(x, n), mended))], x)
+        return e.case([(e.like(e.cut(x, n), VOWEL), lambda: e.let(e.cut(x, n), mended))], x)
 
-    return e.case([(e.ends(x, "eed"), e.case([(e.like(e.cut(x, 3), SOME), e.cut(x, 1))], x)), (e.ends(x, "ed"), without(2)), (e.ends(x, "ing"), without(3))], x)
+    return e.case([(e.ends(x, "eed"), lambda: e.case([(e.like(e.cut(x, 3), SOME), lambda: e.cut(x, 1))], x)), (e.ends(x, "ed"), lambda: without(2)), (e.ends(x, "ing"), lambda: without(3))], x)
 
 
 #: A double consonant but l, s and z.
@@ -105,27 +123,27 @@ _TWICE = "(?:" + "|".join(c + c for c in "bcdfghjkmnpqrtvwxy") + ")$"
 
 
 def _y(e, x):
-    return e.case([(e.both(e.ends(x, "y"), e.like(e.cut(x, 1), VOWEL)), e.join(e.cut(x, 1), "i"))], x)
+    return e.case([(e.both(e.ends(x, "y"), e.like(e.cut(x, 1), VOWEL)), lambda: e.join(e.cut(x, 1), "i"))], x)
 
 
 def _e(e, x):
     left = e.cut(x, 1)
-    kept = e.case([(e.like(left, MANY), left), (e.like(left, SHORT), x), (e.like(left, ONE), left)], x)
+    kept = lambda: e.case([(e.like(left, MANY), lambda: left), (e.like(left, SHORT), lambda: x), (e.like(left, ONE), lambda: left)], x)
     return e.case([(e.ends(x, "e"), kept)], x)
 
 
 def _ll(e, x):
-    return e.case([(e.both(e.ends(x, "ll"), e.like(e.cut(x, 1), MANY)), e.cut(x, 1))], x)
+    return e.case([(e.both(e.ends(x, "ll"), e.like(e.cut(x, 1), MANY)), lambda: e.cut(x, 1))], x)
 
 
 def _stemmed(e, word):
     steps = [
-        lambda x: _suffixes(e, x, STEPS["1a"]),
+        lambda x: _suffixes(e, x, LONGEST["1a"]),
         lambda x: _past(e, x),
         lambda x: _y(e, x),
-        lambda x: _suffixes(e, x, STEPS["2"]),
-        lambda x: _suffixes(e, x, STEPS["3"]),
-        lambda x: _suffixes(e, x, STEPS["4"]),
+        lambda x: _suffixes(e, x, LONGEST["2"]),
+        lambda x: _suffixes(e, x, LONGEST["3"]),
+        lambda x: _suffixes(e, x, LONGEST["4"]),
         lambda x: _e(e, x),
         lambda x: _ll(e, x),
     ]
@@ -140,6 +158,21 @@ def stem_sql(word: str, e: type[_Sql] = _Sql) -> str:
     return f"case when length({word}) between {LEAST} and {MOST} then {_stemmed(e, word)} else {word} end"
 
 
+@lru_cache(maxsize=1 << 17)
+def plain(word: str) -> str:
+    """The stem of one folded word."""
+    return _stemmed(_Plain, word) if LEAST <= len(word) <= MOST else word
+
+
+def _stem_series(words: pd.Series) -> pd.Series:
+    return words.map(plain)
+
+
+def each_stem(word: Column) -> Column:
+    """The stems of a column of folded words, in Arrow batches; a worker stems a word once for many rows."""
+    return F.pandas_udf(_stem_series, "string")(word)
+
+
 def stems(words: str) -> Column:
     """The stems of a column of arrays of folded words."""
     return F.expr(f"transform({words}, w -> {stem_sql('w', _Spark)})")

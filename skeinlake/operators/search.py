@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, models, ranking, retrieval
+from .index import KeywordIndex
 
 
 def by_value(short: DataFrame) -> DataFrame:
@@ -57,7 +58,10 @@ def blended(candidates: DataFrame, docs: DataFrame, query: str, score: models.Sc
 
 @dataclass
 class Corpus:
-    """What the plans read: documents, their vectors, mentions with idf, edges, partners, sessions; now is the clock."""
+    """What the plans read: documents, their vectors, mentions with idf, edges, partners, sessions; now is the clock.
+
+    ``index`` is the keyword index of the documents; without one their texts are read.
+    """
 
     docs: DataFrame
     vectors: DataFrame
@@ -66,10 +70,16 @@ class Corpus:
     edges: DataFrame
     sessions: DataFrame
     now: Column
+    index: KeywordIndex | None = None
+
+    def worded(self, asked: DataFrame) -> DataFrame:
+        """(query_id, id, score) of prompts (query_id, term)."""
+        found = retrieval.bm25(self.docs, asked) if self.index is None else self.index.search(asked)
+        return found.select("query_id", "id", "score")
 
     def keyword(self, query: str, most: int = 20) -> DataFrame:
         asked = self.docs.sparkSession.createDataFrame([(1, query)], "query_id int, term string")
-        return by_value(retrieval.bm25(self.docs, asked).select("id", "score").orderBy(F.desc(F.round("score", 9)), "id").limit(most))
+        return by_value(self.worded(asked).select("id", "score").orderBy(F.desc(F.round("score", 9)), "id").limit(most))
 
     def nearest(self, vector: Sequence[float], most: int = 20) -> DataFrame:
         probe = self.docs.sparkSession.createDataFrame([(1, [float(x) for x in vector])], "query_id int, vector array<double>")
@@ -171,7 +181,7 @@ def surfaced(corpus: Corpus, prompts: DataFrame, vectors: DataFrame, partners: D
     live = corpus.docs.where((F.col("snoozed_until").isNull() | (F.col("snoozed_until") <= corpus.now)) & ~gates.is_noise(F.coalesce("body", F.lit(""))) & ~F.col("path").startswith("_PRIVATE/"))
     probes = vectors.join(asked.select("prompt_id"), "prompt_id", "left_semi").select(F.col("prompt_id").alias("query_id"), "vector")
     near = retrieval.vector_search(corpus.vectors.join(live.select("id"), "id", "left_semi"), probes, most).select("query_id", "id", "score")
-    worded = retrieval.bm25(live, asked.select(F.col("prompt_id").alias("query_id"), F.col("prompt").alias("term"))).select("query_id", "id", "score")
+    worded = corpus.worded(asked.select(F.col("prompt_id").alias("query_id"), F.col("prompt").alias("term"))).join(live.select("id"), "id", "left_semi").select("query_id", "id", "score")
     both = near.unionByName(retrieval.top_k(worded, most).select("query_id", "id", "score")).groupBy("query_id", "id").agg(F.max("score").alias("search"))
     by = ["query_id"]
     ranked = ranking.composite_rank(both.join(live, "id"), corpus.now, by=by, bounded=True).select("query_id", "id", "score", "title", "path", "body", "content_type")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, stem
+from ..operators import index
 from ..operators import ranking as rank
 from ..operators import retrieval as ops
 from ..operators import telemetry
+from ..sources import ledger
 from ..sources.vault import DOCS, NOW, documents, read
 from .ranking import PROMPTS, prompts
 from .registry import query
@@ -47,10 +51,25 @@ def _terms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_QUERIES, "query_id long, term string")
 
 
+def keyword_index(spark: SparkSession, sf_dir: str) -> index.KeywordIndex:
+    """The stored index of a folder's active documents, built by the session's first search and brought up to date when the table's files have changed.
+
+    It is kept in the folder ``spark.skeinlake.index.dir``, which sessions can
+    share; where none is named, in the session's shared folder.
+    """
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    root = spark.conf.get("spark.skeinlake.index.dir", None) or f"{ledger.shared_folder(spark)}/keyword"
+    found = index.KeywordIndex(spark, f"{root.rstrip('/')}/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
+    files = ledger.fingerprint(spark, raw.inputFiles())
+    if found.entry.get("files") != files:
+        found.update(documents(spark, sf_dir).where("active"), files=files)
+    return found
+
+
 def keyword(spark: SparkSession, sf_dir: str, which: int | None = None) -> DataFrame:
-    """Hits of the registered queries, or of one, among active documents; scores to nine places."""
+    """Hits of the registered queries, or of one, among active documents, from the stored index; scores to nine places."""
     asked = _terms(spark) if which is None else _terms(spark).where(F.col("query_id") == which)
-    return ops.bm25(documents(spark, sf_dir).where("active"), asked).withColumn("score", F.round("score", 9))
+    return keyword_index(spark, sf_dir).search(asked).withColumn("score", F.round("score", 9))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

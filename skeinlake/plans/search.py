@@ -28,7 +28,7 @@ def _score(q: str, texts: list[str]) -> list[float]:
 def corpus(spark: SparkSession, sf_dir: str) -> plans.Corpus:
     c = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("turns"))
     sessions = c.withColumn("started", F.expr("timestamp'2023-06-01 00:00:00' + make_interval(0, 0, 0, cast(id * 3 % 240 as int))"))
-    return plans.Corpus(documents(spark, sf_dir).where("active"), r._vectors(spark, sf_dir), mentions(spark, sf_dir), _idf(spark, sf_dir).select("entity", "idf"), _edges(spark, sf_dir), sessions, _now())
+    return plans.Corpus(documents(spark, sf_dir).where("active"), r._vectors(spark, sf_dir), mentions(spark, sf_dir), _idf(spark, sf_dir).select("entity", "idf"), _edges(spark, sf_dir), sessions, _now(), r.keyword_index(spark, sf_dir))
 
 
 def vector(spark: SparkSession, sf_dir: str, id_: int) -> list[float]:

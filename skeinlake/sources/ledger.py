@@ -8,6 +8,7 @@ looks first and renames then; HDFS does both at once.)
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from typing import Any
@@ -29,6 +30,20 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def fingerprint(spark: SparkSession, files: list[str]) -> str:
+    """What changes when files come, go or are written anew: a hash of their names, lengths and times."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    seen = []
+    for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
+        at = path(folder)
+        names = {path(f).getName() for f in files if f.rsplit("/", 1)[0] == folder}
+        for s in at.getFileSystem(conf).listStatus(at):
+            if s.getPath().getName() in names:
+                seen.append(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
 class Ledger:
     """The entries of one folder; versions count from 0."""
 
