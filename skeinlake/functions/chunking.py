@@ -82,9 +82,9 @@ def _sections(lines: list[str]) -> Iterator[tuple[str, str | None, str, int]]:
 def _lists(lines: list[str]) -> Iterator[tuple[str, str | None, str, int]]:
     run: list[int] = []
     for k, line in enumerate([*lines, ""]):
-        if re.match(r"\s*(?:[-*+]|\d+\.)\s+\S", line):
+        if re.match(r"\s*(?:[-*+]|\d+\.)\s", line) or run and re.match(r"\s{2,}\S", line):
             run.append(k)
-        elif not (run and line.startswith("  ") and line.strip()):
+        else:
             if len(run) >= 2 and (content := _cut(lines[run[0] : k])):
                 yield "list", None, content, run[0] + 1
             run = []
@@ -97,7 +97,7 @@ def _code(lines: list[str]) -> Iterator[tuple[str, str | None, str, int]]:
             if start is None:
                 start, label = k, m[1] or None
             else:
-                if content := _cut(lines[start + 1 : k]):
+                if content := _cut(lines[start : k + 1]):
                     yield "code", label, content, start + 1
                 start = None
 

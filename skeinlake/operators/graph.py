@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def accumulate(edges: DataFrame, policy: str = "sum") -> DataFrame:
-    """One edge per (src, dst, rel) without loops: weights summed, the largest, or the first by weight, then order."""
-    how = {"sum": F.sum("weight"), "max": F.max("weight"), "first": F.min("weight")}[policy]
+def accumulate(edges: DataFrame, policy: str = "sum", order: str = "at") -> DataFrame:
+    """One edge per (src, dst, rel) without loops: weights summed, the largest, or that of the first row by ``order``, then weight."""
+    how = {"sum": lambda: F.sum("weight"), "max": lambda: F.max("weight"), "first": lambda: F.min_by("weight", F.struct(order, "weight"))}[policy]()
     return edges.where("src <> dst").groupBy("src", "dst", "rel").agg(how.alias("weight"))
 
 
@@ -143,29 +145,52 @@ def forward_push(seeds: DataFrame, path: list[DataFrame], alpha: float = 0.15, t
     return kept.groupBy("node").agg((alpha * F.sum("mass")).alias("score")).where(F.col("score") > threshold)
 
 
-def beam_search(seeds: DataFrame, edges: DataFrame, affinity: DataFrame, weights, depth: int = 2, beam: int = 5, budget: int = 30) -> DataFrame:
-    """(node, score, depth): the best ``beam`` new neighbours per level, scored .9 * parent + exp(.6 * type + .4 * affinity) * weight.
+def beam_search(seeds: DataFrame, edges: DataFrame, affinity: Callable[[DataFrame], DataFrame], weights: Callable[[Column], Column], depth: int = 2, beam: int = 5, budget: int = 30) -> DataFrame:
+    """(node, score, depth): the best ``beam`` steps to new neighbours per level, scored .9 * parent + exp(.6 * type + .4 * affinity) * weight.
 
-    ``affinity`` (node, cos) is the query's similarity.  Semantic and entity
-    edges go both ways.  The budget is checked after a level is added.  A node
-    met more than once in a level counts once, by its best score.
+    ``affinity`` gives (node, cos), the query's similarity, of the nodes it is
+    asked for; only a level's neighbours are.  Semantic and entity edges go
+    both ways.  A node that several of a level's best steps lead to takes as
+    many of its places and keeps the least of their scores, each of which goes
+    on.  The budget is checked after a level is added.
     """
     back = edges.where(F.col("rel").isin("semantic", "entity")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", "weight")
-    both = edges.unionByName(back).distinct()
-    found = seeds.select("node", "score", F.lit(0).cast("long").alias("depth"))
-    front, size = found, seeds.count()
+    both = edges.unionByName(back)
+    found = {r["node"]: (r["score"], 0) for r in seeds.select("node", "score").collect()}
+    kind = seeds.schema["node"].dataType.simpleString()
+    front = seeds.select("node", "score")
     for k in range(1, depth + 1):
-        step = front.join(both, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "score", "rel", "weight")
-        step = step.join(found.select("node"), "node", "left_anti").join(affinity, "node", "left")
+        # what a node's edges are is told apart before its scores are joined
+        hop = both.join(F.broadcast(front.select("node").distinct()), F.col("node") == F.col("src"), "left_semi").distinct()
+        step = front.join(hop, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "score", "rel", "weight")
+        known = seeds.sparkSession.createDataFrame([(n,) for n in found], f"node {kind}")
+        step = step.join(F.broadcast(known), "node", "left_anti")
+        near = affinity(step.select("node").distinct())
         value = 0.9 * F.col("score") + F.exp(0.6 * weights(F.col("rel")) + 0.4 * F.coalesce("cos", F.lit(0.0))) * F.col("weight")
-        level = step.groupBy("node").agg(F.max(value).alias("score")).orderBy(F.desc(F.round("score", 9)), "node").limit(beam)
+        level = step.join(near, "node", "left").select("node", value.alias("score"))
         # a level is at most `beam` rows, so its lineage is cut by value
-        rows = level.collect()
-        front = edges.sparkSession.createDataFrame([(r["node"], r["score"], k) for r in rows], "node long, score double, depth long")
-        found, size = found.unionByName(front), size + len(rows)
-        if size >= budget or not rows:
+        rows = level.orderBy(F.desc(F.round("score", 9)), "node").limit(beam).collect()
+        for r in rows:
+            found[r["node"]] = (r["score"], k)
+        if not rows or len(found) >= budget:
             break
-    return found
+        front = seeds.sparkSession.createDataFrame([(r["node"], r["score"]) for r in rows], f"node {kind}, score double")
+    return seeds.sparkSession.createDataFrame([(n, *v) for n, v in found.items()], f"node {kind}, score double, depth long")
+
+
+def current_facts(facts: DataFrame) -> DataFrame:
+    """(subject_id, predicate, object, valid_from, valid_to, seen) after facts came one by one, by (valid_from, triple_id).
+
+    Predicates are lower-cased with underscores.  A fact that is the current
+    one of its subject and predicate again is that one; another ends it.
+    """
+    same = Window.partitionBy("subject_id", "predicate")
+    w = same.orderBy("valid_from", "triple_id")
+    t = facts.withColumn("predicate", F.lower(F.regexp_replace("predicate", r"\s+", "_")))
+    before = F.lag("object").over(w)
+    t = t.withColumn("new", (before.isNull() | (before != F.col("object"))).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = t.groupBy("subject_id", "predicate", "run").agg(F.first("object").alias("object"), F.min("valid_from").alias("valid_from"), F.count("*").alias("seen"))
+    return runs.withColumn("valid_to", F.lead("valid_from").over(same.orderBy("run"))).drop("run")
 
 
 def merge_traversal(old: DataFrame, new: DataFrame, both: float = 1.1, fresh: float = 0.8) -> DataFrame:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.cache import KeyedCache, key_of
+
 # Traces of instructions in expansions.
 JUNK = (r"</?think>", r"keyword search terms \(", r"semantic search queries \(", r"hypothetical document passage that answers the query")
 KINDS = ("lex", "vec", "hyde")
@@ -54,6 +56,53 @@ def expanded(prompts: DataFrame, expand: Expand | None = None) -> DataFrame:
     return prompts.join(once, "prompt").select("prompt_id", "place", "type", "text")
 
 
+def expanded_once(prompts: DataFrame, cache: KeyedCache, now: float, expand: Expand | None = None, model: str = "", seconds: float | None = None) -> DataFrame:
+    """(prompt_id, place, type, text) as ``expanded`` gives them; prompts whose expansions by ``model`` are kept aren't asked again."""
+    asked = prompts.select("prompt_id", "prompt", key_of(F.lit("expand"), F.lit(model), F.col("prompt")).alias("key"))
+
+    def compute(unknown: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                yield pd.DataFrame({"key": rows.key, "value": [json.dumps(expansions(q, expand)) for q in rows.prompt]})
+
+        return unknown.select("key", "prompt").mapInPandas(run, "key string, value string")
+
+    found = cache.answered(asked, compute, now, seconds)
+    kind = "array<array<string>>"
+    return found.select("prompt_id", F.posexplode(F.from_json("value", kind)).alias("place", "x")).select("prompt_id", F.col("place").cast("long").alias("place"), F.col("x")[0].alias("type"), F.col("x")[1].alias("text"))
+
+
+def reranked_once(pairs: DataFrame, score: Score, cache: KeyedCache, now: float, model: str = "", most_chars: int = 400, batch: int = 4) -> DataFrame:
+    """``pairs`` with rerank as ``reranked`` gives it; texts that ``model`` has scored for a query aren't scored again."""
+    cut = F.substring(F.coalesce("text", F.lit("")), 1, most_chars)
+    asked = pairs.withColumn("key", key_of(F.lit("rerank"), F.lit(model), F.col("query"), cut))
+
+    def compute(unknown: DataFrame) -> DataFrame:
+        return reranked(unknown, score, most_chars, batch).select("key", F.col("rerank").cast("string").alias("value"))
+
+    return cache.answered(asked, compute, now).withColumn("rerank", F.coalesce(F.col("value").cast("double"), F.lit(0.0))).drop("key", "value")
+
+
+def classified_once(prompts: DataFrame, rule: DataFrame, refine: Callable[[str], tuple[str, float] | None], cache: KeyedCache, now: float, sure: float = 0.8, seconds: float = 3600) -> DataFrame:
+    """(prompt_id, intent, confidence): the rule's (prompt_id, intent, confidence), refined by a model where it is less than ``sure``.
+
+    What the model said of a prompt is kept for an hour; if it says nothing the rule's answer stands.
+    """
+    given = prompts.join(rule, "prompt_id").withColumn("key", key_of(F.lit("intent"), F.col("prompt")))
+
+    def compute(unknown: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                yield pd.DataFrame({"key": rows.key, "value": [None if (v := refine(q)) is None else json.dumps([v[0], float(v[1])]) for q in rows.prompt]})
+
+        return unknown.select("key", "prompt").mapInPandas(run, "key string, value string")
+
+    weak = cache.answered(given.where(F.col("confidence") < sure), compute, now, seconds)
+    said = lambda path: F.get_json_object("value", path)
+    better = weak.select("prompt_id", F.coalesce(said("$[0]"), "intent").alias("intent"), F.coalesce(said("$[1]").cast("double"), "confidence").alias("confidence"))
+    return given.where(F.col("confidence") >= sure).select("prompt_id", "intent", "confidence").unionByName(better)
+
+
 def reranked(pairs: DataFrame, score: Score, most_chars: int = 400, batch: int = 4, bounded: bool = False) -> DataFrame:
     """``pairs`` (query_id, query, id, text) with rerank: the model's score of query and text.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -94,11 +95,12 @@ def mmr_order(results: DataFrame, most_alike: float = 0.6) -> DataFrame:
     """(query_id, id, position): each query's short list with results too like one already chosen put last.
 
     ``results`` has query_id, id, score, title, body; lists are the cut of a
-    retrieval, so a query's rows fit one task.  Lists of two stay as they are.
+    retrieval, so a query's rows fit one task.  Lists of two stay as they are;
+    marks are no part of words, and texts without any are alike.
     """
 
     def words(text: str) -> set[str]:
-        w = text.lower().split()
+        w = re.sub(r"[^\w\s]", "", text.lower(), flags=re.ASCII).split()
         return {x for x in w if len(x) > 3} | {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:
@@ -106,7 +108,7 @@ def mmr_order(results: DataFrame, most_alike: float = 0.6) -> DataFrame:
         sets = [words(f"{t} {b}") for t, b in zip(rows.title.fillna(""), rows.body.fillna(""), strict=True)]
         chosen, late = [], []
         for k, s in enumerate(sets):
-            alike = any(len(s & sets[c]) > most_alike * len(s | sets[c]) for c in chosen if s | sets[c])
+            alike = any(len(s & sets[c]) > most_alike * len(s | sets[c]) or not (s or sets[c]) for c in chosen)
             (late if alike and len(sets) > 2 else chosen).append(k)
         out = rows.iloc[chosen + late][["query_id", "id"]].copy()
         out["position"] = range(1, len(out) + 1)

@@ -92,10 +92,15 @@ class Corpus:
         return ranking.composite_rank(rows, self.now, weights, bounded=True).select("id", "score", "position")
 
 
-def traversed(corpus: Corpus, hits: DataFrame, kinds: dict[str, float], push: bool = True, entity: bool = False) -> DataFrame:
+def traversed(corpus: Corpus, hits: DataFrame, kinds: dict[str, float], vector: Sequence[float], push: bool = True, entity: bool = False) -> DataFrame:
     """``hits`` (id, score) widened along edges from the ten best: beam search, then pushed mass, then, for entities, co-occurrence."""
     seeds = hits.orderBy(F.desc(F.round("score", 9)), "id").limit(10).select(F.col("id").alias("node"), "score")
-    near = corpus.docs.sparkSession.createDataFrame([], f"node {corpus.docs.schema['id'].dataType.simpleString()}, cos double")
+    asked = F.array(*[F.lit(float(x)) for x in vector])
+
+    def near(nodes: DataFrame) -> DataFrame:
+        """Similarity of the query's vector to those of a level's neighbours."""
+        own = corpus.vectors.join(nodes, F.col("id") == F.col("node"))
+        return own.select("node", retrieval.cosine(F.col("embedding"), asked).alias("cos"))
 
     def weight(rel: Column) -> Column:
         out = F.lit(1.0)
@@ -122,7 +127,7 @@ def intent_search(corpus: Corpus, query: str, vector: Sequence[float], intent: s
     weights = {"WHEN": (1.5, 1.0), "WHY": (1.0, 1.5)}.get(intent, (1.0, 1.0))
     hits = fused([listed(corpus.keyword(query, 30), 1, weights[0], 30), listed(corpus.nearest(vector, 30), 2, weights[1], 30)]).withColumnRenamed("rrf", "score")
     if intent in ("WHY", "ENTITY"):
-        hits = traversed(corpus, hits, kinds, entity=intent == "ENTITY")
+        hits = traversed(corpus, hits, kinds, vector, entity=intent == "ENTITY")
     text = F.when(F.coalesce("body", F.lit("")) != "", F.substring("body", 1, 200)).otherwise(F.col("title"))
     top = corpus.docs.select("id", text.alias("text")).join(F.broadcast(hits), "id").orderBy(F.desc(F.round("score", 9)), "id").limit(30)
     scored = models.reranked(top.select("id", "score", "text", F.lit(1).alias("query_id"), F.lit(query).alias("query")), score, bounded=True)
@@ -160,7 +165,7 @@ def memory_retrieve(corpus: Corpus, mode: str, query: str, vector: Sequence[floa
         weights = {"WHY": (1.0, 1.5), "WHEN": (1.5, 1.0)}.get(intent, (1.0, 1.0)) if mode == "causal" else (1.0, 1.0)
         hits = fused([listed(corpus.keyword(query, 30), 1, weights[0], 30), listed(corpus.nearest(vector, 30), 2, weights[1], 30)])
         if mode == "causal" and intent in ("WHY", "ENTITY"):
-            hits = traversed(corpus, hits.withColumnRenamed("rrf", "score"), kinds or {}, push=False).withColumnRenamed("score", "rrf")
+            hits = traversed(corpus, hits.withColumnRenamed("rrf", "score"), kinds or {}, vector, push=False).withColumnRenamed("score", "rrf")
         hits = hits.withColumnRenamed("rrf", "search")
     return corpus.composite(hits).where(F.col("position") <= limit)
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking, scoring, text
 from ..operators import curation as ops
+from ..operators import synthesis
 from ..sources.vault import DOCS, NOW, documents, read
 from .registry import query
 
@@ -227,6 +231,44 @@ def merge_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.similar_sets(w, "collection", 0.5).where("similarity > 0.5").select("a", "b")
 
 
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as observations: the first line is the title, the beginning of the text its facts."""
+    d = documents(spark, sf_dir).where("active")
+    return d.select("id", "collection", "title", F.substring("body", 1, 300).alias("facts"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("string").alias("narrative"), "content_type", F.col("content_type").alias("observation_type"), "modified_at")
+
+
+def _stand_in(key: str):
+    """A model that takes each listed title with the one after it."""
+
+    def generate(prompt: str) -> str:
+        titles = re.findall(r'^(?:\d+\.|\[\d+\] \(\S+\)) "(.*)"$', prompt, re.M)
+        return json.dumps([{key: titles[i], "source_indices": [i + 1, i + 2], "premises": titles[i : i + 2]} for i in range(0, len(titles) - 1, 2)])
+
+    return generate
+
+
+@query("K05_fold")
+def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next fifty observations of no pattern, folded into patterns whose words are titles; contradicted ones are linked."""
+    seen = _observed(spark, sf_dir)
+    sources = F.array(F.col("id"), F.col("id") + 13)
+    state = seen.where("content_type = 'deductive'").select("id", "collection", F.col("title").alias("observation"), sources.alias("source_ids"), F.lit(2).cast("bigint").alias("proof_count"), F.lit("NEW").alias("trend"), F.lit("active").alias("status"), F.col("modified_at").alias("created_at"), F.col("modified_at").alias("updated_at"), *[F.lit(None).cast(t).alias(c) for c, t in (("invalidated_at", "timestamp"), ("invalidated_by", "bigint"), ("superseded_by", "bigint"))])
+    proposed = synthesis.patterns(synthesis.unconsolidated(seen, state), _stand_in("observation"))
+    return synthesis.consolidate(state, proposed, _now(), 1).select("id", "collection", "observation", "proof_count", "status", "invalidated_by")
+
+
+@query("K07")
+def deductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conclusions from pairs of the newest documents of four types, with the edges that they bring."""
+    seen = _observed(spark, sf_dir)
+    old = seen.where("content_type = 'deductive'").select("id", "title", F.col("modified_at").alias("created_at"), F.lit(True).alias("active"), F.array(F.col("id") + 1).alias("source_ids"))
+    made = synthesis.deduce(synthesis.deductive_batch(seen, old, _now()), old, _stand_in("conclusion"), NOW, 1)
+    edges = F.collect_list(F.struct("src", "dst", "rel")).alias("edges")
+    mine = made.docs.select("id", "path", "title", "source_ids")
+    touching = mine.join(made.edges, (F.col("dst") == F.col("id")) | (F.col("src") == F.col("id"))).groupBy("id").agg(F.sort_array(edges).alias("edges"))
+    return mine.join(touching, "id")
+
+
 @query("K06", f"with {DOCS}, d as (select id, (epoch_us(timestamp '{NOW}') - epoch_us(created_at)) / 86400e6 as age, (epoch_us(timestamp '{NOW}') - epoch_us(modified_at)) / 86400e6 as idle, access_count as proofs from docs) select id, case when age < 7 then 'NEW' when idle > 60 then 'STALE' when idle > 30 then 'WEAKENING' when proofs >= 4 and idle < 14 then 'STRENGTHENING' else 'STABLE' end as trend from d")
 def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)

@@ -132,7 +132,8 @@ def forward_push(spark: SparkSession, sf_dir: str) -> DataFrame:
 def beam(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([(40, 1.0), (60, 0.8)], "node long, score double")
     affinity = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") / 50).alias("cos"))
-    return ops.beam_search(seeds, _edges(spark, sf_dir), affinity, lambda rel: scoring.intent_weight(F.lit("WHY"), rel)).withColumn("score", F.round("score", 6))
+    near = lambda nodes: affinity.join(F.broadcast(nodes), "node", "left_semi")  # noqa: E731  a level's neighbours
+    return ops.beam_search(seeds, _edges(spark, sf_dir), near, lambda rel: scoring.intent_weight(F.lit("WHY"), rel)).withColumn("score", F.round("score", 6))
 
 
 @query("J05", f"with {_MENTIONS}, {_IDF}, own as (select distinct entity from mentions where doc_id < 5), p as (select x.entity as a, y.entity as b, count(*) as n from mentions x join mentions y on x.doc_id = y.doc_id and x.entity <> y.entity where x.entity in (select entity from own) group by 1, 2), near as (select b as partner, max(n) as n from p where b not in (select entity from own) group by 1), s as (select partner, least(1.0, ln(1 + n) / 5) * least(1.0, greatest(0.0, idf / 3)) as score from near join idf on idf.entity = partner), t as (select * from s order by round(score, 9) desc, partner limit 30), h as (select doc_id, partner, score, row_number() over (partition by partner order by doc_id) as n from mentions m join t on m.entity = t.partner) select doc_id, round(max(score), 6) as score from h where n <= 10 and doc_id >= 5 group by 1")
@@ -158,10 +159,12 @@ def push_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.merge_traversal(old, new, both=0.9, fresh=0.75).withColumn("score", F.round("score", 6))
 
 
-@query("J09", "select l_partkey as src, l_suppkey as dst, 'entity' as rel, max(l_quantity) as weight from lineitem where l_partkey <> l_suppkey group by 1, 2")
+@query("J09", "with e as (select l_partkey as src, l_suppkey as dst, l_quantity as weight, l_orderkey, l_linenumber from lineitem where l_partkey <> l_suppkey) select src, dst, 'entity' as rel, 'max' as policy, max(weight) as weight from e group by 1, 2 union all select src, dst, 'entity', 'sum', sum(weight) from e group by 1, 2 union all select src, dst, 'entity', 'first', arg_min(weight, {'o': l_orderkey, 'l': l_linenumber, 'w': weight}) from e group by 1, 2")
 def edge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("entity").alias("rel"), F.col("l_quantity").alias("weight"))
-    return ops.accumulate(e, "max")
+    """The three policies for edges that are there already: the larger weight, the sum, and the first that came."""
+    e = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("entity").alias("rel"), F.col("l_quantity").alias("weight"), F.struct("l_orderkey", "l_linenumber").alias("at"))
+    out = [ops.accumulate(e, policy).select("src", "dst", "rel", F.lit(policy).alias("policy"), "weight") for policy in ("max", "sum", "first")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("J11", f"with {_MENTIONS}, c as (select entity, count(*) as n from mentions group by 1), h as (select entity, n, case when entity = 'there' then 0 else 1 end as tier from c where starts_with(entity, 'there')) select entity, n as mention_count, tier::bigint as tier from h order by tier, n desc, entity limit 20")
@@ -170,15 +173,10 @@ def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("tier", F.when(F.col("entity") == "there", 0).otherwise(1).cast("long")).orderBy("tier", F.desc("mention_count"), "entity").limit(20)
 
 
-@query("J12", f"with {TRIPLES}, p as (select *, lag(object) over (partition by subject_id order by valid_from, triple_id) as before from triples), g as (select *, sum((before is null or before <> object)::int) over (partition by subject_id order by valid_from, triple_id rows unbounded preceding) as run from p) select subject_id, any_value(object) as object, strftime(min(valid_from), '%Y-%m-%d') as valid_from, count(*) as seen from g group by subject_id, run")
+@query("J12", f"with {TRIPLES}, n as (select *, lower(regexp_replace(predicate, '\\s+', '_', 'g')) as p from triples), b as (select *, lag(object) over (partition by subject_id, p order by valid_from, triple_id) as before from n), g as (select *, sum((before is null or before <> object)::int) over (partition by subject_id, p order by valid_from, triple_id rows unbounded preceding) as run from b), r as (select subject_id, p as predicate, run, any_value(object) as object, min(valid_from) as started, count(*) as seen from g group by all) select subject_id, predicate, object, strftime(started, '%Y-%m-%d') as valid_from, strftime(lead(started) over (partition by subject_id, predicate order by run), '%Y-%m-%d') as valid_to, seen from r")
 def triple_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An identical current fact is used again: consecutive equal facts of a subject become one."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("subject_id").orderBy("valid_from", "triple_id")
-    t = triples(spark, sf_dir).withColumn("new", (F.lag("object").over(w).isNull() | (F.lag("object").over(w) != F.col("object"))).cast("int"))
-    t = t.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return t.groupBy("subject_id", "run").agg(F.first("object").alias("object"), F.date_format(F.min("valid_from"), "yyyy-MM-dd").alias("valid_from"), F.count("*").alias("seen")).drop("run")
+    """An identical current fact of a subject and predicate is used again; another one ends it."""
+    return ops.current_facts(triples(spark, sf_dir)).select("subject_id", "predicate", "object", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"), F.date_format("valid_to", "yyyy-MM-dd").alias("valid_to"), "seen")
 
 
 @query("J13", f"with {TRIPLES} select triple_id, c_name as subject, predicate, object from triples join customer on c_custkey = subject_id where valid_from <= date '1998-01-01' and (valid_to is null or valid_to >= date '1998-01-01')")

@@ -205,10 +205,48 @@ def test_graph(spark):
     assert (2, 1, 0.5) in chain and (3, 2, 1.0) in chain
     pushed = {r["node"]: r["score"] for r in graph.forward_push(spark.createDataFrame([(1, 1.0)], "node long, mass double"), [graph.top_edges(edges, symmetric=False)]).collect()}
     assert pushed == pytest.approx({1: 0.15, 2: 0.85 * 0.15})
-    beam = {r["node"]: r["score"] for r in graph.beam_search(spark.createDataFrame([(1, 1.0)], "node long, score double"), edges, spark.createDataFrame([], "node long, cos double"), lambda rel: F.lit(0.0), depth=1).collect()}
+    beam = {r["node"]: r["score"] for r in graph.beam_search(spark.createDataFrame([(1, 1.0)], "node long, score double"), edges, lambda nodes: nodes.withColumn("cos", F.lit(0.0)), lambda rel: F.lit(0.0), depth=1).collect()}
     assert beam == pytest.approx({1: 1.0, 2: 0.9 + 0.5})
 
 
+def test_a_node_can_take_two_places_of_a_beam(spark):
+    """Both ways to 3 are among the two best steps: its later score stays, and each of them goes on; 4 gets no place."""
+    rows = [(1, 3, "causal", 0.9), (2, 3, "causal", 0.5), (1, 4, "causal", 0.1), (3, 5, "causal", 1.0)]
+    edges = spark.createDataFrame(rows, "src long, dst long, rel string, weight double")
+    near = lambda nodes: nodes.where("node = 5").withColumn("cos", F.lit(0.5))
+    got = graph.beam_search(spark.createDataFrame([(1, 1.0), (2, 1.0)], "node long, score double"), edges, near, lambda rel: F.lit(0.0), depth=2, beam=2)
+    later = 0.9 * (0.9 + 0.5) + math.exp(0.2)
+    found = {r["node"]: (r["score"], r["depth"]) for r in got.collect()}
+    assert {n: s for n, (s, _) in found.items()} == pytest.approx({1: 1.0, 2: 1.0, 3: 1.4, 5: later}) and {n: k for n, (_, k) in found.items()} == {1: 0, 2: 0, 3: 1, 5: 2}
+
+
+def test_edges_that_are_there_already(spark):
+    rows = [(1, 2, "r", 5.0, 1), (1, 2, "r", 1.0, 2), (1, 2, "r", 9.0, 3), (1, 1, "r", 7.0, 0), (1, 2, "other", 2.0, 0)]
+    edges = spark.createDataFrame(rows, "src long, dst long, rel string, weight double, at long")
+    got = {p: {r["rel"]: r["weight"] for r in graph.accumulate(edges, p).collect()} for p in ("first", "sum", "max")}
+    assert got == {"first": {"r": 5.0, "other": 2.0}, "sum": {"r": 15.0, "other": 2.0}, "max": {"r": 9.0, "other": 2.0}}
+
+
+def test_facts_of_different_predicates_are_kept_apart(spark):
+    rows = [(1, 7, "Works at", "A", 1), (2, 7, "lives in", "A", 2), (3, 7, "works  at", "A", 3), (4, 7, "works_at", "B", 4), (5, 7, "works at", "A", 5)]
+    facts = spark.createDataFrame(rows, "triple_id long, subject_id long, predicate string, object string, valid_from long")
+    got = {tuple(r) for r in graph.current_facts(facts).select("predicate", "object", "valid_from", "valid_to", "seen").collect()}
+    assert got == {("works_at", "A", 1, 4, 2), ("works_at", "B", 4, 5, 1), ("works_at", "A", 5, None, 1), ("lives_in", "A", 2, None, 1)}
+
+
+def test_marks_are_no_part_of_words_and_empty_texts_are_alike(spark):
+    rows = [(1, 1, 0.9, "alpha, beta. gamma!", ""), (1, 2, 0.8, "Alpha beta gamma", ""), (1, 3, 0.7, "", None), (1, 4, 0.6, "!!", ""), (1, 5, 0.5, "other words entirely", "")]
+    got = ranking.mmr_order(spark.createDataFrame(rows, "query_id long, id long, score double, title string, body string"))
+    assert {r["id"]: r["position"] for r in got.collect()} == {1: 1, 3: 2, 5: 3, 2: 4, 4: 5}
+
+
+def test_fragments_keep_fences_and_continued_items():
+    code = "x = 1  # " + "c" * 30
+    body = "\n".join(["intro " * 40, "```python", code, "```", "- one item that is long enough to be kept", "\t\tgoes on", "plain", "1. only"])
+    got = [(kind, label, content) for kind, label, content, _ in chunking.fragments(body)][1:]
+    assert got == [("list", None, "- one item that is long enough to be kept\n\t\tgoes on"), ("code", "python", f"```python\n{code}\n```")]
+
+
 def test_dates_and_intents(spark):
     now = F.lit("2024-02-01").cast("date")
     found = {q: tuple(map(str, one(spark, intent.date_range(F.lit(q), now)))) for q in ("what happened yesterday", "3 days ago", "this week", "in march 2023", "since december 2023", "nothing")}

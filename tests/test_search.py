@@ -133,11 +133,57 @@ def test_remote_models():
 def test_json_in_model_output():
     assert mining.repaired('Sure:\n```json\n{"a": [1, 2,],}\n```\ndone') == {"a": [1, 2]}
     assert mining.repaired('prose {"a": {"b": "x, ]"}} more') == {"a": {"b": "x, ]"}}
-    assert mining.repaired('[{"q": "one"}, {"q": "tw') == [{"q": "one"}, {}]
+    assert mining.repaired('[{"q": "one"}, {"q": "tw') == [{"q": "one"}]
     assert mining.repaired('{"a": 1, "b": [1, 2') == {"a": 1, "b": [1]}
     assert mining.repaired("no value") is None and mining.repaired("") is None and mining.repaired(None) is None and mining.repaired("[1}") is None
 
 
+V, E = '[{"key":"value"}]', '[{"key":"example"}]'
+VALUE, EXAMPLE = [{"key": "value"}], [{"key": "example"}]
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        (V, VALUE),
+        (f"```json\n{V}\n```", VALUE),
+        (f"```\n{V}\n```", VALUE),
+        (f"```json\n{V}", VALUE),
+        (f"Here is the result:\n\n{V}", VALUE),
+        (f"{V}\nAdditional explanation follows.", VALUE),
+        ('{"outer": {"inner": [1, 2, 3]}}', {"outer": {"inner": [1, 2, 3]}}),
+        ('[{"a": 1}, {"b": 2}, {"c": 3', [{"a": 1}, {"b": 2}]),
+        ("This is just plain text with no JSON", None),
+        ("Here is the JSON:\n```json\n[]\n```", []),
+        ('{"context":"Use ```json code fences``` in docs."}', {"context": "Use ```json code fences``` in docs."}),
+        ('[\n  "alpha"\n  "beta"\n]', None),
+        ('["alpha" "beta"]', None),
+        (f"Example:\n```\n[]\n```\nActual:\n```json\n{V}\n```", VALUE),
+        (f"```json\n{V}\n```\nExample:\n```\n[]\n```", VALUE),
+        (f"Here is the result:\n```json\n{V}\n```\nExample:\n```\n[]\n```", VALUE),
+        (f"```json\n{V}\n```\nExample: {E}", VALUE),
+        (f"Result:\n[]\nExample:\n```json\n{E}\n```", []),
+        (f"```\n[]\n```\nActual:\n```json\n{V}\n```", VALUE),
+        (f"Result:\n```\n[]\n```\nExample:\n```\n{E}\n```", []),
+        (f"Here is the result:\n```\n{V}\n```\nExample: {E}", VALUE),
+        (f"Example:\n```json\n[]\n```\nActual:\n```json\n{V}\n```", VALUE),
+        (f"```json\n[]\n```\nActual:\n{V}", VALUE),
+        (f"Example:\n```json\n[]\n```\nActual:\n```\n{V}\n```", VALUE),
+        (f"```ts\nconst result = {E};\n```\nActual:\n```json\n{V}\n```", VALUE),
+        (f"```ts\nconst result = {E};\n```\n{V}\nExample:\n```json\n[]\n```", VALUE),
+        (f"```json\n[]\n```\nFinal answer:\n{V}", VALUE),
+        (f"```json\n[]\n```\nAnswer:\n{V}", VALUE),
+        (f"```json\n{V}\n```\nThe result schema is {E}", VALUE),
+        (f"Return empty array [] if no structured facts found.\n```json\n{V}\n```", VALUE),
+        (f'Schema: {{"key":1}}\n{V}', VALUE),
+        ('{\n  "keywords": ["a b"]\n  "tags": ["x", "y"]\n  "context": "short"\n}', {"keywords": ["a b"], "tags": ["x", "y"], "context": "short"}),
+        ('{"a": "x, }", "b": 1,}', {"a": "x, }", "b": 1}),
+    ],
+)
+def test_json_among_fences_labels_and_prose(raw, want):
+    assert mining.repaired(raw) == want
+
+
 def test_observations_of_tags():
     triple = "<triple><subject>App</subject><predicate>Depends on</predicate><object>db</object></triple>"
     odd = "<triple><subject>App</subject><predicate>likes</predicate><object>db</object></triple><triple><subject>A</subject><predicate>uses</predicate><object>db</object></triple>"

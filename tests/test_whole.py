@@ -53,15 +53,13 @@ def test_graph_queries_take_all_edges(spark):
 
     cos = {k: s / 50 for k, s in rows("part", "p_partkey", "p_size")}
     kind = INTENT_WEIGHTS["WHY"]["causal"]
-    front = found = {40: 1.0, 60: 0.8}
+    found = {40: 1.0, 60: 0.8}
+    front = list(found.items())
     for _ in range(2):
-        level = defaultdict(float)
-        for node, s in front.items():
-            for b, w in out[node].items():
-                if b not in found:
-                    level[b] = max(level[b], 0.9 * s + math.exp(0.6 * kind + 0.4 * cos.get(b, 0.0)) * w)
-        front = dict(sorted(level.items(), key=lambda x: (-round(x[1], 9), x[0]))[:5])
-        found = found | front
+        steps = [(0.9 * s + math.exp(0.6 * kind + 0.4 * cos.get(b, 0.0)) * w, b) for node, s in front for b, w in out[node].items() if b not in found]
+        front = [(b, s) for s, b in sorted(steps, key=lambda x: (-round(x[0], 9), x[1]))[:5]]
+        for b, s in front:
+            found[b] = s
     close({r["node"]: r["score"] for r in registry.QUERIES["J03"](spark, DATA).collect()}, found)
 
     ids = {i for (i,) in rows("documents", "doc_id") if i < 400}
