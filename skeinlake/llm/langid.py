@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import by_documents
+from ._spark import by_documents, lean
 from ._text import chunks, flat
 
 ORDER = 4
@@ -279,7 +279,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                 score[none] = 0
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(best), pa.array(least), pa.array(score), pa.array(n), pa.array(letters), pa.array(rejected | none)], [key, "best", "entropy", "score", "n", "letters", "rejected"])
 
-    return by_documents(docs).mapInArrow(run, f"{key} {kind}, best long, entropy double, score double, n long, letters long, rejected boolean")
+    return by_documents(docs).mapInArrow(lean(run), f"{key} {kind}, best long, entropy double, score double, n long, letters long, rejected boolean")
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,4 +315,4 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
                 kept = (letters > 0) & ~m.rejects(entropy.min(axis=1), entropy.argmin(axis=1), n)
                 yield batch.slice(i, j - i).filter(pa.array(kept))
 
-    return by_documents(docs).mapInArrow(run, schema)
+    return by_documents(docs).mapInArrow(lean(run), schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._spark import by_documents, saved
+from ._spark import by_documents, lean, saved
 from ._text import Words, chunks, flat, span_hashes
 
 
@@ -73,7 +73,7 @@ def _line_table(docs: DataFrame, least: int) -> DataFrame:
                     ["d", "doc_id", "i", "h", "after", "before"],
                 )
 
-    return docs.select("d", "doc_id", "text").mapInArrow(run, f"d long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, i int, h long, after int, before int")
+    return docs.select("d", "doc_id", "text").mapInArrow(lean(run), f"d long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, i int, h long, after int, before int")
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
                 rows = pa.StructArray.from_arrays(fields, fields=list(rows.type))
             yield pa.RecordBatch.from_arrays([rows, pa.array(lines, pa.int64()), pa.array(words, pa.int64())], ["row", "lines", "words"])
 
-    return joined.mapInArrow(run, StructType([kind, StructField("lines", LongType()), StructField("words", LongType())]))
+    return joined.mapInArrow(lean(run), StructType([kind, StructField("lines", LongType()), StructField("words", LongType())]))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import by_documents, release, saved
+from ._spark import by_documents, lean, release, saved
 from ._text import U64, Words, chunks, flat, mix, shingles
 from .components import components
 
@@ -180,7 +180,7 @@ def _rows(docs: DataFrame, width: int) -> DataFrame:
             for i, j, tokens, first in _sets(batch.column(1), width):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.diff(first)), pa.array(_set_ids(tokens, first)), batch.column(2)[i:j]], ["doc_id", "n_shingles", "sid", "rid"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, n_shingles long, sid long, rid long")
+    return docs.mapInArrow(lean(run), f"doc_id {docs.schema[0].dataType.simpleString()}, n_shingles long, sid long, rid long")
 
 
 def _places(values: np.ndarray) -> np.ndarray:
@@ -206,7 +206,7 @@ def _map_of(df: DataFrame, column: str) -> np.ndarray:
     # a page is gathered from one range of hashes, so by one task
     high = F.shiftrightunsigned(column, 64 - MAP_BITS + 15)
     dealt = df.select(column, high.alias("range")).repartition("range").select(column)
-    return _gathered(dealt.mapInArrow(run, "page long, bits binary"), 4096)
+    return _gathered(dealt.mapInArrow(lean(run), "page long, bits binary"), 4096)
 
 
 def _gathered(pages: DataFrame, size: int) -> np.ndarray:
@@ -231,7 +231,7 @@ def _common(docs: DataFrame, total: int, width: int, sample_docs: int = 6000, sh
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
     least = max(16, int(share * min(total, sample_docs)))
-    found = drawn.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = drawn.mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return np.sort(found.select("token").toArrow()["token"].to_numpy().view(U64))
 
 
@@ -290,8 +290,8 @@ def _shared_keys(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[t
         if parts:
             yield bits(now, parts)
 
-    sent = docs.mapInArrow(write, "page long, bits binary").repartition("page").sortWithinPartitions("page")
-    return _gathered(sent.mapInArrow(count, "page long, bits binary"), size // 8)
+    sent = docs.mapInArrow(lean(write), "page long, bits binary").repartition("page").sortWithinPartitions("page")
+    return _gathered(sent.mapInArrow(lean(count), "page long, bits binary"), size // 8)
 
 
 def sketches(tokens: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -428,7 +428,7 @@ def _edges_within(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFram
                 kept[at] = apart <= _allowed(na[at], nb[at], percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept))
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(lean(run), "a long, b long")
 
 
 def _dealt(nodes: DataFrame) -> DataFrame:
@@ -464,7 +464,7 @@ def _spanned(tasks: DataFrame, near: Callable[[list, np.ndarray], np.ndarray], u
         if len(held) > 1:
             yield links(held)
 
-    return tasks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long")
+    return tasks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(lean(run), "a long, b long")
 
 
 def _verified(docs: DataFrame, reps: DataFrame, edges: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -482,7 +482,7 @@ def _verified(docs: DataFrame, reps: DataFrame, edges: DataFrame, width: int, pe
         for batch in batches:
             yield batch.filter(pa.array(_has(chosen.value, batch.column(0).to_numpy())))
 
-    texts = docs.select("rid", "text").mapInArrow(choose, "rid long, text string")
+    texts = docs.select("rid", "text").mapInArrow(lean(choose), "rid long, text string")
 
     def sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for i, j, tokens, first in _sets(batch.column(5), width):
@@ -555,7 +555,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 perhaps = _has(going.value, rid)
                 yield batch.filter(pa.array(perhaps & _has(staying.value, rid) if open_ else ~perhaps))
 
-        return packed.mapInArrow(run, packed.schema)
+        return packed.mapInArrow(lean(run), packed.schema)
 
     # what isn't in the second map stays, what isn't in the first goes: only rows in both need a join
     again = told(True).join(stay, "rid", "left_semi").groupBy("rid").agg(F.first("row").alias("row"))
@@ -596,7 +596,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
                 if len(met):
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(met), pa.int64()), pa.array(sid[met]), pa.array(n[met]), sketches(tokens, first).take(pa.array(met))], names)
 
-    index = saved(docs.mapInArrow(index_of, "key long, sid long, n int, sketch binary"))
+    index = saved(docs.mapInArrow(lean(index_of), "key long, sid long, n int, sketch binary"))
     keyed = index.where("key is not null").select("key", "sid")
     shared = keyed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub <> last").drop("last")
     members = saved(keyed.join(shared, "key"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._spark import by_documents, saved
+from ._spark import by_documents, lean, saved
 
 #: Different words, and parts of words, that a worker remembers: about 200 bytes each.
 REMEMBERED, REMEMBERED_PARTS = 1 << 20, 3 << 18
@@ -151,7 +151,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 500) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import by_documents
+from ._spark import by_documents, lean
 from ._text import chunks, flat
 from .automaton import Automaton, compile_rules
 
@@ -219,7 +219,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, spans {_SPANS}")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema[0].dataType.simpleString()}, spans {_SPANS}")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "<SECRET>", rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
@@ -247,7 +247,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "<SECRET>", rule
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type))
             yield batch
 
-    return by_documents(docs).mapInArrow(run, schema)
+    return by_documents(docs).mapInArrow(lean(run), schema)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,4 +264,4 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(base, pa.string()), pa.array(joined, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return by_documents(rows).mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return by_documents(rows).mapInArrow(lean(run), f"doc_id {rows.schema[0].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
