@@ -7,6 +7,7 @@ for those rows, by a join.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -37,7 +38,17 @@ def fused(lists: Sequence[DataFrame], most: int | None = None) -> DataFrame:
     return by_value(out if most is None else out.orderBy(F.desc(F.round("rrf", 9)), "id").limit(most))
 
 
-def best_window(body: Column, terms: Sequence[str], intent: Sequence[str] = (), size: int = 4000, overlap: int = 200) -> Column:
+# The length of a window, and what asks for entities.
+WINDOW = 4000
+ENTITY_SIGNALS = r"\b(who|person|team|project|service|tool|@\w+|#\w+|VM \d|what.*about)\b"
+
+
+def asks_for_entities(query: str) -> bool:
+    """Whether a query has the words on which the entities' neighbours are looked up."""
+    return re.search(ENTITY_SIGNALS, query, re.I | re.A) is not None
+
+
+def best_window(body: Column, terms: Sequence[str], intent: Sequence[str] = (), size: int = WINDOW, overlap: int = 200) -> Column:
     """The window of a text with most of the query's terms, at half weight of the intent's; the first of equals."""
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length(body) - size) / step)).cast("int")
@@ -48,9 +59,10 @@ def best_window(body: Column, terms: Sequence[str], intent: Sequence[str] = (),
 
 
 def blended(candidates: DataFrame, docs: DataFrame, query: str, score: models.Score, intent: Sequence[str] = ()) -> DataFrame:
-    """``candidates`` (id, rrf) with their documents and search: the rerank of the best window of each, blended with rrf."""
+    """``candidates`` (id, rrf) with their documents and search: the rerank of the beginning of each, or with an intent of its best window, blended with rrf."""
     rows = docs.join(F.broadcast(candidates), "id")
-    text = best_window(F.coalesce("body", F.lit("")), query.lower().split(), intent)
+    body = F.coalesce("body", F.lit(""))
+    text = best_window(body, query.lower().split(), intent) if intent else F.substring(body, 1, WINDOW)
     asked = rows.select("*", F.lit(1).alias("query_id"), F.lit(query).alias("query"), text.alias("text"))
     scored = models.reranked(asked, score, bounded=True).drop("query_id", "query", "text")
     return ranking.rerank_blend(scored, bounded=True).withColumnRenamed("blended", "search")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking, scoring, text
+from ..operators import acts
 from ..operators import curation as ops
 from ..operators import synthesis
 from ..sources.vault import DOCS, NOW, documents, read
@@ -211,10 +212,21 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(old, "id", "left").select("id", act.alias("act"))
 
 
-@query("K03", "with l as (select user_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events where event_type in ('view', 'click', 'error')) select user_id, event_type as state from l where n = 1")
-def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").where("event_type in ('view', 'click', 'error')")
-    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
+_ACT = "case event_type when 'view' then 'touch' when 'click' then case event_id % 3 when 0 then 'unpin' else 'pin' end when 'purchase' then case event_id % 2 when 0 then 'snooze' else 'unsnooze' end when 'error' then 'forget' else 'restore' end"
+
+
+@query(
+    "K03",
+    f"with {DOCS}, a as (select user_id as doc_id, {_ACT} as act, ts + to_days(30) as until, ts as tm, event_id as seq from events), "
+    "l as (select doc_id, arg_max(act, (tm, seq)) filter (where act in ('pin', 'unpin')) as pin, arg_max(case when act = 'snooze' then until else timestamp '1900-01-01' end, (tm, seq)) filter (where act in ('snooze', 'unsnooze')) as snooze, arg_max(act, (tm, seq)) filter (where act in ('forget', 'restore')) as gone, count(*) filter (where act = 'touch') as touches from a group by 1) "
+    "select id, case when pin is null then pinned else pin = 'pin' end as pinned, strftime(case when snooze is null then snoozed_until when snooze > timestamp '1950-01-01' then snooze end, '%Y-%m-%d %H:%M') as snoozed_until, case when gone is null then active else gone = 'restore' end as active, access_count + coalesce(touches, 0) as access_count from docs left join l on l.doc_id = id",
+)
+def after_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents after acts, for which events stand, as the tables have none: views touch, clicks pin or unpin, purchases snooze or end it, errors forget, the rest restore."""
+    e = read(spark, sf_dir, "events")
+    log = e.select(F.col("user_id").alias("doc_id"), F.expr(_ACT).alias("act"), (F.col("ts") + F.expr("interval 30 days")).alias("until"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+    done = acts.applied(documents(spark, sf_dir), log)
+    return done.select("id", "pinned", F.date_format("snoozed_until", "yyyy-MM-dd HH:mm").alias("snoozed_until"), "active", "access_count")
 
 
 @query("K04", f"with {DOCS} select count_if({_ARCHIVE}) as archive, count_if(pinned) as pinned, count_if(access_count >= 12 and not pinned) as pin from docs")
@@ -238,11 +250,11 @@ def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stand_in(key: str):
-    """A model that takes each listed title with the one after it."""
+    """A model that takes each of the first listed titles with the one after it, three times at most."""
 
     def generate(prompt: str) -> str:
         titles = re.findall(r'^(?:\d+\.|\[\d+\] \(\S+\)) "(.*)"$', prompt, re.M)
-        return json.dumps([{key: titles[i], "source_indices": [i + 1, i + 2], "premises": titles[i : i + 2]} for i in range(0, len(titles) - 1, 2)])
+        return json.dumps([{key: titles[i], "source_indices": [i + 1, i + 2], "premises": titles[i : i + 2]} for i in range(0, min(len(titles) - 1, 6), 2)])
 
     return generate
 

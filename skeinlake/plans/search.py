@@ -62,9 +62,9 @@ def entity_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WINDOW = "c as (select cand.id, rrf, k, substr(body, k * 3800 + 1, 4000) as t from cand join docs on docs.id = cand.id, unnest(generate_series(0, greatest(0, cast(ceil((length(body) - 4000) / 3800.0) as bigint)))) s(k)), w as (select *, row_number() over (partition by id order by contains(lower(t), 'the')::int + contains(lower(t), 'tion')::int + 0.5::double * contains(lower(t), 'anthe')::int desc, k) as n from c), rr as (select id, rrf, least(1.0, ((length(lower(left(t, 400))) - length(replace(lower(left(t, 400)), 'tion', ''))) / 4) / 10.0::double) as rerank from w where n = 1), m as (select max(rrf) as top, max(rerank) > 1e-4 as some_ from rr), bl as (select id, rrf, case when some_ then 0.1 * rrf / top + 0.9 * rerank else rrf / top end as search from rr, m)"
 _HYBRID = (
-    f"{_ENTITY_SQL}, {_LIVE_KNN}, {r._TEMPORAL}, "
+    f"with recursive {r._BM25.removeprefix('with ')}, {_FTS}, {_LIVE_KNN}, {r._TEMPORAL}, "
     "lists as (select id, rank0, 2.0::double as weight from ft where query_id = 1 and rank0 < 20 union all select id, rank0, 2.0 from vk where query_id = 141 and rank0 < 20 union all select id, rank0, 1.0 from ft where query_id = 2 and rank0 < 20 union all select id, rank0, 1.0 from vk where query_id = 3 and rank0 < 20 "
-    "union all select id, rank0, 1.0 from temporal where rank0 < 30 union all select id, rank0, 1.0 from walk where rank0 < 20), "
+    "union all select id, rank0, 1.0 from temporal where rank0 < 30), "
     "fused as (select id, sum(weight / (60 + rank0 + 1) + case when rank0 = 0 then 0.05 when rank0 <= 2 then 0.02 else 0 end) as rrf from lists group by 1), cand as (select * from fused order by round(rrf, 9) desc, id limit 30), "
     + _WINDOW
 )
@@ -74,9 +74,9 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, rrf, search, score, position): the whole pipeline up to the composite.
 
     Keyword and vector lists of the query at twice the weight of those of its
-    expansions, of the documents of its dates and of its entities' neighbours;
-    the thirty best are reranked by their best window, blended, and ranked by
-    the composite for queries.  Keyword lists share one plan over the texts.
+    expansions, of the documents of its dates and, if it asks for any, of its
+    entities' neighbours; the thirty best are reranked by their best window,
+    blended, and ranked by the composite for queries.
     """
     d = documents(spark, sf_dir)
     live = d.where("active")
@@ -84,20 +84,36 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = plans.by_value(ops.vector_search(r._vectors(spark, sf_dir).join(live.select("id"), "id", "left_semi"), r._probes(spark, sf_dir).where("query_id in (3, 141)"), 20).select("query_id", "id", "score"))
     at = F.coalesce("authored_at", "modified_at")
     dated = live.withColumn("at", at).where("at between timestamp'2023-10-01 00:00:00' and timestamp'2023-12-31 00:00:00'").select("id", F.unix_micros("at").cast("double").alias("score"))
-    seeds = worded.where("query_id = 1").orderBy(F.desc("score"), "id").limit(5)
     one = lambda df, q: df.where(F.col("query_id") == q).select("id", "score")
-    lists = [(one(worded, 1), 2.0, 20), (one(near, 141), 2.0, 20), (one(worded, 2), 1.0, 20), (one(near, 3), 1.0, 20), (dated, 1.0, 30), (entity_channel(spark, sf_dir, seeds), 1.0, 20)]
+    lists = [(one(worded, 1), 2.0, 20), (one(near, 141), 2.0, 20), (one(worded, 2), 1.0, 20), (one(near, 3), 1.0, 20), (dated, 1.0, 30)]
+    if plans.asks_for_entities(QUERY):
+        seeds = worded.where("query_id = 1").orderBy(F.desc("score"), "id").limit(5)
+        lists.append((entity_channel(spark, sf_dir, seeds), 1.0, 20))
     candidates = plans.fused([plans.listed(df, k, w, most) for k, (df, w, most) in enumerate(lists, 1)], 30)
     rows = plans.blended(candidates, d, QUERY, _score, INTENT)
     return ranking.composite_rank(rows, _now(), "query", bounded=True).select("id", "rrf", "search", "score", "position", "title", "body")
 
 
-@query("G15", f"{_HYBRID}, z as (select docs.*, bl.rrf, bl.search from bl join docs on docs.id = bl.id), qq as (select id, rrf, search, round({full('search', 'query')}, 6) as score from z) select id, round(rrf, 6) as rrf, round(search, 6) as search, score, row_number() over (order by score desc, id) as position from qq where score >= 0.2")
+_RANKED = f"z as (select docs.*, bl.rrf, bl.search from bl join docs on docs.id = bl.id), qq as (select id, title, body, rrf, search, round({full('search', 'query')}, 6) as score from z), qr as (select *, row_number() over (order by score desc, id) as position from qq where score >= 0)"
+# greedy: a result too like one already chosen comes after all others
+_DIVERSE = (
+    "mw as (select position as p, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda x: x <> '') as w from qr), "
+    "ms as (select p, list_distinct(list_concat(list_filter(w, lambda x: length(x) > 3), list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as s from mw), "
+    "ml as (select a.p, list(b.p) as qs from ms a join ms b on b.p < a.p and (len(a.s) + len(b.s) = 0 or len(list_intersect(a.s, b.s)) / greatest(len(list_distinct(list_concat(a.s, b.s))), 1)::double > 0.6) group by 1), "
+    "chosen(k, sel) as (select 0::bigint, []::bigint[] union all select c.k + 1, case when list_has_any(sel, coalesce(qs, [])) then sel else list_append(sel, c.k + 1) end from chosen c left join ml on ml.p = c.k + 1 where c.k < case when (select count(*) from qr) > 2 then (select count(*) from qr) else 0 end), "
+    "best as (select sel from chosen order by k desc limit 1), mmr as (select qr.*, row_number() over (order by (select count(*) from qr) > 2 and not list_contains((select sel from best), position), position) as place from qr)"
+)
+
+
+@query("G15", f"{_HYBRID}, {_RANKED}, {_DIVERSE} select id, round(rrf, 6) as rrf, round(search, 6) as search, score, place as position from mmr where place <= 10")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid(spark, sf_dir).where("score >= 0.2").select("id", F.round("rrf", 6).alias("rrf"), F.round("search", 6).alias("search"), "score", "position")
+    """The ten best of the hybrid pipeline, those too like a better one last."""
+    found = plans.by_value(hybrid(spark, sf_dir).where("score >= 0"))
+    order = ranking.mmr_order(found.withColumn("query_id", F.lit(1))).where("position <= 10").select("id", "position")
+    return found.drop("position").join(F.broadcast(order), "id").select("id", F.round("rrf", 6).alias("rrf"), F.round("search", 6).alias("search"), "score", "position")
 
 
-@query("H14")
+@query("H14", f"{_HYBRID}, {_RANKED}, {_DIVERSE} select 1::int as query_id, id, place as position from mmr")
 def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hybrid pipeline's results with those too like a better one put last."""
     return ranking.mmr_order(hybrid(spark, sf_dir).withColumn("query_id", F.lit(1)))
