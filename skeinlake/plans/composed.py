@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, telemetry
+from ..operators import budgets, graph, telemetry
 from ..operators import ranking as rank
 from ..operators import retrieval as ops
 from ..sources.vault import DOCS, TRIPLES, documents, read, triples
@@ -113,6 +113,12 @@ def transcript_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where(F.col("spent") <= F.when(user, 400).otherwise(200)).select("conv_id", "turn")
 
 
+@query("I23_transcript")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's transcript: request and answer, tools cut to fit, the rest where it fits, in order."""
+    return budgets.transcripts(read(spark, sf_dir, "conversations"))
+
+
 @query("J18", f"with {TRIPLES}, p(name) as (values ('Customer#000000007'), ('Customer#000000042')), t as (select c_name, predicate, object, triple_id, row_number() over (partition by c_name order by triple_id) as n from triples join customer on c_custkey = subject_id join p on lower(p.name) = lower(c_name) where valid_to is null or valid_to > date '1997-01-01') select c_name as subject, predicate, object, n as line from t where n <= 10")
 def facts_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = read(spark, sf_dir, "customer").where(F.lower("c_name").isin("customer#000000007", "customer#000000042")).select("c_custkey", "c_name")

@@ -22,6 +22,41 @@ def test_retrieval(vault):
     assert vault.memory_retrieve("what happened last", 3, focus=42).count() >= 3
 
 
+def test_modes_with_vectors(vault):
+    own = [float(x) for x in vault.vectors.where("id = 3").first()["embedding"]]
+    assert vault.memory_retrieve("explain the concept", own, 3).orderBy("score", ascending=False).first()["id"] == 3
+    for found in (vault.memory_retrieve("why was it so", own, 3), vault.intent_search("why was it so", own, 3), vault.query_plan("the tion", own, 3)):
+        assert 0 < found.count() <= 3
+    with pytest.raises(ValueError):
+        vault.intent_search("why")
+
+
+def test_acts_change_what_is_there(spark):
+    vault = Vault(spark, "/root/testdata/sf0.001")
+    rows = lambda: {r["id"]: r for r in vault.documents.where("id in (1, 2, 3, 19)").collect()}
+    before = rows()
+    assert before[1]["active"] and not before[1]["pinned"] and not before[19]["active"]
+    vault.pin(1, 2)
+    vault.pin(2, unpin=True)
+    vault.snooze(1, 3, until="2024-05-01 00:00:00")
+    vault.snooze(3, until=None)
+    vault.forget(2)
+    vault.restore(19)
+    vault.touch(1)
+    vault.touch(1, 999)
+    after = rows()
+    assert (after[1]["pinned"], after[2]["pinned"], after[2]["active"], after[19]["active"]) == (True, False, False, True)
+    assert str(after[1]["snoozed_until"]) == "2024-05-01 00:00:00" and after[3]["snoozed_until"] is None
+    assert after[1]["access_count"] == before[1]["access_count"] + 2 and after[3]["access_count"] == before[3]["access_count"]
+    assert 2 not in {r["id"] for r in vault.search("the", 500).collect()}
+    assert vault.documents.count() == 200 and vault.status().agg({"documents": "sum"}).first()[0] == 200
+
+
+def test_export(spark, vault, tmp_path):
+    vault.export(f"{tmp_path}/out", ("src1",))
+    assert spark.read.json(f"{tmp_path}/out").count() == vault.documents.where("active and collection = 'src1'").count() > 0
+
+
 def test_lookup_and_lifecycle(vault):
     path = vault.documents.where("id = 42").first()["path"]
     assert vault.get(path).first()["id"] == 42 and vault.get(path[4:]).first()["id"] == 42
