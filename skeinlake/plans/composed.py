@@ -30,12 +30,7 @@ _SAYS_NOTHING = ", ".join(f"'{p}'" for p in mining.PLACEHOLDERS)
 @query("B23", f"with {DOCS} select id, not coalesce(regexp_matches(title, '[\\p{{L}}\\p{{N}}]'), false) or regexp_replace(regexp_replace(lower(title), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'), '\\s+', ' ', 'g') in ({_SAYS_NOTHING}) as placeholder from docs")
 def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles that say nothing of their own; the supplied ones hold no template marks, which the tests cover."""
-    import pandas as pd
-
-    def judge(titles: pd.Series) -> pd.Series:
-        return titles.map(mining.is_placeholder)
-
-    return documents(spark, sf_dir).select("id", F.pandas_udf(judge, "boolean")(F.col("title")).alias("placeholder"))
+    return documents(spark, sf_dir).select("id", mining.placeholder(F.col("title")).alias("placeholder"))
 
 
 @query("B24", "select event_id, least(greatest(cast(floor(value) as bigint), 1), 50) as clamped from events")
