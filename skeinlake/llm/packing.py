@@ -44,7 +44,8 @@ class WordTokenizer:
     New words are encoded many at a time, between marks; known ones are looked up.
     """
 
-    def __init__(self, definition: str) -> None:
+    def __init__(self, definition: str, words: int = REMEMBERED, parts: int = REMEMBERED_PARTS) -> None:
+        self.most_words, self.most_parts = words, parts
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         ids = self._ids(f"a {_MARK} b")
@@ -81,7 +82,7 @@ class WordTokenizer:
     def _learn_words(self, words: set[str]) -> None:
         """Remember new words: letters in lower case and the marks after them are encoded apart, once for all forms."""
         cores, whole, wanted = self.cores, [], {}
-        if len(cores) > REMEMBERED_PARTS:
+        if len(cores) > self.most_parts:
             cores.clear()
         for w in words:
             core = w.rstrip(".,!?;:")
@@ -101,7 +102,7 @@ class WordTokenizer:
         cut = [(_SPACE.split(t) if _ODD_SPACE.search(t) else t.split()) if t else [] for t in texts]
         known = self.memory
         new = {w for words in cut for w in words if w not in known}
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + len(new) > self.most_words:
             known.clear()
             new = {w for words in cut for w in words}
         self._learn_words(new)
@@ -110,15 +111,16 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(definition: str) -> WordTokenizer:
-    return WordTokenizer(definition)
+def _tokenizer(definition: str, words: int, parts: int) -> WordTokenizer:
+    return WordTokenizer(definition, words, parts)
 
 
-def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, keep_ids: bool = False, remembered: tuple[int, int] = (REMEMBERED, REMEMBERED_PARTS)) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), with ``ids`` if asked for: each document's pieces of at most ``size`` tokens.
 
     A document is its text's ids and then ``end_id``, so null and empty texts
-    are one piece of one token.
+    are one piece of one token.  ``remembered`` bounds the words, and parts of
+    words, whose ids a worker keeps: fewer take less memory and more time.
     """
     with open(path, encoding="utf-8") as f:
         definition = f.read()
@@ -127,7 +129,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(shared.value)
+        tokenizer = _tokenizer(shared.value, *remembered)
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             group = np.cumsum(lengths) // (1 << 21)
@@ -304,7 +306,7 @@ def best_plan(counts: dict[int, int], size: int) -> Plan:
     return min((Plan(counts, size, share=share) for share in (1.0, 0.75, 0.5)), key=lambda p: p.sequences)
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, keep_ids: bool = False, remembered: tuple[int, int] = (REMEMBERED, REMEMBERED_PARTS)) -> DataFrame:
     """``pieces`` with sequence_id and offset: the place of each piece, without gaps from 0 in its sequence.
 
     Every row is packed: repeated rows and null ids as their own documents,
@@ -315,7 +317,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     table; offsets between partitions come from counts by (length, partition),
     so a length that a third of all pieces have needs no task of its own.
     """
-    cut = saved(pieces(by_documents(docs), path, id_col, text_col, size, end_id, keep_ids))
+    cut = saved(pieces(by_documents(docs), path, id_col, text_col, size, end_id, keep_ids, remembered))
     counted = saved(cut.groupBy(F.spark_partition_id().alias("part"), "length").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     plan = docs.sparkSession.sparkContext.broadcast(best_plan(histogram, size).table())
