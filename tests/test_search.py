@@ -85,6 +85,18 @@ def test_windows_and_fusion(spark):
     assert {r["id"]: r["rrf"] for r in search.fused(lists).collect()} == pytest.approx({6: 2 / 61 + 0.05, 7: 2 / 62 + 0.02, 5: 1 / 61 + 0.05})
 
 
+def test_traversal_prefers_what_is_near_the_query(spark):
+    """Two neighbours by equal edges: the one whose vector is the query's scores exp(.4) times as much beyond its parent."""
+    docs = spark.createDataFrame([(i, f"t{i}") for i in (1, 2, 3)], "id long, title string")
+    vectors = spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "id long, embedding array<double>")
+    edges = spark.createDataFrame([(1, 2, "causal", 0.5), (1, 3, "causal", 0.5)], "src long, dst long, rel string, weight double")
+    corpus = search.Corpus(docs, vectors, docs, docs, edges, docs, F.current_timestamp())
+    hits = spark.createDataFrame([(1, 1.0)], "id long, score double")
+    got = {r["id"]: r["score"] for r in search.traversed(corpus, hits, {"causal": 1.0}, [2.0, 0.0], push=False).collect()}
+    near, far = (0.9 + math.exp(0.6 + 0.4 * c) * 0.5 for c in (1.0, 0.0))
+    assert got == pytest.approx({1: 1.0, 2: 0.8, 3: 0.8 * far / near})
+
+
 def test_models_that_fail_or_repeat(spark):
     assert models.expansions("q") == [("hyde", "Information about q")]
     assert models.expansions("q", lambda q: 1 / 0) == [("hyde", "Information about q")]
