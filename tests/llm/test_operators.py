@@ -454,6 +454,6 @@ def test_pipeline(spark, tmp_path):
 def test_registered_queries_run(spark):
     from skeinlake.llm.queries import ORACLE, QUERIES
 
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14)) and set(ORACLE) <= set(QUERIES)
 
 
