@@ -16,6 +16,6 @@ def test_users_with_equal_amounts_are_in_the_order_of_their_ids(spark, tmp_path)
         for v in rng.sample(amounts, len(amounts)):
             rows.append((len(rows), user, "view", v))
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
-    for name in ("E04",):
+    for name in ("E04", "F08"):
         got = registry.QUERIES[name](spark, str(tmp_path)).where("list_id = 1").collect()
         assert {r["doc_id"]: r["rank0"] for r in got} == {u: u for u in range(40)}, name
