@@ -1,7 +1,7 @@
 """Quality rules: fixed limits, then an isolation forest on the rules' statistics.
 
 The statistics of every text are counted on whole texts.  A forest of random
-splits, grown on a bounded sample, gives each document the mean depth at which
+splits, grown on the counts of all rows, gives each document the mean depth at which
 it is isolated: anomalous documents lie near the roots.  The threshold on the
 anomaly score is calibrated on labelled rows.
 """
@@ -135,10 +135,12 @@ class Forest:
         return 2.0 ** (-total / len(self.roots) / self.norm)
 
 
-def grow(sample: np.ndarray, trees: int, size: int, seed: int) -> Forest:
+def grow(rows: np.ndarray, trees: int, size: int, seed: int, times: np.ndarray | None = None) -> Forest:
+    """Trees of ``size`` rows each, drawn without replacement from all rows, each of which stands for ``times`` equal ones."""
     rng = np.random.default_rng(seed)
+    ends = np.cumsum(np.ones(len(rows), np.int64) if times is None else times)
     feature, split, left, leaf, roots = [], [], [], [], []
-    size = min(size, len(sample))
+    size = min(size, int(ends[-1]))
     most = int(np.ceil(np.log2(max(size, 2)))) + 2
 
     def node() -> int:
@@ -149,7 +151,7 @@ def grow(sample: np.ndarray, trees: int, size: int, seed: int) -> Forest:
     for _ in range(trees):
         root = node()
         roots.append(root)
-        todo = [(root, sample[rng.choice(len(sample), size, replace=False)], 0)]
+        todo = [(root, rows[np.searchsorted(ends, rng.choice(ends[-1], size, replace=False), "right")], 0)]
         while todo:
             k, x, depth = todo.pop()
             low, high = x.min(axis=0), x.max(axis=0)
@@ -167,43 +169,46 @@ def grow(sample: np.ndarray, trees: int, size: int, seed: int) -> Forest:
     return Forest(np.array(feature), np.array(split), np.array(left), np.array(leaf), np.array(roots), max(_expected(size), 1.0))
 
 
-def fit(counted: DataFrame, labels: DataFrame, least_words: int = 50, sample_rows: int = 20000, trees: int = 200, size: int = 128, spared: float = 0.995, seed: int = 7) -> Forest:
+def _steps() -> list:
+    """FEATURES as columns: whole steps of each share, as ``features`` takes them."""
+    n = F.greatest(F.col("n_words"), F.lit(1))
+    shares = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return [F.floor(F.col(c) / n / F.lit(step)).cast("double").alias(f"f{k}") for k, (c, step) in enumerate(zip(shares, FEATURES.values(), strict=True))]
+
+
+def fit(counted: DataFrame, labels: DataFrame, least_words: int = 50, trees: int = 200, size: int = 128, spared: float = 0.995, seed: int = 7) -> Forest:
     """A forest of documents that pass the fixed limits, calibrated on ``labels`` (doc_id, quality).
 
-    About ``sample_rows`` unlabelled or labelled rows grow the trees and as
-    many labelled ones set the threshold, drawn by a hash of id and statistics.  Of
+    All rows that pass are counted by their steps, of which there are some
+    thousands whatever the corpus; each tree draws its ``size`` rows from those
+    counts, as isolation forests do.  All labelled rows set the threshold.  Of
     the thresholds that keep at least ``spared`` of the good rows, the one is
     taken that finds most bad rows, where a good row lost counts as twenty.  Without
     labels, or if no threshold finds anything, none is set and nothing is rejected.
     """
-    passed = counted.where(~base_failed(least_words))
-    n = passed.count()
-    if not n:
+    passed = counted.where(~base_failed(least_words)).select("doc_id", *_steps())
+    names, step = [f"f{k}" for k in range(len(FEATURES))], np.array(list(FEATURES.values()))
+    seen = passed.groupBy(*names).agg(F.count("*").alias("n")).toPandas().sort_values(names)
+    if not len(seen):
         return Forest(np.array([-1]), np.zeros(1), np.array([-1]), np.zeros(1), np.array([0]), 1.0)
-    columns = list(STATISTICS)
-    share = lambda total: int((1 << 30) * min(1.0, sample_rows / max(total, 1)))
-    order = F.pmod(F.xxhash64(F.lit("forest"), "doc_id", *columns), F.lit(1 << 30))
-    drawn = passed.select("doc_id", *columns, order.alias("drawn"))
-    grown = drawn.where(F.col("drawn") < share(n)).toPandas()
-    if not len(grown):  # rows that all look alike to the hash: the first by it, which are equal
-        grown = drawn.orderBy("drawn", *columns).limit(1).toPandas()
-    grown = grown.sort_values(["drawn", "doc_id", *columns], na_position="first")
-    forest = grow(features([grown[c] for c in columns]), trees, size, seed)
+    forest = grow(seen[names].to_numpy() * step, trees, size, seed, seen["n"].to_numpy())
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("threshold")), F.lit(1 << 30)) < share(known.count()))
-    tested = passed.join(known, "doc_id").select("quality", *columns).toPandas()
-    good = tested["quality"].to_numpy() > 0
-    if good.any() and (~good).any():
-        score = forest.score(features([tested[c] for c in columns]))
-        cuts = np.unique(score[~good])
-        found = 1 - np.searchsorted(np.sort(score[~good]), cuts, "left") / (~good).sum()
+    tested = passed.join(known, "doc_id").groupBy(*names).agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad")).toPandas().sort_values(names)
+    good, bad = tested["good"].to_numpy(), tested["bad"].to_numpy()
+    if good.sum() and bad.sum():
+        score = forest.score(tested[names].to_numpy() * step)
+        cuts = np.unique(score[bad > 0])
+        order = np.argsort(score, kind="stable")
+        under = np.searchsorted(score[order], cuts, "left")
+        below = lambda some: np.append(0, np.cumsum(some[order]))[under]
+        found = 1 - below(bad) / bad.sum()
         # a row at the cut is rejected, so good rows at it count as lost
-        kept = np.searchsorted(np.sort(score[good]), cuts, "left") / good.sum()
+        kept = below(good) / good.sum()
         usable = kept >= spared
         if usable.any():
             best = np.flatnonzero(usable)[np.argmax((20 * kept + found)[usable])]
-            below = score[good][score[good] < cuts[best]]
-            forest.threshold = float((cuts[best] + below.max()) / 2) if len(below) else float(cuts[best])
+            less = score[(good > 0) & (score < cuts[best])]
+            forest.threshold = float((cuts[best] + less.max()) / 2) if len(less) else float(cuts[best])
     return forest
 
 
