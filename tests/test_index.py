@@ -70,6 +70,16 @@ def test_a_search_reads_ranges_of_postings_and_no_texts(spark, tmp_path):
     assert ix.postings().columns == ["stem", "id", "path", "title", "body", "len", "seg"]
 
 
+def test_words_are_counted_and_stemmed_where_the_texts_are_read(spark):
+    texts = {1: "Planning, planned plan.  Plan!", 2: "", 3: "...", 4: " ".join(f"w{k}" for k in range(3000))}
+    cut = index.postings_of(index.fields_of(made(spark, texts)))
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+    rows = cut.collect()
+    assert sorted(tuple(r) for r in rows if r["id"] == 1 and r["stem"].startswith("plan")) == [("plan", 1, 0, 0, 1, 9), ("plan", 1, 0, 0, 2, 9), ("plan", 1, 0, 1, 1, 9)]
+    assert {r["stem"]: r["path"] for r in rows if r["id"] == 2} == {"c": 1, "n": 1, "2": 1, "md": 1} and {r["len"] for r in rows if r["id"] == 3} == {4}
+    assert sum(r["body"] for r in rows if r["id"] == 4) == 3000
+
+
 def test_stems_are_alike_in_expressions_and_batches(spark):
     words = sorted({w.lower() for w in WORDS} | {"caresses", "agreed", "falling", "sky", "digitizer", "adoption", "rate", "controll", "by", "a" * 70})
     df = spark.createDataFrame([(w,) for w in words], "w string")
