@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import chunking
 
@@ -14,26 +16,51 @@ from ..functions import chunking
 ARCHIVE_DAYS = {"handoff": 60, "progress": 60, "conversation": 90, "note": 120, "research": 180, "project": 365}
 
 
-def chunked(docs: DataFrame, size: int = chunking.CHUNK_CHARS, overlap: int = chunking.OVERLAP_CHARS) -> DataFrame:
-    """(id, seq, pos, chunk) of every document's overlapping chunks; null bodies have none."""
+#: Characters of texts, or of what is cut from them, that a worker holds at a time beside one document.
+HELD = 1 << 22
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = [(i, k, at, text) for i, body in zip(rows.id, rows.body, strict=True) if body is not None for k, (at, text) in enumerate(chunking.chunks(body, size, overlap))]
-            yield pd.DataFrame(out, columns=["id", "seq", "pos", "chunk"])
 
-    return docs.select("id", "body").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, seq long, pos long, chunk string")
+def pieces(batch: pa.RecordBatch, cut: Callable[[str], Iterator[tuple]], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """What ``cut`` gives for texts (id, body), as rows of ``kinds``, in batches of about HELD characters; texts are taken from ``batch`` one by one."""
+    ids, bodies = batch.column(0), batch.column(1)
+    out, held = [], 0
+    packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, kinds.field(k).type) for k, c in enumerate(zip(*out, strict=True))], kinds.names)
+    for at in range(batch.num_rows):
+        body = bodies[at].as_py()
+        for seq, found in enumerate(cut(body) if body is not None else ()):
+            out.append((ids[at].as_py(), seq, *found))
+            held += sum(len(x) for x in found if isinstance(x, str)) + 64
+            if held >= HELD:
+                yield packed()
+                out, held = [], 0
+    if out:
+        yield packed()
 
 
-def fragmented(docs: DataFrame) -> DataFrame:
-    """(id, seq, type, label, content, line) of every document's fragments; null bodies have none."""
+def each_text(docs: DataFrame, cut: Callable[[str], Iterator[tuple]], columns: str) -> DataFrame:
+    """(id, seq, ``columns``): what ``cut`` gives for every body, numbered from 0; null bodies give nothing.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = [(i, k, *f) for i, body in zip(rows.id, rows.body, strict=True) if body is not None for k, f in enumerate(chunking.fragments(body))]
-            yield pd.DataFrame(out, columns=["id", "seq", "type", "label", "content", "line"])
+    What has been cut is handed on whenever it comes to HELD characters, so a
+    worker's memory doesn't grow with what a batch of rows is cut to.
+    """
+    spec = f"id {docs.schema['id'].dataType.simpleString()}, seq long, {columns}"
+    kinds = to_arrow_schema(docs.sparkSession.createDataFrame([], spec).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from pieces(batch, cut, kinds)
 
-    return docs.select("id", "body").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, seq long, type string, label string, content string, line long")
+    return docs.select("id", "body").mapInArrow(run, spec)
+
+
+def chunked(docs: DataFrame, size: int = chunking.CHUNK_CHARS, overlap: int = chunking.OVERLAP_CHARS) -> DataFrame:
+    """(id, seq, pos, chunk) of every document's overlapping chunks; null bodies have none."""
+    return each_text(docs, lambda body: chunking.chunks(body, size, overlap), "pos long, chunk string")
+
+
+def fragmented(docs: DataFrame) -> DataFrame:
+    """(id, seq, type, label, content, line) of every document's fragments; null bodies have none."""
+    return each_text(docs, chunking.fragments, "type string, label string, content string, line long")
 
 
 def windowed_dedup(saves: DataFrame, keys: list[str], at: str = "created_at", seconds: int = 1800) -> DataFrame:

@@ -60,14 +60,9 @@ def token_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of 800 tokens; words stand for tokens where no tokenizer is given."""
     import re
 
-    import pandas as pd
-
-    def run(batches):
-        for rows in batches:
-            out = [(i, k, at, t) for i, body in zip(rows.id, rows.body, strict=True) for k, (at, t) in enumerate(chunking.token_chunks(body or "", lambda s: [m.start() for m in re.finditer(r"\S+", s)] or [0]))]
-            yield pd.DataFrame(out, columns=["id", "seq", "pos", "chunk"])
-
-    return documents(spark, sf_dir).select("id", "body").mapInPandas(run, "id long, seq long, pos long, chunk string")
+    count = lambda s: [m.start() for m in re.finditer(r"\S+", s)] or [0]
+    d = documents(spark, sf_dir).withColumn("body", F.coalesce("body", F.lit("")))
+    return ops.each_text(d, lambda body: chunking.token_chunks(body, count), "pos long, chunk string")
 
 
 @query("I09")
