@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,27 +102,27 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def _gram_cosine(x: str | None, y: str | None, size: int) -> float | None:
+    if not x or not y:
+        return 0.0
+    if x == y:
+        return 1.0
+    a, b = (Counter(t[k : k + size] for k in range(max(1, len(t) - size + 1))) for t in (x, y))
+    dot = sum(n * b[g] for g, n in a.items() if g in b)
+    return dot / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+
+
 def gram_similarity(pairs: DataFrame, size: int = 3) -> DataFrame:
     """(id, similarity) of pairs (id, x, y): the cosine of their counts of character n-grams after ``normal``.
 
     1 for equal texts, 0 if one is empty; a text shorter than a gram is one.
-    Grams are counted by groups, so the work is in proportion to the texts.
+    Grams are counted where a pair is, so none is shuffled.
     """
-    rows = pairs.select("id", normal(F.col("x")).alias("x"), normal(F.col("y")).alias("y"))
-    cut = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    rows = rows.withColumns({"xs": cut("x"), "ys": cut("y")})
-
-    def grams(chars: str, a: int, b: int) -> Column:
-        n = F.size(chars)
-        first = F.slice(chars, 1, F.greatest(n - (size - 1), F.least(n, F.lit(1))))
-        return F.transform(first, lambda c, k: F.struct(F.concat(c, *[F.coalesce(F.get(chars, k + d), F.lit("")) for d in range(1, size)]).alias("g"), F.lit(a).alias("a"), F.lit(b).alias("b")))
-
-    found = rows.select("id", F.explode(F.concat(grams("xs", 1, 0), grams("ys", 0, 1))).alias("t")).select("id", "t.*")
-    counted = found.groupBy("id", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    sums = counted.groupBy("id").agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    cosine = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("dot") / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(0.0)
-    alike = F.when((F.col("x") == F.col("y")) & (F.col("x") != ""), 1.0).otherwise(F.coalesce(cosine, F.lit(0.0)))
-    return rows.join(sums, "id", "left").select("id", alike.alias("similarity"))
+
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([_gram_cosine(x, y, size) for x, y in zip(xs, ys, strict=True)], dtype="float64")
+
+    return pairs.select("id", F.pandas_udf(run, "double")(normal(F.col("x")), normal(F.col("y"))).alias("similarity"))
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
