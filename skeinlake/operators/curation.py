@@ -106,15 +106,24 @@ def similar_sets(sets: DataFrame, by: str, least: float, asked: Column | None =
 
     Only the rarest words of a set are joined on, as many as a set of that
     similarity can't all lack; so a word that a third of all rows share brings
-    nobody together.  a < b; with ``asked``, a condition on rows, a is any such row.
+    nobody together.  What is joined on are places of words, not the sets, so a
+    long set isn't sent once for each of its words, and pairs that can't be
+    alike by their sizes and by what is left of them go before they are told apart.  a < b; with ``asked``, a condition on rows, a is any such row.
     """
     df = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     ranked = sets.select("id", F.explode("words").alias("word")).join(df, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
     n = F.size("w")
     most = (n - F.ceil(least * n - 1e-9) + 1).cast("int")
-    keyed = ranked.select("id", F.explode(F.slice("w", 1, most)).alias("w")).select("id", "w.word").join(sets, "id")
-    side = lambda df, name: df.select(by, "word", F.col("id").alias(name), F.col("words").alias(f"{name}w"))
-    pairs = side(keyed if asked is None else keyed.where(asked), "a").join(side(keyed, "b"), [by, "word"]).where("a < b" if asked is None else "a <> b").dropDuplicates(["a", "b"])
+    keys = ranked.select("id", n.alias("n"), F.posexplode(F.slice("w.word", 1, most)).alias("at", "word"))
+    named = sets.select("id", by) if asked is None else sets.select("id", by, asked.alias("asked"))
+    keyed = keys.join(named, "id")
+    side = lambda df, name: df.select(by, "word", F.col("id").alias(name), F.col("n").alias(f"{name}n"), F.col("at").alias(f"{name}at"))
+    met = side(keyed if asked is None else keyed.where("asked"), "a").join(side(keyed, "b"), [by, "word"]).where("a < b" if asked is None else "a <> b")
+    # where two sets meet first they have this word and at most what is left of the shorter rest
+    shared, both = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")), F.col("an") + F.col("bn")
+    pairs = met.where(shared >= least / (1 + least) * both - 1e-6).select("a", "b").distinct()
+    words = lambda name: sets.select(F.col("id").alias(name), F.col("words").alias(f"{name}w"))
+    pairs = pairs.join(words("a"), "a").join(words("b"), "b")
     alike = F.size(F.array_intersect("aw", "bw")) / F.size(F.array_union("aw", "bw"))
     return pairs.select("a", "b", alike.alias("similarity")).where(F.col("similarity") >= least)
 

@@ -133,10 +133,16 @@ def facts_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("K09", f"with {DOCS}, w as (select id, collection, confidence, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 3)) as w from docs) select distinct a.id from w a join w b on a.collection = b.collection and a.id <> b.id where a.confidence < 0.4 and len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(list_concat(a.w, b.w))), 1)::double >= 0.4")
 def duplicate_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal sets of words are one: a set alike to another one, or that several documents have, marks all its weak ones."""
     from ..operators.curation import similar_sets
 
-    w = documents(spark, sf_dir).select("id", "collection", text.long_words(F.col("title")).alias("words"), (F.col("confidence") < 0.4).alias("weak"))
-    return similar_sets(w, "collection", 0.4, asked=F.col("weak")).select(F.col("a").alias("id")).distinct()
+    d = documents(spark, sf_dir).select("id", "collection", F.array_sort(text.long_words(F.col("title"))).alias("words"), (F.col("confidence") < 0.4).alias("weak"))
+    d = d.where((F.size("words") > 0) & F.col("collection").isNotNull())
+    sets = d.groupBy("collection", "words").agg(F.min("id").alias("id"), (F.min("id") != F.max("id")).alias("several"), F.bool_or("weak").alias("weak"))
+    alike = similar_sets(sets, "collection", 0.4, asked=F.col("weak")).select(F.col("a").alias("id")).distinct()
+    found = sets.where("weak and several").select("id").unionByName(alike).distinct()
+    named = sets.join(found, "id", "left_semi").select("collection", "words")
+    return d.where("weak").join(named, ["collection", "words"], "left_semi").select("id").distinct()
 
 
 @query("K13", "with l as (select event_id, user_id, ts, row_number() over (partition by user_id, time_bucket(interval 1 hour, ts) order by ts, event_id) as n from events) select event_id from l where n = 1")
