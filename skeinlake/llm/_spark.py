@@ -75,6 +75,15 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a narrow table, of ids and hashes, that are worth a task.
+TASK_ROWS = 1 << 16
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A narrow table in as many partitions as its ``rows`` ask for: each exchange writes files, and each task its record, however few rows there are."""
+    return df.coalesce(-(-max(rows, 1) // TASK_ROWS))
+
+
 def release(*tables: DataFrame, shuffles: bool = True) -> None:
     """Delete the files of ``saved`` tables that nothing reads any more.
 

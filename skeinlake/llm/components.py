@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import release, saved
+from ._spark import few, release, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,18 +15,21 @@ def components(edges: DataFrame) -> DataFrame:
     table, or one of loops alone, gives no rows.  Only minima are taken per
     node, with partial aggregation, and the joins back are ordinary equi-joins
     that adaptive execution can split, so a node with a third of all edges
-    needs no task of its own.  Rounds grow with the logarithm of the longest path.
+    needs no task of its own.  Rounds grow with the logarithm of the longest path;
+    a round that has few edges has few tasks, as no round has more edges than the first.
     """
     u, v = F.col("u"), F.col("v")
     star = saved(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
     seen = None
     while (state := star.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()) != seen and state[0]:
         seen = state
-        both = star.unionByName(star.select(v.alias("u"), u.alias("v")))
+        near = few(star, state[0])
+        both = near.select(F.explode(F.array(F.struct("u", "v"), F.struct(v.alias("u"), u.alias("v")))).alias("end")).select("end.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where(v > u).join(least, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        done, star = star, saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        done, star = star, saved(few(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), state[0]))
         release(done)
+    star = few(star, state[0])
     return star.select(u.alias("node"), v.alias("component")).unionByName(star.select(v.alias("node"), v.alias("component")).distinct())

@@ -29,9 +29,10 @@ sets are never moved.
 
 A key's sets are first compared with its least one, by sketch.  What these
 pairs connect is a family; its texts are sent once, in blocks of a bounded
-number of shingles, and all pairs of sets in a family are verified.  Keys whose
-sets are still in several families are taken pair by pair if they are few, else
-sketches are compared block by block; the pairs left make families again.  Out
+number of shingles, and all pairs of sets in a family are verified.  Where a
+key's sets are still in several families, their sketches meet in one task if
+they are few (of keys with the same sets only one's), else they are compared
+block by block; the pairs left make families again.  Out
 of any task come only links that span what it has connected, so no group is
 expanded into its pairs and none is capped.  A family of several blocks that
 its least set doesn't connect is compared block with block: its sets are sent
@@ -49,11 +50,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import by_documents, lean, release, saved
+from ._spark import by_documents, few, lean, release, saved
 from ._text import U64, Words, chunks, flat, mix, shingles
 from .components import components
 
-#: Sets of an unresolved key up to which they are paired; more are compared by sketches in blocks.
+#: Sets of an unresolved key up to which they are compared in one task; more are compared in blocks.
 SMALL_GROUP = 24
 #: Bits of a map of keys or rows: 16 MB.  Fuller maps cost time, never results.
 MAP_BITS = 27
@@ -493,11 +494,13 @@ def _verified(docs: DataFrame, reps: DataFrame, edges: DataFrame, width: int, pe
         return saved(_spanned(found, lambda held, right: near_by_set(held, right, percent), sets))
 
     own = dealt.select("*", F.col("own").alias("i"), F.col("own").alias("j"), F.lit(False).alias("right"))
-    hubs = _block_pairs(dealt.where("sid = family and blocks > 1"), 1)
-    hubs = hubs.select(*dealt.columns, F.col("other").alias("i"), F.col("other").alias("j"), F.lit(False).alias("right"))
-    found = links(own.unionByName(hubs))
     wide = dealt.where("blocks > 1")
-    if not wide.isEmpty():
+    if wide.isEmpty():
+        found = links(own)
+    else:
+        hubs = _block_pairs(wide.where("sid = family"), 1)
+        hubs = hubs.select(*dealt.columns, F.col("other").alias("i"), F.col("other").alias("j"), F.lit(False).alias("right"))
+        found = links(own.unionByName(hubs))
         inner = found.join(wide.select(F.col("sid").alias("a")), "a", "left_semi")
         part = components(inner.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "sid")
         parts = wide.join(part, "sid", "left").withColumn("part", F.coalesce("component", "sid"))
@@ -605,33 +608,33 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     release(index)
     star = members.where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
     near_hub = saved(_edges_within(star, sketch, percent))
-    links, family = _verified(docs, reps, near_hub, width, percent)
+    links, family = _verified(docs, reps, few(near_hub, near_hub.count()), width, percent)
 
     now = members.join(family, "sid", "left").select("key", "hub", "sid", F.coalesce("family", "sid").alias("family"))
-    open_ = now.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
+    # keys of the same sets say the same, so one of them is taken; pairs with the hub have been looked at, so two sets are settled
+    alike = F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("alike")
+    groups = now.groupBy("key", "hub").agg(F.min("family").alias("low"), F.max("family").alias("high"), F.count("*").alias("size"), alike)
+    open_ = groups.where("low <> high and size > 2").groupBy("hub", "size", "alike").agg(F.min("key").alias("key")).select("key", "size")
     rest = saved(now.join(open_, "key"))
     release(members, near_hub)
-    small = rest.where(F.col("size") <= SMALL_GROUP).select("key", "sid", "hub", "family")
-    x, y = small.alias("x"), small.alias("y")
-    # pairs with the hub have been looked at
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.family") != F.col("y.family")) & (F.col("x.sid") != F.col("x.hub")))
-    edges = _edges_within(across.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), sketch, percent)
+    small = rest.where(F.col("size") <= SMALL_GROUP).join(sketch, "sid")
+    tasks = small.select(F.col("key").alias("family"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "sid", F.lit(False).alias("right"), "n", F.col("family").alias("known"), "sketch")
     large = rest.where(F.col("size") > SMALL_GROUP)
     if not large.isEmpty():
         group = components(large.select(F.col("sid").alias("u"), F.col("hub").alias("v")).distinct())
         known = large.select("sid", F.col("family").alias("known")).distinct()
         dealt = _dealt(group.select(F.col("node").alias("sid"), F.col("component").alias("family")).join(sketch, "sid").join(known, "sid"))
-        tasks = _block_pairs(dealt, 0).select("family", "i", "j", "sid", "right", "n", "known", "sketch")
+        tasks = tasks.unionByName(_block_pairs(dealt, 0).select("family", "i", "j", "sid", "right", "n", "known", "sketch"))
 
-        def near(held: list, right: np.ndarray) -> np.ndarray:
-            n, known, parts = zip(*held, strict=True)
-            known = np.array(known)
-            return near_by_sketch(np.array(n), list(parts), right, percent) & (known[:, None] != known[None, :])
+    def near(held: list, right: np.ndarray) -> np.ndarray:
+        n, known, parts = zip(*held, strict=True)
+        known = np.array(known)
+        return near_by_sketch(np.array(n), list(parts), right, percent) & (known[:, None] != known[None, :])
 
-        edges = edges.unionByName(_spanned(tasks, near, lambda batch: zip(*(c.to_pylist() for c in batch.columns[5:]), strict=True)))
+    edges = _spanned(tasks, near, lambda batch: zip(*(c.to_pylist() for c in batch.columns[5:]), strict=True))
     edges = saved(edges)
-    if not edges.isEmpty():
-        links = links.unionByName(_verified(docs, reps, edges, width, percent)[0])
+    if count := edges.count():
+        links = links.unionByName(_verified(docs, reps, few(edges, count), width, percent)[0])
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("sid"), "component")
     release(sketch, rest, edges)
     return rows, label
