@@ -42,6 +42,7 @@ as many times as it has blocks.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -193,6 +194,24 @@ def _has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
+class Sent:
+    """A map as it is broadcast, compressed; a worker's ``value`` is the map itself.
+
+    A broadcast is a file on the driver and one on every executor: maps have
+    16 MB each, but few of their bits are set unless they are of 10^7 values.
+    """
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    def __reduce__(self) -> tuple:
+        return _received, (zlib.compress(self.bits.tobytes(), 1),)
+
+
+def _received(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8)
+
+
 def _map_of(df: DataFrame, column: str) -> np.ndarray:
     """A map of the values of a column of hashes, of MAP_BITS bits whatever their number."""
 
@@ -477,7 +496,7 @@ def _verified(docs: DataFrame, reps: DataFrame, edges: DataFrame, width: int, pe
     """
     family = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
     dealt = saved(_dealt(family.select(F.col("node").alias("sid"), F.col("component").alias("family")).join(reps, "sid")))
-    chosen = docs.sparkSession.sparkContext.broadcast(_map_of(dealt, "rid"))
+    chosen = docs.sparkSession.sparkContext.broadcast(Sent(_map_of(dealt, "rid")))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -507,6 +526,7 @@ def _verified(docs: DataFrame, reps: DataFrame, edges: DataFrame, width: int, pe
         split = parts.groupBy("family").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
         if not split.isEmpty():
             found = found.unionByName(links(_block_pairs(wide.join(split.select("family"), "family", "left_semi"), 1)))
+    chosen.destroy()  # all that asked for it is saved
     return found, dealt.select("sid", "family")
 
 
@@ -548,7 +568,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     seen = rows.groupBy("rid").agg(F.count("*").alias("n"))
     unsure = seen.join(stay.withColumn("stays", F.lit(True)), "rid", "left").where("n > 1 or stays is null").select("rid")
     context = docs.sparkSession.sparkContext
-    staying, going = context.broadcast(_map_of(stay, "rid")), context.broadcast(_map_of(unsure, "rid"))
+    staying, going = context.broadcast(Sent(_map_of(stay, "rid"))), context.broadcast(Sent(_map_of(unsure, "rid")))
     packed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def told(open_: bool) -> DataFrame:
@@ -578,7 +598,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     counted = _band_counts(reps.groupBy("n").agg(F.count("*").alias("sets")), lows)
     plan = {k: allocation(percent, int(lows[k]), int(lows[k + 1]) - 1, counted.get(k, 0) + counted.get(k - 1, 0), deletions) for k in range(len(lows) - 1)}
     usual = context.broadcast(_common(docs, total, width))
-    writers = context.broadcast(_map_of(reps, "rid"))
+    writers = context.broadcast(Sent(_map_of(reps, "rid")))
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         batch = batch.filter(pa.array(_has(writers.value, batch.column(2).to_numpy())))
@@ -586,7 +606,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
             yield *_keys(tokens, first, percent, plan, usual.value), tokens, first
 
     expected = sum(n * (plan[k][0] + plan.get(k + 1, (0,))[0]) for k, n in counted.items())
-    often = context.broadcast(_shared_keys(docs, keys_of, expected))
+    often = context.broadcast(Sent(_shared_keys(docs, keys_of, expected)))
 
     def index_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "sid", "n", "sketch"]
@@ -600,6 +620,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(met), pa.int64()), pa.array(sid[met]), pa.array(n[met]), sketches(tokens, first).take(pa.array(met))], names)
 
     index = saved(docs.mapInArrow(lean(index_of), "key long, sid long, n int, sketch binary"))
+    for sent in (usual, writers, often):  # all that asked for them is saved
+        sent.destroy()
     keyed = index.where("key is not null").select("key", "sid")
     shared = keyed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub <> last").drop("last")
     members = saved(keyed.join(shared, "key"))
