@@ -7,6 +7,9 @@ from collections import Counter
 import pytest
 
 from skeinlake.operators import telemetry
+from skeinlake.plans import registry
+
+registry.load()
 
 
 @pytest.mark.parametrize("rows", [10, 1 << 19])
@@ -21,3 +24,9 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch, rows):
         assert {(r["a"], r["b"]): r["n"] for r in found.collect()} == want
         if rows == 10 and not often:
             assert found.rdd.getNumPartitions() > 4
+
+
+def test_a_pair_of_one_group_is_a_co_activation(spark, tmp_path):
+    rows = [(1, 10), (1, 11), (1, 10), (2, 10), (2, 11), (3, 11), (3, 12), (4, 13)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {tuple(r) for r in registry.QUERIES["D02"](spark, str(tmp_path)).collect()} == {(10, 11, 2), (11, 12, 1)}
