@@ -27,3 +27,12 @@ def test_no_pair_is_shuffled(spark):
     assert edges.count() == 3000 * 2999 // 2
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "HashAggregate" not in plan.split("MapInArrow")[0]
+
+
+def test_blocks_are_crossed_without_a_shuffle(spark):
+    """However many blocks there are, a mention is dealt out once, before blocks meet."""
+    m = spark.range(600).selectExpr("id as doc_id", "concat('e', id % 7) as entity")
+    found = pairs.sharing(m, block=20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert found.count() == sum(n * (n - 1) // 2 for n in (600 // 7 + (k < 600 % 7) for k in range(7)))
