@@ -1,10 +1,14 @@
 """Pairs that share entities, against loops; blocks, strips and chunks far smaller than the table."""
 
+import math
 import random
 
 import pytest
 
 from skeinlake.operators import graph, pairs
+from skeinlake.plans import registry
+
+registry.load()
 
 
 @pytest.mark.parametrize("block", [7, 1000])
@@ -36,3 +40,11 @@ def test_blocks_are_crossed_without_a_shuffle(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan
     assert found.count() == sum(n * (n - 1) // 2 for n in (600 // 7 + (k < 600 % 7) for k in range(7)))
+
+
+def test_an_edge_counts_all_that_is_shared(spark, tmp_path):
+    """Documents 1 and 2 share two words that nobody else has and one of every second document; 1 and 3 share that one alone."""
+    texts = {1: "Common Rarest Seldom", 2: "Common Rarest Seldom", **{k: "Common" if k % 2 else "plain" for k in range(3, 61)}}
+    spark.createDataFrame([(k, t, "en", "src", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["a"], r["b"]): r["weight"] for r in registry.QUERIES["J02"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): round(0.3 + 0.12 * math.log(61 / 3) + 0.05 * 2, 6)}
