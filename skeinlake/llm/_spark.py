@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -71,10 +72,16 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared_folder(spark)
     out = df.checkpoint()
-    spark._jvm.System.gc()  # what was shuffled for it is unreferenced now, and is dropped once the driver sees that
+    _collected(spark)  # what was shuffled for it is unreferenced now, and is dropped once the driver sees that
     return out
 
 
+def _collected(spark: SparkSession) -> None:
+    """Both sides of the driver collect their garbage: Spark drops shuffles that neither refers to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows of a narrow table, of ids and hashes, that are worth a task.
 TASK_ROWS = 1 << 16
 
@@ -97,4 +104,4 @@ def release(*tables: DataFrame, shuffles: bool = True) -> None:
             path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     if shuffles and tables:
-        tables[0].sparkSession._jvm.System.gc()
+        _collected(tables[0].sparkSession)

@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._spark import by_documents, lean, saved
+from ._spark import by_documents, lean, release, saved
 from ._text import Words, chunks, flat, span_hashes
+from .ngram_join import Sent, _has, _map_of
 
 
 def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -76,8 +77,8 @@ def _line_table(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("d", "doc_id", "text").mapInArrow(lean(run), f"d long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, i int, h long, after int, before int")
 
 
-def _ranked(pairs: DataFrame) -> DataFrame:
-    """(x, y, rank) of the different pairs, ranked from 0 in their order."""
+def _ranked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(x, y, rank) of the different pairs, ranked from 0 in their order, and the saved table that it reads."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = saved(pairs.select("x", "y").repartitionByRange(parts, "x", "y").sortWithinPartitions("x", "y"))
     sizes = {r[0]: r[1] for r in ordered.groupBy(F.spark_partition_id()).count().collect()}  # a number for each partition
@@ -91,34 +92,37 @@ def _ranked(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(now, now + batch.num_rows))], ["x", "y", "rank"])
             now += batch.num_rows
 
-    return ordered.mapInArrow(number, "x long, y long, rank long")
+    return ordered.mapInArrow(number, "x long, y long, rank long"), ordered
 
 
-def repeated_ranks(lines: DataFrame, longest: int) -> DataFrame:
-    """(k, d, i, rank): ranks of the runs of 2^k lines from line i of document d on that occur more than once, 2^k up to ``longest``."""
+def repeated_ranks(lines: DataFrame, longest: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(k, d, i, rank): ranks of the runs of 2^k lines from line i of document d on that occur more than once, 2^k up to ``longest``; and the saved tables that it reads."""
     repeats = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("x"), F.lit(0).cast("long").alias("y"))
-    now = saved(lines.select("d", "i", F.col("h").alias("x")).join(_ranked(repeats).drop("y"), "x").select("d", "i", "rank"))
-    levels, k = [now.select(F.lit(0).alias("k"), "d", "i", "rank")], 0
-    while 2 << k <= longest:
-        half = Window.partitionBy("d").orderBy("i").rangeBetween(1 << k, 1 << k)
+    ranked, ordered = _ranked(repeats)
+    levels = [saved(lines.select("d", "i", F.col("h").alias("x")).join(ranked.drop("y"), "x").select("d", "i", "rank"))]
+    release(ordered)
+    while 1 << len(levels) <= longest:
+        now = levels[-1]
+        half = Window.partitionBy("d").orderBy("i").rangeBetween(1 << len(levels) - 1, 1 << len(levels) - 1)
         pairs = saved(now.select("d", "i", F.col("rank").alias("x"), F.first("rank").over(half).alias("y")).where("y is not null"))
-        again = pairs.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1")
-        now = saved(pairs.join(_ranked(again), ["x", "y"]).select("d", "i", "rank"))
+        ranked, ordered = _ranked(pairs.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1"))
+        now = saved(pairs.join(ranked, ["x", "y"]).select("d", "i", "rank"))
+        release(pairs, ordered)
         if now.isEmpty():
             break
-        k += 1
-        levels.append(now.select(F.lit(k).alias("k"), "d", "i", "rank"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        levels.append(now)
+    out = None
+    for k, level in enumerate(levels):
+        level = level.select(F.lit(k).alias("k"), "d", "i", "rank")
+        out = level if out is None else out.unionByName(level)
+    return out, levels
 
 
 def later_copies(keyed: DataFrame, min_words: int) -> DataFrame:
-    """(d, runs array<struct<a, n>>): the runs of n lines from line a on, in documents (d, doc_id, text), that have an earlier copy."""
+    """(d, runs array<struct<a, n>>, whole): the runs of n lines from line a on, in documents (d, doc_id, text), that have an earlier copy; whole if they are all its lines."""
     lines = saved(_line_table(keyed, min_words))
     longest = lines.agg(F.max(F.greatest("after", "before"))).first()[0] or 0
-    ranks = saved(repeated_ranks(lines, longest))
+    ranks, levels = repeated_ranks(lines, longest)
     runs = lines.where("after > 0").select("d", "doc_id", F.col("i").alias("a"), F.col("after").alias("n"))
     ends = lines.where("before > 0").select("d", "doc_id", (F.col("i") - F.col("before") + 1).alias("a"), F.col("before").alias("n"))
     k = F.floor(F.log2(F.col("n")) + 1e-9).cast("int")
@@ -126,9 +130,15 @@ def later_copies(keyed: DataFrame, min_words: int) -> DataFrame:
     head = ranks.select("k", "d", F.col("i").alias("a"), F.col("rank").alias("x"))
     tail = ranks.select("k", "d", F.col("i").alias("b"), F.col("rank").alias("y"))
     known = saved(runs.join(head, ["k", "d", "a"]).join(tail, ["k", "d", "b"]).select("d", "doc_id", "a", "n", "x", "y"))
+    release(*levels)
     first = known.groupBy("n", "x", "y").agg(F.min(F.struct("doc_id", "d", "a")).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     later = known.join(first, ["n", "x", "y"]).where((F.col("first.d") != F.col("d")) | (F.col("first.a") != F.col("a")))
-    return later.groupBy("d").agg(F.collect_list(F.struct("a", "n")).alias("runs"))  # as many as the document has lines, twice, at most
+    found = later.groupBy("d").agg(F.collect_list(F.struct("a", "n")).alias("runs"))  # as many as the document has lines, twice, at most
+    covered = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["a"], r["a"] + r["n"] - 1)))))
+    total = lines.groupBy("d").agg(F.count("*").alias("total"))
+    found = saved(found.join(total, "d").select("d", "runs", (covered == F.col("total")).alias("whole")))
+    release(lines, known)
+    return found
 
 
 def _without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -154,16 +164,45 @@ def _without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
     return "\n".join(kept), len(gone), words
 
 
-def _cut(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def _cut(docs: DataFrame, id_col: str, text_col: str, min_words: int, emptied: bool = True) -> DataFrame:
     """(row, lines, words): the rows of ``docs`` as structs, their texts cut, and what was taken out of each.
 
     Rows are held as structs, so that no column of theirs can clash with others.
+    Only those that a map of bits says may lose lines are shuffled, with their
+    texts; unless ``emptied``, those that lose all their lines are left out before.
     """
     docs = by_documents(docs)
+    context = docs.sparkSession.sparkContext
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     keyed = docs.select(key.alias("d"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = later_copies(keyed.where("text is not null").dropDuplicates(["d"]) if _repeats_ids(docs, id_col) else keyed.where("text is not null"), min_words)
-    joined = docs.select(key.alias("d"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(found, "d", "left").select("row", "runs")
+    cut = context.broadcast(Sent(_map_of(found, "d")))
+    bare = doubtful = None
+    if not emptied:
+        whole = found.where("whole").select("d")
+        bare = context.broadcast(Sent(_map_of(whole, "d")))
+
+        def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_has(bare.value, batch.column(0).to_numpy())))
+
+        # rows that the map takes for emptied ones though they aren't
+        doubtful = context.broadcast(Sent(_map_of(keyed.select("d").mapInArrow(lean(taken), "d long").join(whole, "d", "left_anti"), "d")))
+    packed = docs.select(key.alias("d"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def told(open_: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                d = batch.column(0).to_numpy()
+                perhaps = _has(cut.value, d)
+                if open_ and bare is not None:
+                    perhaps &= ~_has(bare.value, d) | _has(doubtful.value, d)
+                yield batch.filter(pa.array(perhaps if open_ else ~perhaps))
+
+        return packed.mapInArrow(lean(run), packed.schema)
+
+    joined = told(True).join(found.select("d", "runs"), "d", "left").select("row", "runs")
+    rest = told(False).select("row", F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("words"))
     at, kind = docs.columns.index(text_col), joined.schema["row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +219,7 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
                 rows = pa.StructArray.from_arrays(fields, fields=list(rows.type))
             yield pa.RecordBatch.from_arrays([rows, pa.array(lines, pa.int64()), pa.array(words, pa.int64())], ["row", "lines", "words"])
 
-    return joined.mapInArrow(lean(run), StructType([kind, StructField("lines", LongType()), StructField("words", LongType())]))
+    return joined.mapInArrow(lean(run), StructType([kind, StructField("lines", LongType()), StructField("words", LongType())])).unionByName(rest)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
@@ -206,7 +245,7 @@ def drop_copies(docs: DataFrame, length_col: str | None = None, id_col: str = "d
     ``length_col``, if given, becomes the length of a text that has lost lines.
     """
     text, lost = F.col("row").getField(text_col), F.col("lines") > 0
-    kept = _cut(docs, id_col, text_col, min_words).where(~lost | text.rlike("[^\\x20\\x09-\\x0D]"))
+    kept = _cut(docs, id_col, text_col, min_words, emptied=False).where(~lost | text.rlike("[^\\x20\\x09-\\x0D]"))
     columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
     if length_col:
         at = docs.columns.index(length_col)
