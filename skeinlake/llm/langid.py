@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import by_documents, lean
+from ._spark import by_documents, lean, release, saved
 from ._text import chunks, flat
 
 ORDER = 4
+#: Different codes that a task holds while it counts, about.
+HELD_CODES = 1 << 21
 
 
 @lru_cache(maxsize=1)
@@ -203,40 +205,63 @@ def _fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return model
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 4000, slack: float = 1.5) -> Model:
-    """Models of the languages of ``labelled``, and the limit of rejection.
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+    return codes, np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64)
 
-    About ``sample_docs`` documents of each language, drawn by a hash of their
-    id, are counted on the executors, whole; four fifths of them make the
-    models.  The rest calibrate the rejection: the limit is ``slack`` times
-    the largest standardised cross-entropy among them.  The alphabet is every
-    letter that the sample has.  Null texts or labels teach nothing; without
-    any labelled text the model has no language: it predicts none, and all
-    texts stay.
-    """
-    rows = by_documents(labelled).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    if not sizes:
-        return Model([], np.zeros(0, np.uint16))
-    draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, sample_docs / n)).otherwise(share)
-    held = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(5)) == 0
-    sample = rows.where(draw < share)
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(lang, code, n): how often each language of ``rows`` (lang, text) has each 64-bit code of four 16-bit letters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        waiting = 0
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), object)
             for name in sorted(set(names)):
                 data, offsets = flat(batch.column(1).filter(pa.array(names == name)))
                 for i, j in chunks(offsets):
                     s, first, _ = _symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    code, n = np.unique(_windows(s, first, 16, np.uint64)[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n)], ["lang", "code", "n"])
+                    held.setdefault(name, []).append(np.unique(_windows(s, first, 16, np.uint64)[0], return_counts=True))
+                    waiting += len(held[name][-1][0])
+            if waiting > HELD_CODES:
+                # a task hands on each code once, unless it meets more of them than it should hold
+                held = {name: [_summed(parts)] for name, parts in held.items()}
+                waiting = 0
+                if sum(len(parts[0][0]) for parts in held.values()) > HELD_CODES:
+                    yield from told(held)
+                    held = {}
+        yield from told({name: [_summed(parts)] for name, parts in held.items()})
+
+    def told(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for name, ((codes, n),) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], ["lang", "code", "n"])
+
+    return rows.mapInArrow(lean(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
-    learned = sample.where(~held).select("lang", "text").mapInArrow(count, "lang string, code long, n long")
-    table = learned.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int | None = 4000, slack: float = 1.5) -> Model:
+    """Models of the languages of ``labelled``, and the limit of rejection.
+
+    About ``sample_docs`` documents of each language, drawn by a hash of their
+    id, or all without it, are counted on the executors, whole; four fifths of
+    them make the models.  The rest calibrate the rejection: the limit is
+    ``slack`` times the largest standardised cross-entropy among them.  The
+    alphabet is every letter that they have.  Only the counts of different
+    runs of four letters and a row for each language go to the driver.  Null
+    texts or labels teach nothing; without any labelled text the model has no
+    language: it predicts none, and all texts stay.
+    """
+    sample = by_documents(labelled).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    if sample_docs is not None:
+        sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}  # a row for each language
+        draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+        share = F.lit(0.0)
+        for lang, n in sizes.items():
+            share = F.when(F.col("lang") == lang, min(1.0, sample_docs / n)).otherwise(share)
+        sample = sample.where(draw < share)
+    held = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(5)) == 0
+    table = _counted(sample.where(~held).select("lang", "text")).toArrow()  # bounded by the letters of the languages, not by their texts
     counts, langs = {}, np.array(table["lang"].to_pylist(), object)
     codes, n = table["code"].to_numpy().view(np.uint64), table["n"].to_numpy()
     for lang in sorted(set(langs)):
@@ -245,22 +270,34 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     if not counts:
         return Model([], np.zeros(0, np.uint16))
     model = _fit(counts)
-    tested = _scored(sample.where(held).select("lang", "text"), model).toPandas()  # three numbers for each document of the sample
-    model.mean, model.spread = np.zeros(len(model.languages)), np.ones(len(model.languages))
-    z = []
-    for k, lang in enumerate(model.languages):
-        own = tested[(tested["lang"] == lang) & (tested["best"] == k) & (tested["n"] > 0)]
-        if not len(own):
-            own = tested[tested["n"] > 0]
-        if len(own):
-            weight = own["n"] / own["n"].sum()
-            model.mean[k] = float((weight * own["entropy"]).sum())
-            model.spread[k] = max(float(np.sqrt((own["n"] * (own["entropy"] - model.mean[k]) ** 2).mean())), 1e-3)
-            z += model.strangeness(own["entropy"].to_numpy(), np.full(len(own), k), own["n"].to_numpy()).tolist()
-    model.limit = slack * max([4.0, *z])
+    _calibrate(model, sample.where(held).select("lang", "text"), slack)
     return model
 
 
+def _calibrate(model: Model, held: DataFrame, slack: float) -> None:
+    """Mean and spread of the cross-entropy of each language's own texts in ``held`` (lang, text), of all texts where it has none, and the limit."""
+    width = len(model.languages)
+    model.mean, model.spread = np.zeros(width), np.ones(width)
+    names = F.array(*[F.lit(x) for x in model.languages])
+    own = F.when(F.col("lang") == F.get(names, F.col("best").cast("int")), F.col("best"))
+    tested = saved(_scored(held, model).where("n > 0").select(own.alias("own"), "n", "entropy"))
+    sums = {r["own"]: r for r in tested.groupBy("own").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("entropy")).alias("ne")).collect()}  # a row for each language
+    total = sum(r["n"] for r in sums.values())
+    if total:
+        every = sum(r["ne"] for r in sums.values()) / total
+        model.mean[:] = [sums[k]["ne"] / sums[k]["n"] if k in sums else every for k in range(width)]
+        # every language's spread and strangest text are told from its own rows or, where it has none, from all
+        square = lambda k: F.col("n") * (F.col("entropy") - F.lit(float(model.mean[k]))) ** 2
+        of = lambda k, c: F.when(F.col("own") == k, c) if k in sums else c
+        spread = tested.agg(*[F.avg(of(k, square(k))).alias(f"s{k}") for k in range(width)]).first()
+        model.spread[:] = [max(float(np.sqrt(x)), 1e-3) for x in spread]
+        strange = lambda k: (F.col("entropy") - float(model.mean[k])) * F.sqrt("n") / float(model.spread[k]) / (1 + F.sqrt(F.col("n") / 200))
+        model.limit = slack * max([4.0, *tested.agg(*[F.max(of(k, strange(k))).alias(f"z{k}") for k in range(width)]).first()])
+    else:
+        model.limit = slack * 4.0
+    release(tested)
+
+
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs: (key, text) -> key, best, entropy, score, n, letters, rejected."""
     key = docs.columns[0]
